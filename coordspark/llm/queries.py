@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm import bpe, chat, decontaminate, secrets, warc
+from coordspark.llm import bpe, chat, decontaminate, langid, quality, secrets, warc
 from coordspark.llm.common import table
 
 
@@ -29,10 +29,21 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(turns.unionByName(extra), keep_text=False)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_warc, op4_decontamination, op5_chat_format, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op3_warc, op4_decontamination, op5_chat_format, op7_quality_rules, op8_language_id, op10_byte_bpe)
+}
 
 ORACLE_SQL: dict[str, str] = {}
