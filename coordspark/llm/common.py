@@ -56,3 +56,18 @@ def drop(df: DataFrame) -> None:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (the join is then shuffled)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def sorted_groups(batches, key_columns: int):
+    """Rows of a sorted partition, group by group: yields (key, rows) with rows as tuples. Holds one group at a time."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = row[:key_columns]
+            if rows and key != at:
+                yield at, rows
+                rows = []
+            at = key
+            rows.append(row)
+    if rows:
+        yield at, rows

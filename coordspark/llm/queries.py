@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm import bpe, chat, decontaminate, langid, quality, secrets, warc
+from coordspark.llm import bpe, chat, decontaminate, jaccard, langid, quality, secrets, warc
 from coordspark.llm.common import table
 
 
@@ -37,13 +37,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_warc, op4_decontamination, op5_chat_format, op7_quality_rules, op8_language_id, op10_byte_bpe)
+    for f in (op1_secret_scan, op3_warc, op4_decontamination, op5_chat_format, op7_quality_rules, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {}
