@@ -8,8 +8,7 @@
 3. Each node is compared with the smallest node that it shares a key with; verified links give first components.
 4. Keys that still hold several components tie them into shards. A shard's nodes are indexed in an R-tree of group
    counts; a subtree or node is left out when the summed coordinate minima cannot reach the needed overlap, and the
-   pairs that survive are verified on their sets. Nodes of one component are not compared again. Shards beyond
-   ``SHARD_ROWS`` nodes or ``SHARD_TOKENS`` tokens are cut into blocks by size and hash, and compatible blocks are
+   pairs that survive are verified on their sets. Nodes of one component are not compared again. Large shards are
    joined block by block: no task holds more than two blocks, and no link is lost.
 5. All verified links give the components. Links, components and sets stay distributed.
 
@@ -29,12 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import drop, save, small, sorted_groups
-from coordspark.llm.components import components
+from coordspark.llm.common import save, small
+from coordspark.llm.similar import link_components
 
 GROUPS = 128
 LEAF, FANOUT = 32, 8
-SHARD_ROWS, SHARD_TOKENS = 1024, 2_000_000
 WINDOW_RATIO = 1.25
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -193,66 +191,21 @@ def join_block(nodes: list[int], parts: list[int], side: list[int], sets: list[n
     return found
 
 
+def _tokens(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, dtype=np.uint64)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """node, tokens (the set as bytes) for the documents in ``ids`` (node)."""
+    """node, payload (the set as bytes) for the documents in ``ids`` (node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             tokens = [shingle_set(t.as_py(), k, hashes).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], ["node", "payload"])
 
     wanted = docs.join(small(ids), docs.doc_id == ids.node, "left_semi")
-    return wanted.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(run, "node bigint, tokens binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [linked(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
-
-
-def _shard_links(shards: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Verified links between components of one shard. shards: node, part, shard, n."""
-    size_bin = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(np.log(den / num)))
-    rows = shards.withColumn("bin", size_bin)
-    fits = shards.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).withColumn("whole", (F.col("rows") <= SHARD_ROWS) & (F.col("total") <= SHARD_TOKENS)).select("shard", "whole")
-    subs = rows.groupBy("shard", "bin").agg(F.ceil(F.greatest(F.count("*") / SHARD_ROWS, F.sum("n") / SHARD_TOKENS)).cast("int").alias("subs"))
-    fits, subs = save(fits, "shard-fits"), save(subs, "shard-bins")
-    rows = rows.join(small(fits), "shard")
-    whole = rows.where("whole").select("shard", F.lit(0).cast("bigint").alias("x"), F.lit(0).alias("xs"), F.lit(0).cast("bigint").alias("y"), F.lit(0).alias("ys"), F.lit(0).alias("side"), "node", "part")
-    cut = rows.where("not whole")
-    own = subs.select("shard", "bin", F.col("subs").alias("own"))
-    other = subs.select("shard", F.col("bin").alias("other_bin"), F.col("subs").alias("others"))
-    plan = save(own.join(other, "shard").where("abs(bin - other_bin) <= 1"), "shard-plan")
-    dealt = (
-        cut.join(small(plan), ["shard", "bin"])
-        .withColumn("sub", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
-        .withColumn("other_sub", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    )
-    mine, theirs = F.struct(F.col("bin").alias("b"), F.col("sub").alias("s")), F.struct(F.col("other_bin").alias("b"), F.col("other_sub").alias("s"))
-    lo, hi = F.least(mine, theirs), F.greatest(mine, theirs)
-    blocks = dealt.select("shard", lo.b.alias("x"), lo.s.alias("xs"), hi.b.alias("y"), hi.s.alias("ys"), F.when(mine > theirs, 1).otherwise(0).alias("side"), "node", "part")
-    units = whole.unionByName(blocks).join(sets, "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for _, group in sorted_groups(batches, 5):
-            found += join_block([r[6] for r in group], [r[7] for r in group], [r[5] for r in group], [np.frombuffer(r[8], dtype=np.uint64) for r in group], num, den)
-            if len(found) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-                found = []
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-    unit = ["shard", "x", "xs", "y", "ys"]
-    return units.select(*unit, "side", "node", "part", "tokens").repartition(*unit).sortWithinPartitions(*unit, "side", "node").mapInArrow(run, "a bigint, b bigint")
+    return wanted.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(run, "node bigint, payload binary")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -277,23 +230,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     classes = save(sets_of.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "jaccard-classes")
     nodes = sets_of.join(small(classes.select("node").distinct()), F.col("doc_id") == F.col("node"), "left_semi")
 
-    dealt = nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    hubs = save(dealt.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("key", "hub"), "jaccard-hubs")
-    shared = save(dealt.join(hubs, "key"), "jaccard-keys")
-    drop(hubs)
-
-    first = save(shared.groupBy("node").agg(F.min("hub").alias("hub")), "jaccard-first")
-    sets = save(_sets(docs, first.select("node"), k), "jaccard-sets")
-    links = save(_verified(first.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, num, den), "jaccard-links")
-    parts = components(links)
-    parted = shared.join(small(parts), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    open_keys = save(parted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "lo"), "jaccard-open")
-    ties = components(parted.join(open_keys, "key").select(F.col("part").alias("a"), F.col("lo").alias("b")))
-    every = first.select("node").join(small(parts), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
-    sizes = nodes.select(F.col("doc_id").alias("node"), "n")
-    shards = save(every.join(small(ties.select(F.col("node").alias("part"), F.col("component").alias("shard"))), "part").join(sizes, "node").select("node", "part", "shard", "n").distinct(), "jaccard-shards")
-    more = save(_shard_links(shards, sets, num, den), "jaccard-links")
-    final = components(links.unionByName(more))
+    final = link_components(
+        nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")),
+        nodes.select(F.col("doc_id").alias("node"), "n"),
+        lambda ids: _sets(docs, ids, k),
+        lambda a, b: linked(_tokens(a), _tokens(b), num, den),
+        lambda ids, parts, sides, sets: join_block(ids, parts, sides, [_tokens(x) for x in sets], num, den),
+        F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(np.log(den / num))),
+        "jaccard",
+    )
 
     found = (
         described.join(small(classes), ["d1", "d2"], "left")
