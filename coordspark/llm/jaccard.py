@@ -196,16 +196,16 @@ def _tokens(payload: bytes) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """node, payload (the set as bytes) for the documents in ``ids`` (node)."""
+    """node, n, payload (the set as bytes) for the documents in ``ids`` (node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             tokens = [shingle_set(t.as_py(), k, hashes).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], ["node", "payload"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) // 8 for t in tokens], pa.int64()), pa.array(tokens, pa.binary())], ["node", "n", "payload"])
 
     wanted = docs.join(small(ids), docs.doc_id == ids.node, "left_semi")
-    return wanted.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(run, "node bigint, payload binary")
+    return wanted.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(run, "node bigint, n bigint, payload binary")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -232,7 +232,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     final = link_components(
         nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")),
-        nodes.select(F.col("doc_id").alias("node"), "n"),
         lambda ids: _sets(docs, ids, k),
         lambda a, b: linked(_tokens(a), _tokens(b), num, den),
         lambda ids, parts, sides, sets: join_block(ids, parts, sides, [_tokens(x) for x in sets], num, den),

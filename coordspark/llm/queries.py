@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm import bpe, chat, decontaminate, jaccard, langid, quality, secrets, warc
+from coordspark.llm import bpe, chat, decontaminate, jaccard, langid, lines, quality, secrets, warc
 from coordspark.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), "text")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"))
     return warc.read_warc(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,7 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op3_warc, op4_decontamination, op5_chat_format, op7_quality_rules, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)
+    for f in (op1_secret_scan, op2_line_dedup, op3_warc, op4_decontamination, op5_chat_format, op7_quality_rules, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -58,7 +58,7 @@ def shard_links(shards: DataFrame, payloads: DataFrame, join_block: BlockJoin) -
     mine, theirs = F.struct(F.col("bin").alias("b"), F.col("sub").alias("s")), F.struct(F.col("other_bin").alias("b"), F.col("other_sub").alias("s"))
     lo, hi = F.least(mine, theirs), F.greatest(mine, theirs)
     blocks = dealt.select("shard", lo.b.alias("x"), lo.s.alias("xs"), hi.b.alias("y"), hi.s.alias("ys"), F.when(mine > theirs, 1).otherwise(0).alias("side"), "node", "part")
-    units = whole.unionByName(blocks).join(payloads, "node")
+    units = whole.unionByName(blocks).join(payloads.select("node", "payload"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -73,12 +73,15 @@ def shard_links(shards: DataFrame, payloads: DataFrame, join_block: BlockJoin) -
     return units.select(*unit, "side", "node", "part", "payload").repartition(*unit).sortWithinPartitions(*unit, "side", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def link_components(dealt: DataFrame, sizes: DataFrame, payloads_of: Callable[[DataFrame], DataFrame], linked: Callable[[bytes, bytes], bool], join_block: BlockJoin, size_bin: Column, label: str) -> DataFrame:
+def link_components(dealt: DataFrame, payloads_of: Callable[[DataFrame], DataFrame], linked: Callable[[bytes, bytes], bool], join_block: BlockJoin, size_bin: Column, label: str) -> DataFrame:
     """node, component for every node with a verified link.
 
-    dealt: key, node (linked nodes share a key). sizes: node, n. payloads_of: nodes (node) -> node, payload.
+    dealt: key, node and perhaps lead (linked nodes share a key that one of them leads). payloads_of: nodes (node) ->
+    node, n (size), payload.
     """
-    hubs = save(dealt.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("key", "hub"), f"{label}-hubs")
+    lead = F.when(F.col("lead"), F.col("node")) if "lead" in dealt.columns else F.col("node")
+    ends = dealt.groupBy("key").agg(F.min(lead).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last"))
+    hubs = save(ends.where("hub is not null and first != last").select("key", "hub"), f"{label}-hubs")
     shared = save(dealt.join(hubs, "key").select("key", "node", "hub"), f"{label}-keys")
     drop(hubs)
     first = save(shared.groupBy("node").agg(F.min("hub").alias("hub")), f"{label}-first")
@@ -89,6 +92,6 @@ def link_components(dealt: DataFrame, sizes: DataFrame, payloads_of: Callable[[D
     open_keys = save(parted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "lo"), f"{label}-open")
     ties = components(parted.join(open_keys, "key").select(F.col("part").alias("a"), F.col("lo").alias("b")))
     every = first.select("node").join(small(parts), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
-    shards = every.join(small(ties.select(F.col("node").alias("part"), F.col("component").alias("shard"))), "part").join(sizes, "node").select("node", "part", "shard", "n").distinct()
+    shards = every.join(small(ties.select(F.col("node").alias("part"), F.col("component").alias("shard"))), "part").join(payloads.select("node", "n"), "node").select("node", "part", "shard", "n").distinct()
     more = save(shard_links(save(shards.withColumn("bin", size_bin), f"{label}-shards"), payloads, join_block), f"{label}-links")
     return components(links.unionByName(more))
