@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm import bpe, chat, decontaminate, jaccard, langid, lines, quality, secrets, warc
+from coordspark.llm import bpe, chat, decontaminate, jaccard, langid, lines, maxent, quality, secrets, warc
 from coordspark.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(turns.unionByName(extra), keep_text=False)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +55,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_line_dedup, op3_warc, op4_decontamination, op5_chat_format, op7_quality_rules, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)
+    for f in (op1_secret_scan, op2_line_dedup, op3_warc, op4_decontamination, op5_chat_format, op6_lm_score, op7_quality_rules, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {}
