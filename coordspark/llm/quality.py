@@ -116,13 +116,14 @@ def certified_cutoffs(signals: DataFrame, labels: DataFrame, risk: float = RISK,
         for name, (_, cutoffs) in SIGNALS.items()
     ]
     leveled = held.select("stratum", "good", F.inline(F.array(*level))).groupBy("stratum", "signal", "level").agg(F.count_if(F.col("good") == 1).alias("g"), F.count_if(F.col("good") == 0).alias("b"))
+    leveled = save(leveled, "quality-levels")
+    tests = leveled.select("stratum").distinct().count() * sum(len(c) for _, c in SIGNALS.values())
     grid = signals.sparkSession.createDataFrame([(name, i + 1, float(c)) for name, (_, cutoffs) in SIGNALS.items() for i, c in enumerate(cutoffs)], "signal string, at int, cutoff double")
     sums = (
         leveled.join(F.broadcast(grid), "signal").groupBy("stratum", "signal", "at", "cutoff")
         .agg(F.sum("g").alias("n"), F.sum(F.when(F.col("level") >= F.col("at"), F.col("g")).otherwise(0)).alias("k"), F.sum(F.when(F.col("level") >= F.col("at"), F.col("b")).otherwise(0)).alias("caught"))
     )
-    tests = leveled.select("stratum").distinct().agg((F.count("*") * sum(len(c) for _, c in SIGNALS.values())).alias("tests"))
-    certified = sums.crossJoin(F.broadcast(tests)).where((F.col("n") > 0) & (binomial_tail(F.col("k"), F.col("n"), risk / len(SIGNALS)) * F.col("tests") <= delta))
+    certified = sums.where((F.col("n") > 0) & (binomial_tail(F.col("k"), F.col("n"), risk / len(SIGNALS)) * tests <= delta))
     gain = F.col("caught") - weight * F.col("k")
     return certified.where(gain > 0).groupBy("stratum", "signal").agg(F.max_by("cutoff", F.struct(gain, "cutoff")).alias("cutoff"))
 
