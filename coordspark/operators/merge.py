@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Which source of a label outranks which; others rank 0.
 SOURCE_RANK = {"verdict": 4, "explicit_feedback": 3, "thumbs_feedback": 3, "issue_created": 2, "status_change": 1, "semantic_filter": 0}
@@ -142,10 +146,6 @@ def rate_limited(requests: DataFrame, limit: int, window_ms: int = 60_000) -> Da
 
     Window begins depend on each other, so each ip is streamed in order from sorted partitions; nothing is gathered.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ip, start, count, begun = None, 0, 0, False
         for batch in batches:
@@ -160,7 +160,7 @@ def rate_limited(requests: DataFrame, limit: int, window_ms: int = 60_000) -> Da
             yield batch.assign(rejected=out)
 
     rows = requests.select("ip", "ts_ms", "pos").repartition("ip").sortWithinPartitions("ip", "ts_ms", "pos")
-    return rows.mapInPandas(run, rows.schema.add("rejected", "boolean"))
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("rejected", T.BooleanType())]))
 
 
 def first_occurrences(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -1,8 +1,495 @@
-"""All registered queries of the coordination part, with their SQL."""
+"""All registered queries of the coordination part, with their SQL over the same tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from coordspark.functions import geometry, text
+from coordspark.operators import cluster, curate, detect, merge, quality, review, spatial
+from coordspark.plans import sql as S
+from coordspark.sources import fixtures, formats
+from coordspark.streaming import jobs
+
 FLAGSHIP = "clash_detection"
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def elements(spark, d):
+    return fixtures.frame(spark, d, fixtures.ELEMENTS)
+
+
+def triangles(spark, d):
+    return fixtures.frame(spark, d, fixtures.TRIANGLES)
+
+
+def models(spark, d):
+    return fixtures.frame(spark, d, fixtures.MODELS)
+
+
+def clashes(spark, d):
+    return fixtures.frame(spark, d, fixtures.CLASHES)
+
+
+def issues(spark, d):
+    return fixtures.frame(spark, d, S.ISSUES)
+
+
+def dq_elements(spark, d):
+    """Validation elements with their nested properties; built in place, without a shuffle."""
+    flat = fixtures.frame(spark, d, S.DQ_PART)
+    groups: dict[str, list] = {}
+    for pset, key, when, value in S.DQ_PROPS:
+        groups.setdefault(pset, []).append(F.when(F.expr(when), F.struct(F.lit(key).alias("key"), F.expr(value).alias("value"))))
+    sets = [F.struct(F.lit(pset).alias("key"), F.map_from_entries(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("value")) for pset, rows in groups.items()]
+    psets = F.map_from_entries(F.filter(F.array(*sets), lambda s: F.size(s.value) > 0))
+    quantities = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in (("Width", "q_width"), ("NetFloorArea", "q_area"), ("GrossVolume", "q_volume")))), lambda x: x.value.isNotNull())
+    layers = F.when(F.col("layer_width").isNotNull(), F.array(F.struct(F.col("layer_width").alias("width"))))
+    return flat.withColumns({"psets": psets, "quantities": F.when(F.size(quantities) > 0, F.map_from_entries(quantities)), "layers": layers})
+
+
+# --- detection
+
+
+@query(S.CLASH_DETECTION)
+def clash_detection(spark, d):
+    """Hard clashes across models with names, counted by storey: the flagship."""
+    found = detect.run_detection(elements(spark, d), models(spark, d), detect.Rules(max_gap=0))
+    return review.count_by_storey(found)
+
+
+@query(S.pairs("a.model_id <> b.model_id"))
+def detect_hard_aabb(spark, d):
+    return spatial.detect_boxes(elements(spark, d)).select("a_express_id", "b_express_id")
+
+
+@query(S.pairs("true"))
+def detect_hard_aabb_self(spark, d):
+    return spatial.detect_boxes(elements(spark, d), exclude_self=False).select("a_express_id", "b_express_id")
+
+
+@query(S.pairs("a.model_id <> b.model_id", gap=50))
+def detect_gap_aabb(spark, d):
+    return spatial.detect_boxes(elements(spark, d), gap=50).select("a_express_id", "b_express_id")
+
+
+@query(S.pairs("(a.model_id = 'M0' AND b.model_id = 'M1' OR a.model_id = 'M1' AND b.model_id = 'M0') AND NOT (least(a.ifc_type, b.ifc_type) = 'IfcBeam' AND greatest(a.ifc_type, b.ifc_type) = 'IfcWall')"))
+def detect_scoped(spark, d):
+    return spatial.detect_boxes(elements(spark, d), models_a=["M0"], models_b=["M1"], excluded_pairs=[("IfcWall", "IfcBeam")]).select("a_express_id", "b_express_id")
+
+
+def _contacts(spark, d):
+    t = triangles(spark, d)
+    across = (F.col("a_express_id") < F.col("b_express_id")) & (F.col("a_model_id") != F.col("b_model_id"))
+    return t, across
+
+
+@query(S.TRI_TRI)
+def detect_tri_tri(spark, d):
+    t, across = _contacts(spark, d)
+    return spatial.triangle_contacts(t, t, 1500, across).select("a_express_id", "b_express_id", F.round("seg_len", 3).alias("seg_len"))
+
+
+@query(S.MESH_SUMMARY)
+def mesh_intersect_summary(spark, d):
+    t, across = _contacts(spark, d)
+    found = spatial.mesh_intersections(t, t, 1500, across)
+    return found.groupBy("a_model_id", "b_model_id").agg(F.count("*").alias("pairs"), F.sum("n_contacts").alias("contacts"), F.round(F.max("max_segment_len"), 3).alias("longest"))
+
+
+@query(S.MIN_DISTANCE)
+def mesh_min_distance(spark, d):
+    """Least corner distance up to 3000 mm between the meshes of consecutive elements."""
+    t = triangles(spark, d)
+    corners = lambda key: t.select(key.alias("pair"), F.explode(F.array(*(F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"), F.col(f"z{i}").alias("z")) for i in range(3)))).alias("p")).select("pair", "p.*")
+    found = spatial.min_distance(corners(F.col("express_id")), corners(F.col("express_id") - 1), 3000)
+    return found.select("pair", F.round("distance", 3).alias("distance"))
+
+
+@query(S.DUPLICATES)
+def duplicate_geometry(spark, d):
+    e = elements(spark, d)
+    doubled = e.unionByName(e.where("express_id % 10 = 0").withColumn("express_id", F.col("express_id") + 1000000))
+    return spatial.duplicate_geometry(doubled).select("ifc_type", "first_id", "last_id", "n")
+
+
+@query(S.BOUNDS)
+def model_bounds(spark, d):
+    return spatial.model_bounds(elements(spark, d))
+
+
+@query(S.PLANE_CUT)
+def plane_cut_segments(spark, d):
+    cut = geometry.plane_cut(triangles(spark, d), 500.0)
+    return cut.select("express_id", *(F.round(c, 3).alias(c) for c in ("u0", "v0", "u1", "v1")))
+
+
+@query(S.ENRICH)
+def clash_enrich(spark, d):
+    found = detect.run_detection(elements(spark, d), models(spark, d), detect.Rules(max_gap=0, exclude_self=False))
+    return found.select("id", "title", "description", "self_clash", "discipline_a", "discipline_b", "elevation")
+
+
+@query(S.RELATED)
+def related_pair_exclusion(spark, d):
+    e = elements(spark, d)
+    related = e.select(F.col("global_id").alias("gid_a"), F.concat(F.lit("G"), (F.col("express_id") * 2).cast("string")).alias("gid_b"))
+    return spatial.drop_related(spatial.detect_boxes(e), related).select("a_express_id", "b_express_id")
+
+
+@query(S.DENIED)
+def denied_suppression(spark, d):
+    e = elements(spark, d)
+    middle = {k: (F.col(f"a_{k}0") + F.col(f"b_{k}0")) / 2 for k in "xyz"}
+    found = spatial.detect_boxes(e).withColumns(middle)
+    third = found.where("(a_express_id + b_express_id) % 3 = 0")
+    denied = third.select(F.col("b_global_id").alias("gid_a"), F.col("a_global_id").alias("gid_b"), (F.col("x") + F.col("a_express_id") % 300).alias("x"), "y", "z")
+    return spatial.drop_denied(found, denied).select("a_express_id", "b_express_id")
+
+
+@query(S.TOLERANCE)
+def type_pair_tolerance(spark, d):
+    pairs = spatial.overlap_box(spatial.detect_boxes(elements(spark, d)))
+    tolerances = spark.createDataFrame([("IfcBeam:IfcWall", 200), ("IfcDoor:IfcWall", 400)], "pair_key string, tolerance_mm int")
+    return spatial.within_tolerance(pairs, tolerances, 1e6).select("a_express_id", "b_express_id", F.col("depth_mm").cast("bigint").alias("depth_mm"))
+
+
+@query(S.CLUSTERS)
+def cluster_components(spark, d):
+    """Elements of one type and storey linked by steps within 1500 mm of their corners."""
+    e = elements(spark, d)
+    points = e.select(F.col("express_id").alias("id"), F.col("ifc_type").alias("type_pair"), "storey", *(F.col(f"{k}0").alias(k) for k in "xyz"))
+    return cluster.clusters(points, 1500)
+
+
+# --- review
+
+
+def _count(column: str):
+    def run(spark, d):
+        return review.count_by(clashes(spark, d), column)
+
+    return run
+
+
+for _name, _column in (("clash_by_status", "status"), ("clash_by_type", "type"), ("clash_by_priority", "priority")):
+    QUERIES[_name] = _count(_column)
+    ORACLE_SQL[_name] = S.on_clashes(f"SELECT {_column}, count(*) AS n FROM c GROUP BY {_column}")
+
+
+@query(S.on_clashes(f"SELECT {S.STOREY} AS storey, count(*) AS n FROM c GROUP BY 1"))
+def clash_by_storey(spark, d):
+    return review.count_by_storey(clashes(spark, d))
+
+
+@query(S.on_clashes("SELECT discipline, count(*) AS n FROM (SELECT discipline_a AS discipline FROM c UNION ALL SELECT discipline_b FROM c) AS s GROUP BY discipline"))
+def clash_by_discipline(spark, d):
+    return review.count_by_discipline(clashes(spark, d))
+
+
+@query(S.on_clashes(f"SELECT {S.STOREY} AS storey, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, storey LIMIT 1"))
+def hotspot_storey(spark, d):
+    return review.hotspot(clashes(spark, d))
+
+
+@query(S.on_clashes("SELECT least(elem_a_type, coalesce(elem_b_type, '?')) || ' vs ' || greatest(elem_a_type, coalesce(elem_b_type, '?')) AS pair, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, pair LIMIT 5"))
+def top_type_pairs(spark, d):
+    return review.top_pairs(clashes(spark, d))
+
+
+@query(S.REPORT)
+def report_summary(spark, d):
+    return review.report(clashes(spark, d), issues(spark, d))
+
+
+@query(S.on_clashes("SELECT discipline, count(*) AS total, count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE type = 'hard') AS hard FROM (SELECT discipline_a AS discipline, status, type FROM c UNION ALL SELECT discipline_b, status, type FROM c) AS s GROUP BY discipline"))
+def report_by_discipline(spark, d):
+    return review.report_by_discipline(clashes(spark, d))
+
+
+@query(S.on_clashes(f"SELECT 'status' AS dimension, status AS value, count(*) AS n FROM c GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'storey', {S.STOREY}, count(*) FROM c GROUP BY 2"))
+def clash_breakdown(spark, d):
+    return review.breakdown(clashes(spark, d))
+
+
+@query(S.STATUS)
+def session_status(spark, d):
+    return review.session_status(models(spark, d), elements(spark, d), clashes(spark, d), issues(spark, d))
+
+
+@query(S.CLASH_LIST)
+def clash_list_open(spark, d):
+    once = clashes(spark, d).groupBy("id").agg(*(F.min(c).alias(c) for c in ("status", "priority", "type", "distance_mm")))
+    return review.clash_list(once, "open")
+
+
+@query(S.SORTED)
+def clash_sorted_topk(spark, d):
+    once = clashes(spark, d).groupBy("id").agg(*(F.min(c).alias(c) for c in ("status", "priority", "type", "distance_mm", "elem_a_type", "elem_b_type", "elem_a_storey", "elem_b_storey")))
+    return review.sort_clashes(once, "priority", "distance", limit=100).select("id", "priority", "distance_mm")
+
+
+@query(S.on_clashes(f"SELECT {S.STOREY} AS storey, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM c GROUP BY 1"))
+def group_by_storey(spark, d):
+    return review.group_clashes(clashes(spark, d), "storey")
+
+
+@query(S.on_elements("SELECT express_id, model_id, name FROM e WHERE ifc_type = 'IfcWall' AND storey = 'L1' AND model_id = 'M1' AND material LIKE '%1%'"))
+def isolate_elements(spark, d):
+    return review.isolate(elements(spark, d), models(spark, d), ifc_type="IfcWall", storey="L1", discipline="structural", material="1").select("express_id", "model_id", "name")
+
+
+@query(S.on_elements("SELECT DISTINCT ifc_type FROM e WHERE express_id IN (SELECT express_id FROM e WHERE storey = 'L3' AND x0 < 3000)"))
+def hidden_groups(spark, d):
+    e = elements(spark, d)
+    return review.hidden_groups(e, e.where("storey = 'L3' and x0 < 3000"))
+
+
+@query(S.on_elements("SELECT express_id, name FROM e WHERE lower(name) LIKE '%' || (SELECT lower(min(name)) FROM e) || '%' ORDER BY CASE WHEN lower(name) = (SELECT lower(min(name)) FROM e) THEN 0 ELSE 1 END, pos LIMIT 1"))
+def fuzzy_name(spark, d):
+    e = elements(spark, d)
+    return review.fuzzy(e, e.agg(F.min("name")).first()[0]).select("express_id", "name")
+
+
+@query(S.on_elements("SELECT model_id, storey, min(pos) AS first_pos FROM e WHERE storey <> '' GROUP BY 1, 2"))
+def storeys_seen(spark, d):
+    return review.storeys_seen(elements(spark, d))
+
+
+@query(S.DISCIPLINES)
+def model_disciplines(spark, d):
+    kinds = {"IfcWall": "architectural", "IfcDoor": "architectural", "IfcSlab": "structural", "IfcBeam": "structural", "IfcPipeSegment": "mep"}
+    return review.discipline_of(elements(spark, d), kinds)
+
+
+@query(S.OPEN_WORK)
+def open_work(spark, d):
+    return review.open_work(clashes(spark, d), issues(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(S.RUN_SUMMARY)
+def run_summary(spark, d):
+    runs = clashes(spark, d).select((F.col("elem_b") % 10).alias("run_id"), "type", (F.col("elem_a") % 3).alias("model_id"))
+    return review.run_summary(runs)
+
+
+# --- validation
+
+
+def _suite(suite: str):
+    def run(spark, d):
+        return quality.run_suite(dq_elements(spark, d), suite)
+
+    return run
+
+
+for _suite_name in quality.SUITES:
+    QUERIES[f"dq_{_suite_name}"] = _suite(_suite_name)
+    ORACLE_SQL[f"dq_{_suite_name}"] = S.DQ_SUITES[_suite_name]
+
+
+@query(S.DQ_DISTRIBUTION)
+def dq_distribution(spark, d):
+    return quality.distributions(dq_elements(spark, d))
+
+
+@query(S.SFB_DISTRIBUTION)
+def nlsfb_distribution(spark, d):
+    return quality.sfb_distribution(dq_elements(spark, d))
+
+
+@query(S.COMPLIANCE)
+def ils_compliance(spark, d):
+    return quality.compliance(dq_elements(spark, d))
+
+
+# --- merges
+
+
+@query(S.LABEL_MERGE)
+def label_merge(spark, d):
+    return merge.merge_labels(fixtures.frame(spark, d, S.LABEL_RECORDS)).select("id", F.col("label").cast("double").alias("label"), "label_source")
+
+
+@query(S.REPLAY)
+def changelog_replay(spark, d):
+    log = fixtures.frame(spark, d, fixtures.CHANGELOG)
+    return merge.replay(log.where("not is_local"), log.where("is_local"))
+
+
+@query(S.UPSERT_STATE)
+def optimistic_upsert(spark, d):
+    return _upsert(spark, d)[0]
+
+
+@query(S.UPSERT_CONFLICTS)
+def upsert_conflicts(spark, d):
+    return _upsert(spark, d)[1]
+
+
+def _upsert(spark, d):
+    return merge.optimistic_upsert(fixtures.frame(spark, d, S.SERVER), fixtures.frame(spark, d, S.CLIENT))
+
+
+@query(S.DELTA)
+def delta_ingest(spark, d):
+    e = elements(spark, d).select("global_id", "express_id", "name")
+    batch = e.where("express_id % 10 = 0").withColumn("name", F.concat("name", F.lit(" v2")))
+    return merge.ingest_delta(e, batch, e.where("express_id % 4 <> 0"))
+
+
+@query(S.CDC)
+def cdc_apply(spark, d):
+    state = elements(spark, d).where("express_id % 97 <> 0").select("express_id", "name", "material")
+    return merge.apply_changes(state, fixtures.frame(spark, d, S.CHANGES), ["name", "material"], "express_id")
+
+
+@query(S.REDETECT)
+def redetect_delta(spark, d):
+    rows = clashes(spark, d).select(F.concat(F.lit("G"), F.col("elem_a").cast("string")).alias("global_id_a"), F.concat(F.lit("G"), F.col("elem_b").cast("string")).alias("global_id_b"), "status")
+    once = rows.groupBy("global_id_a", "global_id_b").agg(F.min("status").alias("status"))
+    n = F.substring("global_id_a", 2, 20).cast("bigint") + F.substring("global_id_b", 2, 20).cast("bigint")
+    return merge.redetect(once.where(n % 3 != 0), once.where(n % 4 != 0).withColumn("status", F.lit("open")), ["status"]).groupBy("outcome", "status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 5000")
+def capped_store(spark, d):
+    return merge.newest(spark.read.parquet(f"{d}/events.parquet"), 5000, ["ts", "event_id"]).select(F.col("event_id").alias("id"), "user_id")
+
+
+@query(S.BATCH_UPDATE)
+def batch_update(spark, d):
+    e = elements(spark, d)
+    return merge.batch_update(e, e.where("x0 < 20000"), "express_id", storey="L9").groupBy("storey").agg(F.count("*").alias("n"))
+
+
+@query(S.CHANGED)
+def changed_only(spark, d):
+    e = elements(spark, d).select("global_id", F.md5("name").alias("hash"), "express_id")
+    return merge.changed_only(e, e.where("express_id % 3 = 0")).groupBy().agg(F.count("*").alias("n"))
+
+
+@query(S.LOOKUP)
+def model_lookup(spark, d):
+    e = elements(spark, d)
+    both = e.unionByName(e.where("express_id % 5 = 0").withColumn("model_id", F.lit("M0")))
+    rows = e.select((F.col("express_id") + F.when(F.col("express_id") % 7 == 0, 1000000).otherwise(0)).alias("express_id"), F.when(F.col("express_id") % 2 == 0, "M2").otherwise("M9").alias("model_hint"))
+    return merge.lookup_model(rows, both, models(spark, d)).groupBy("model_id").agg(F.count("*").alias("n"))
+
+
+# --- curation, text, formats
+
+
+@query(S.TRAINABLE)
+def trainable_count(spark, d):
+    return curate.trainable_count(fixtures.frame(spark, d, S.LABEL_RECORDS))
+
+
+@query(S.TRAINING)
+def training_record(spark, d):
+    c = clashes(spark, d).withColumn("distance", -F.col("distance_mm").cast("double") / 8)
+    tolerances = spark.createDataFrame([("IfcBeam:IfcWall", 25)], "pair_key string, tolerance_mm int")
+    records = curate.training_records(c, tolerances)
+    return records.groupBy("ifc_type_a", "clash_type", "verdict", F.col("type_pair_tolerance_mm").cast("double").alias("type_pair_tolerance_mm")).agg(F.count("*").alias("n"), F.round(F.sum("penetration_depth_mm"), 1).alias("depth"))
+
+
+@query(S.REDACT)
+def redact_text(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.md5(text.redact("text")).alias("redacted"))
+
+
+@query(S.REDUCE)
+def reduce_type_name(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.col("p_type"), F.lit(" HEA "), F.col("p_size").cast("string"), F.lit("x200 Beam")).alias("t"))
+    return part.select("p_partkey", text.reduce_type("t").alias("reduced"))
+
+
+@query("SELECT CASE WHEN regexp_matches(text, '" + text.THOROUGH.replace("'", "''") + "') THEN 'smart' ELSE 'fast' END AS route, count(*) AS n FROM conversations GROUP BY 1")
+def nl_route(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").groupBy(text.route("text").alias("route")).agg(F.count("*").alias("n"))
+
+
+@query(S.on_elements("SELECT DISTINCT ifc_type, trim(regexp_replace(regexp_replace(ifc_type, '^Ifc', ''), '([a-z])([A-Z])', '\\1 \\2', 'g')) AS nice FROM e"))
+def nice_types(spark, d):
+    return elements(spark, d).select("ifc_type", text.nice_type("ifc_type").alias("nice")).distinct()
+
+
+@query(S.COMMANDS)
+def command_words(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("text").alias("input"), "conv_id")
+    return curate.command_records(rows).agg(F.count("*").alias("n"))
+
+
+@query(S.TOPICS)
+def issue_topics(spark, d):
+    return formats.topic_xml(issues(spark, d)).select("id", F.md5(F.substring_index("markup", "TopicType", -1)).alias("markup"))
+
+
+@query(S.LABELS_JSONL)
+def labels_jsonl(spark, d):
+    rows = fixtures.frame(spark, d, S.LABEL_RECORDS).select("id", "label", "label_source")
+    return formats.labels_jsonl(rows).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
+@query(S.WIRE_TYPES)
+def loadable_elements(spark, d):
+    rows = elements(spark, d).withColumns({"ifc_type": F.when(F.col("express_id") % 6 == 0, "IfcOpeningElement").when(F.col("express_id") % 6 == 1, "IfcSpace").otherwise(F.col("ifc_type")), "meshes": F.array("x0")})
+    return formats.loadable(rows).groupBy("ifc_type").agg(F.count("*").alias("n"), F.sum(F.size("meshes").cast("bigint")).alias("meshes"))
+
+
+@query(S.MESH_DECODE)
+def mesh_decode(spark, d):
+    """Triangles packed into the wire form and decoded again."""
+    import numpy as np
+    import pandas as pd
+
+    corner = [f"{a}{i}" for i in range(3) for a in "xyz"]
+
+    def pack(batches):
+        import base64
+
+        for b in batches:
+            yield pd.DataFrame({"id": b.express_id, "positions": [base64.b64encode(np.asarray(r, dtype="<f4").tobytes()).decode() for r in b[corner].to_numpy()], "indices": base64.b64encode(np.arange(3, dtype="<u4").tobytes()).decode()})
+
+    wire = triangles(spark, d).mapInPandas(pack, "id bigint, positions string, indices string")
+    return formats.decode_meshes(wire).groupBy().agg(F.count("*").alias("n"), F.sum(F.col("x0").cast("double")).alias("x0"), F.sum(F.col("z2").cast("double")).alias("z2"))
+
+
+@query(S.RATE_LIMIT)
+def rate_limit(spark, d):
+    """The first 60 s of each fixed window per user: requests and rejections."""
+    requests = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("ip"), (F.unix_millis(F.col("ts").cast("timestamp"))).alias("ts_ms"), F.col("event_id").alias("pos"))
+    return merge.rate_limited(requests, 2, 86_400_000).groupBy("ip").agg(F.count("*").alias("n"), F.count_if("rejected").alias("rejected"))
+
+
+# --- streams
+
+
+@query(S.REPLAY)
+def stream_lww(spark, d):
+    log = jobs.table_stream(spark, d, "events").where("event_id % 3 <> 0")
+    changes = log.select(F.col("user_id").alias("target_id"), F.col("event_type").alias("field"), "value", F.col("event_id").alias("pos"))
+    return jobs.collect_last_writes(changes)
+
+
+@query(S.CDC)
+def stream_cdc(spark, d):
+    state = elements(spark, d).where("express_id % 97 <> 0").select("express_id", "name", "material")
+    rows = jobs.table_stream(spark, d, "events")
+    changes = rows.selectExpr(*S.CHANGE_COLUMNS)
+    return jobs.apply_change_stream(state, changes, ["name", "material"], "express_id")

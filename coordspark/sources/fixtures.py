@@ -56,20 +56,21 @@ FROM lineitem JOIN part ON l_partkey = p_partkey"""
 CHANGELOG = """
 SELECT event_id AS id, event_id AS pos, user_id AS target_id, event_type AS field, value, event_id % 3 = 0 AS is_local FROM events"""
 
-_ROWS = """
-SELECT p_partkey AS express_id, 'Pset_WallCommon' AS pset, 0 AS pos, 'FireRating' AS k,
-  CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '60' WHEN 2 THEN 'REI 90' ELSE 'F7' END AS v FROM part WHERE p_size % 3 <> 0 UNION ALL
-SELECT p_partkey, 'Pset_WallCommon', 1, 'IsExternal', CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END FROM part WHERE p_size % 5 <> 0 UNION ALL
-SELECT p_partkey, 'Custom', 2, 'firerating', '120' FROM part WHERE p_size % 7 = 0 UNION ALL
-SELECT p_partkey, 'Custom', 3, 'LoadBearing', CASE WHEN p_size % 2 = 0 THEN 'TRUE' ELSE 'false' END FROM part WHERE p_partkey % 4 <> 0 UNION ALL
-SELECT p_partkey, 'Custom', 4, 'ThermalTransmittance', '0.21' FROM part WHERE p_partkey % 6 = 0 UNION ALL
-SELECT p_partkey, 'Custom', 5, 'AcousticRating', ' 52 ' FROM part WHERE p_partkey % 5 = 0 UNION ALL
-SELECT p_partkey, 'NL-SfB', 6, 'Code', CASE p_size % 6 WHEN 0 THEN '21.11' WHEN 1 THEN '(28)' WHEN 2 THEN '22' WHEN 3 THEN 'x9' WHEN 4 THEN ' ' ELSE '57.1' END FROM part WHERE p_partkey % 7 <> 0 UNION ALL
-SELECT p_partkey, 'NL-SfB', 7, 'classification', '32.3' FROM part WHERE p_size % 13 = 0 UNION ALL
-SELECT p_partkey, 'Status', 8, 'Status', CASE p_size % 3 WHEN 0 THEN 'Existing' WHEN 1 THEN 'te slopen' ELSE 'unknown' END FROM part WHERE p_partkey % 3 <> 0"""
-
-#: Property sets in long form, in order of pos.
-ELEMENT_PROPS = _ROWS
+#: Properties of the validation elements in order: set, key, present when, value.
+PROPS = (
+    ("Pset_WallCommon", "FireRating", "p_size % 3 <> 0", "CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '60' WHEN 2 THEN 'REI 90' ELSE 'F7' END"),
+    ("Pset_WallCommon", "IsExternal", "p_size % 5 <> 0", "CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END"),
+    ("Custom", "firerating", "p_size % 7 = 0", "'120'"),
+    ("Custom", "LoadBearing", "p_partkey % 4 <> 0", "CASE WHEN p_size % 2 = 0 THEN 'TRUE' ELSE 'false' END"),
+    ("Custom", "ThermalTransmittance", "p_partkey % 6 = 0", "'0.21'"),
+    ("Custom", "AcousticRating", "p_partkey % 5 = 0", "' 52 '"),
+    ("NL-SfB", "Code", "p_partkey % 7 <> 0", "CASE p_size % 6 WHEN 0 THEN '21.11' WHEN 1 THEN '(28)' WHEN 2 THEN '22' WHEN 3 THEN 'x9' WHEN 4 THEN ' ' ELSE '57.1' END"),
+    ("NL-SfB", "classification", "p_size % 13 = 0", "'32.3'"),
+    ("Status", "Status", "p_partkey % 3 <> 0", "CASE p_size % 3 WHEN 0 THEN 'Existing' WHEN 1 THEN 'te slopen' ELSE 'unknown' END"),
+)
+
+#: The same in long form, in order of pos.
+ELEMENT_PROPS = " UNION ALL ".join(f"SELECT p_partkey AS express_id, '{pset}' AS pset, {i} AS pos, '{key}' AS k, {value} AS v FROM part WHERE {when}" for i, (pset, key, when, value) in enumerate(PROPS))
 
 #: Elements for the validation rules, with blanks, nulls and more types.
 DQ_ELEMENTS = """
@@ -89,8 +90,8 @@ SELECT p_partkey AS express_id, 'M' || CAST(p_partkey % 3 AS VARCHAR(9)) AS mode
   CASE WHEN p_partkey % 10 = 0 THEN '0' WHEN p_partkey % 10 = 1 THEN '150' END AS layer_width,
   CASE WHEN p_partkey % 19 = 0 THEN 0 WHEN p_partkey % 19 = 1 THEN NULL ELSE 2 END AS n_meshes,
   CASE WHEN p_partkey % 6 <> 0 THEN CAST(p_size AS VARCHAR(9)) || ' mm' END AS q_width,
-  CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size - 3 AS VARCHAR(9)) || '.5 m2' END AS q_area,
-  CASE WHEN p_partkey % 4 = 1 THEN CAST(p_size AS VARCHAR(9)) END AS q_volume
+  CASE WHEN p_partkey % 4 <> 0 THEN CASE WHEN p_size < 3 THEN '-1.5 m2' ELSE CAST(p_size - 3 AS VARCHAR(9)) || '.5 m2' END END AS q_area,
+  CASE WHEN p_partkey % 4 = 1 THEN CAST(p_size AS VARCHAR(9)) END AS q_volume, p_partkey, p_size
 FROM part"""
 
 
