@@ -30,7 +30,7 @@ class Tool:
 TOOLS: dict[str, Tool] = {}
 
 
-def tool(name: str, changes: bool = False, **parameters: str):
+def tool(name: str, /, changes: bool = False, **parameters: str):
     def register(f):
         TOOLS[name] = Tool(name, f, changes, parameters)
         return f
@@ -38,7 +38,7 @@ def tool(name: str, changes: bool = False, **parameters: str):
     return register
 
 
-def call(state: State, name: str, **arguments) -> DataFrame | State:
+def call(state: State, name: str, /, **arguments) -> DataFrame | State:
     return TOOLS[name].run(state, **arguments)
 
 
