@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -52,46 +54,56 @@ def affine(matrix: list[float], p: Vector) -> Vector:
     return tuple(matrix[i] * p[0] + matrix[4 + i] * p[1] + matrix[8 + i] * p[2] + matrix[12 + i] for i in range(3))  # type: ignore[return-value]
 
 
-def triangle_segments(df, a: str = "a_", b: str = "b_"):
+def let(fields: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of intermediate values, each computed once whatever the body's size."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(k) for k, c in fields.items()))), body), F.lit(0))
+
+
+def triangle_segments(df: DataFrame, a: str = "a_", b: str = "b_") -> DataFrame:
     """Rows whose triangles {a}x0..z2 and {b}x0..z2 cross, with seg_len and the segment's middle (mid_x, mid_y, mid_z).
 
     The interval test: each triangle's edges that strictly cross the other's plane give an interval on the common line;
     the intervals' overlap is the contact. Coplanar, degenerate and merely touching triangles do not cross. The steps
-    are staged as columns, so nothing is computed twice.
+    are bound one after the other and generated as at most one row, so that no filter copies them.
     """
-    keep = df.columns
     pa, pb = [vector(a, i) for i in range(3)], [vector(b, i) for i in range(3)]
+    put = lambda name, v: {f"{name}{axis}": c for axis, c in zip(AXES, v, strict=True)}
+    get = lambda s, name: tuple(s[f"{name}{axis}"] for axis in AXES)
 
-    def put(frame, name: str, v: Vector):
-        return frame.withColumns({f"{name}{axis}": c for axis, c in zip(AXES, v, strict=True)})
-
-    def get(name: str) -> Vector:
-        return tuple(F.col(f"{name}{axis}") for axis in AXES)  # type: ignore[return-value]
-
-    out = put(put(df, "_na", cross(minus(pa[1], pa[0]), minus(pa[2], pa[0]))), "_nb", cross(minus(pb[1], pb[0]), minus(pb[2], pb[0])))
-    out = out.where((squared(get("_na")) >= DEGENERATE) & (squared(get("_nb")) >= DEGENERATE))
-    out = put(out, "_l", cross(get("_na"), get("_nb")))
-    distances = {f"_da{i}": dot(get("_nb"), pa[i]) - dot(get("_nb"), pb[0]) for i in range(3)} | {f"_db{i}": dot(get("_na"), pb[i]) - dot(get("_na"), pa[0]) for i in range(3)}
-    places = {f"_pa{i}": dot(get("_l"), pa[i]) for i in range(3)} | {f"_pb{i}": dot(get("_l"), pb[i]) for i in range(3)}
-    out = out.withColumns(distances | places | {"_ll": squared(get("_l"))}).where(F.col("_ll") >= COPLANAR)
-
-    def cuts(side: str) -> Column:
+    def cuts(n: Column, m: Column, side: str) -> Column:
         def cut(i: int, j: int) -> Column:
-            d0, d1, p0, p1 = (F.col(f"_{k}{side}{n}") for k, n in (("d", i), ("d", j), ("p", i), ("p", j)))
+            d0, d1, p0, p1 = (m[f"{k}{side}{v}"] for k, v in (("d", i), ("d", j), ("p", i), ("p", j)))
             return F.when(d0 * d1 < 0, p0 + (p1 - p0) * (d0 / (d0 - d1)))
 
         return F.filter(F.array(cut(0, 1), cut(0, 2), cut(1, 2)), lambda x: x.isNotNull())
 
-    out = out.withColumns({"_ta": cuts("a"), "_tb": cuts("b")}).where((F.size("_ta") >= 2) & (F.size("_tb") >= 2))
-    out = out.withColumns({"_lo": F.greatest(F.array_min("_ta"), F.array_min("_tb")), "_hi": F.least(F.array_max("_ta"), F.array_max("_tb"))}).where("_lo < _hi")
-    # the middle of the contact: the line's point with these two plane distances, moved along the line
-    ca, cb = dot(get("_na"), pa[0]), dot(get("_nb"), pb[0])
-    u, v = cross(get("_nb"), get("_l")), cross(get("_l"), get("_na"))
-    mid = {f"mid_{axis}": (ca * u[k] + cb * v[k] + F.col(f"_l{axis}") * (F.col("_lo") + F.col("_hi")) / 2) / F.col("_ll") for k, axis in enumerate(AXES)}
-    return out.withColumns({"seg_len": (F.col("_hi") - F.col("_lo")) / F.sqrt("_ll")} | mid).select(*keep, "seg_len", *mid)
+    def contact(n: Column, m: Column, t: Column, e: Column) -> Column:
+        # the middle: the line's point with these two plane distances, moved along the line
+        na, nb, line = get(n, "a"), get(n, "b"), get(m, "l")
+        u, v = cross(nb, line), cross(line, na)
+        mid = {f"mid_{axis}": (dot(na, pa[0]) * u[k] + dot(nb, pb[0]) * v[k] + line[k] * (e.lo + e.hi) / 2) / m.ll for k, axis in enumerate(AXES)}
+        out = F.struct(((e.hi - e.lo) / F.sqrt(m.ll)).alias("seg_len"), *(c.alias(k) for k, c in mid.items()))
+        return F.when((F.size(t.a) >= 2) & (F.size(t.b) >= 2) & (e.lo < e.hi), out)
+
+    def ends(n: Column, m: Column, t: Column) -> Column:
+        lo, hi = F.greatest(F.array_min(t.a), F.array_min(t.b)), F.least(F.array_max(t.a), F.array_max(t.b))
+        return let({"lo": lo, "hi": hi}, lambda e: contact(n, m, t, e))
+
+    def places(n: Column, line: Vector) -> dict[str, Column]:
+        na, nb = get(n, "a"), get(n, "b")
+        distances = {f"da{i}": dot(nb, pa[i]) - dot(nb, pb[0]) for i in range(3)} | {f"db{i}": dot(na, pb[i]) - dot(na, pa[0]) for i in range(3)}
+        return distances | {f"pa{i}": dot(line, pa[i]) for i in range(3)} | {f"pb{i}": dot(line, pb[i]) for i in range(3)} | put("l", line) | {"ll": squared(line)}
+
+    def on_line(n: Column, k: Column) -> Column:
+        return let(places(n, get(k, "l")), lambda m: F.when(m.ll >= COPLANAR, let({"a": cuts(n, m, "a"), "b": cuts(n, m, "b")}, lambda t: ends(n, m, t))))
+
+    normals = put("a", cross(minus(pa[1], pa[0]), minus(pa[2], pa[0]))) | put("b", cross(minus(pb[1], pb[0]), minus(pb[2], pb[0])))
+    whole = lambda n: (squared(get(n, "a")) >= DEGENERATE) & (squared(get(n, "b")) >= DEGENERATE)
+    found = let(normals, lambda n: F.when(whole(n), let(put("l", cross(get(n, "a"), get(n, "b"))), lambda k: on_line(n, k))))
+    return df.select("*", F.inline(F.filter(F.array(found), lambda x: x.isNotNull())))
 
 
-def plane_cut(df, height: float):
+def plane_cut(df: DataFrame, height: float) -> DataFrame:
     """Segments where the triangles x0..z2 strictly cross the horizontal plane y = height, as sheet coordinates (-x, z)."""
     keep = [c for c in df.columns if c[:-1] not in AXES or not c[-1].isdigit()]
     p = [vector("", i) for i in range(3)]

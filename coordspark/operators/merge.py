@@ -141,6 +141,12 @@ def lookup_model(rows: DataFrame, elements: DataFrame, models: DataFrame) -> Dat
     return out.withColumn("model_id", F.coalesce("h", "f")).where("model_id is not null").drop("h", "f")
 
 
+def resolve_ids(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """rows (revit_id) with gid: the global id of the index (revit_id, global_id), else the raw id."""
+    known = index.groupBy("revit_id").agg(F.min("global_id").alias("_g"))
+    return rows.join(known, "revit_id", "left").withColumn("gid", F.coalesce("_g", F.col("revit_id").cast("string"))).drop("_g")
+
+
 def rate_limited(requests: DataFrame, limit: int, window_ms: int = 60_000) -> DataFrame:
     """requests (ip, ts_ms, pos) with rejected: windows begin at a request that comes more than ``window_ms`` after the last window's begin.
 

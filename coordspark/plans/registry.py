@@ -176,6 +176,24 @@ def cluster_components(spark, d):
     return cluster.clusters(points, 1500)
 
 
+@query(S.PARALLEL)
+def parallel_rejection(spark, d):
+    """Overlapping elements without those that run side by side: the axis is the longer horizontal side."""
+    e = elements(spark, d)
+    along_x = (F.col("x1") - F.col("x0")) >= (F.col("z1") - F.col("z0"))
+    axis = {"ax": F.when(along_x, 1.0).otherwise(0.0), "ay": F.lit(0.0), "az": F.when(along_x, 0.0).otherwise(1.0)}
+    center = {f"c{k}": (F.col(f"{k}0") + F.col(f"{k}1")) / 2 for k in "xyz"}
+    return spatial.drop_parallel(spatial.detect_boxes(e.withColumns(axis | center)), 0.999, 500).select("a_express_id", "b_express_id")
+
+
+@query(S.SEGMENTS)
+def segment_merge(spark, d):
+    """Box corners of a storey and type that lie within 400 mm of each other in a chain, merged to one point."""
+    points = elements(spark, d).select(F.col("express_id").alias("id"), F.concat_ws(":", "storey", "ifc_type").alias("pair"), *(F.col(f"{k}0").alias(k) for k in "xyz"))
+    merged = cluster.merge_segments(points, 400)
+    return merged.select("pair", "cluster", "n", *(F.round(k, 3).alias(k) for k in "xyz"))
+
+
 # --- review
 
 
@@ -281,6 +299,33 @@ def open_work(spark, d):
     return review.open_work(clashes(spark, d), issues(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query(S.SHARED)
+def shared_records(spark, d):
+    """What is shared of an issue: empty and zero values give way to defaults."""
+    rows = issues(spark, d).select(F.when(F.col("id") % 6 != 0, F.col("id").cast("string")).otherwise("").alias("id"), F.when(F.col("id") % 5 != 0, F.col("status")).alias("status"), F.when(F.col("id") % 7 != 0, F.col("priority")).otherwise("").alias("priority"), "title", "source", (F.col("id") % 3).alias("distance"))
+    shared = review.shared_record(review.valid_issues(rows))
+    return shared.groupBy("status", "priority", "source").agg(F.count("*").alias("n"), F.count("distance").alias("distances"))
+
+
+@query(S.WALK)
+def walkthrough(spark, d):
+    found = detect.run_detection(elements(spark, d), models(spark, d), detect.Rules(max_gap=0))
+    return review.walkthrough(found).limit(200).select("elem_a", "elem_b", "elevation")
+
+
+@query(S.LINKS)
+def linked_models(spark, d):
+    rows = elements(spark, d).select(F.when(F.col("express_id") % 3 != 0, F.concat(F.lit("L"), (F.col("express_id") % 4).cast("string"))).alias("link_name"), F.when(F.col("express_id") % 2 == 0, F.lit("i1")).alias("link_instance_id"))
+    return rows.groupBy(F.coalesce(review.link_key(), F.lit("host")).alias("link")).agg(F.count("*").alias("n"))
+
+
+@query(S.SHEETS)
+def annotations_per_sheet(spark, d):
+    sheets = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    markups = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("sheet_id"))
+    return review.annotations_per_sheet(sheets, markups)
+
+
 @query(S.RUN_SUMMARY)
 def run_summary(spark, d):
     runs = clashes(spark, d).select((F.col("elem_b") % 10).alias("run_id"), "type", (F.col("elem_a") % 3).alias("model_id"))
@@ -371,6 +416,37 @@ def capped_store(spark, d):
     return merge.newest(spark.read.parquet(f"{d}/events.parquet"), 5000, ["ts", "event_id"]).select(F.col("event_id").alias("id"), "user_id")
 
 
+@query(S.VIEWPOINTS)
+def viewpoint_union(spark, d):
+    e = elements(spark, d).select(F.col("express_id").alias("id"), F.col("name"))
+    return merge.union_keep_local(e.where("id % 2 = 0"), e.where("id % 3 = 0").withColumn("name", F.lit("remote"))).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-10-03 00:00:00'")
+def retention(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    return merge.retain(rows, "1998-01-01").agg(F.count("*").alias("n"))
+
+
+@query(S.BATCH_INSERT)
+def batch_insert(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.when(F.col("event_id") % 4 == 0, "nl_command").when(F.col("event_id") % 4 == 1, "clash_feedback").when(F.col("event_id") % 4 == 2, "other").alias("type"))
+    return merge.batch_insert(rows)[1]
+
+
+@query(S.RESOLVE)
+def resolve_ids(spark, d):
+    e = elements(spark, d)
+    rows = e.select((F.col("express_id") * 2).alias("revit_id"))
+    return merge.resolve_ids(rows, e.select(F.col("express_id").alias("revit_id"), "global_id")).select("revit_id", "gid")
+
+
+@query(S.CASCADE)
+def cascade_delete(spark, d):
+    parents, children = merge.delete_cascade(models(spark, d), elements(spark, d), models(spark, d).where("name like '%west%'").select("model_id"), "model_id", "model_id")
+    return children.groupBy("model_id").agg(F.count("*").alias("n")).join(parents.select("model_id"), "model_id")
+
+
 @query(S.BATCH_UPDATE)
 def batch_update(spark, d):
     e = elements(spark, d)
@@ -429,6 +505,23 @@ def nice_types(spark, d):
     return elements(spark, d).select("ifc_type", text.nice_type("ifc_type").alias("nice")).distinct()
 
 
+@query(S.SHAPES)
+def shaped_values(spark, d):
+    """Distances, labels, versions and severities as they are shown."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    metres = (F.col("p_size") - 25) / 16.0
+    kind = F.when(F.col("p_size") % 2 == 0, "hard").otherwise("soft")
+    return part.select(
+        "p_partkey", text.distance_mm(kind, metres).alias("mm"), text.measure_label(F.col("p_size") / 10.0).alias("label"), text.section_position(F.col("p_size") / 40.0).alias("position"),
+        text.pixels_per_metre(F.concat(F.lit("1:"), (F.col("p_size") + 1).cast("string"))).alias("pixels"), text.same_protocol(F.lit("2.1"), F.concat_ws(".", (F.col("p_size") % 3).cast("string"), (F.col("p_size") % 2).cast("string"))).alias("protocol"),
+        text.severity(fixtures_type(), F.lit("IfcWall"), kind, F.col("p_size") * 5).alias("severity"),
+    )
+
+
+def fixtures_type():
+    return F.expr(fixtures.TYPE_SQL.replace("IfcBuildingElementProxy", "IfcSpace"))
+
+
 @query(S.COMMANDS)
 def command_words(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("text").alias("input"), "conv_id")

@@ -253,3 +253,25 @@ MESH_DECODE = f"WITH t AS ({X.TRIANGLES}) SELECT count(*) AS n, sum(x0) AS x0, s
 RATE_LIMIT = """WITH RECURSIVE q AS (SELECT user_id AS ip, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 w AS (SELECT ip, k, t AS start, 1 AS c FROM q WHERE k = 1 UNION ALL SELECT q.ip, q.k, CASE WHEN q.t - w.start > 86400000 THEN q.t ELSE w.start END, CASE WHEN q.t - w.start > 86400000 THEN 1 ELSE w.c + 1 END FROM w JOIN q ON q.ip = w.ip AND q.k = w.k + 1)
 SELECT ip, count(*) AS n, count(*) FILTER (WHERE c > 2) AS rejected FROM w GROUP BY ip"""
+
+_AX = "CASE WHEN {0}.x1 - {0}.x0 >= {0}.z1 - {0}.z0 THEN 1 ELSE 0 END"
+_DX, _DY, _DZ = (f"((a.{k}0 + a.{k}1) / 2.0 - (b.{k}0 + b.{k}1) / 2.0)" for k in "xyz")
+PARALLEL = pairs(f"{ACROSS} AND NOT ({_AX.format('a')} = {_AX.format('b')} AND sqrt({_DY} * {_DY} + CASE WHEN {_AX.format('a')} = 1 THEN {_DZ} * {_DZ} ELSE {_DX} * {_DX} END) > 500)")
+SEGMENTS = f"""WITH RECURSIVE e AS ({X.ELEMENTS}), q AS (SELECT express_id AS id, storey || ':' || ifc_type AS pair, x0 AS x, y0 AS y, z0 AS z FROM e),
+g AS (SELECT a.id AS a, b.id AS b FROM q AS a JOIN q AS b ON a.pair = b.pair AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 160000),
+r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a), m AS (SELECT a, min(b) AS cluster FROM r GROUP BY a)
+SELECT pair, cluster, count(*) AS n, round(avg(x), 3) AS x, round(avg(y), 3) AS y, round(avg(z), 3) AS z FROM q JOIN m ON m.a = q.id GROUP BY 1, 2"""
+SHARED = f"""WITH i AS ({ISSUES}) SELECT status, CASE WHEN id % 7 = 0 THEN 'normal' ELSE priority END AS priority, source, count(*) AS n, count(CASE WHEN id % 3 <> 0 THEN 1 END) AS distances FROM i WHERE id % 6 <> 0 AND id % 5 <> 0 GROUP BY 1, 2, 3"""
+WALK = f"""WITH e AS ({X.ELEMENTS}) SELECT a.express_id AS elem_a, b.express_id AS elem_b, floor((a.y0 + a.y1 + b.y0 + b.y1) / 4.0 * 1000 + 0.5) / 1000 AS elevation
+FROM e AS a JOIN e AS b ON a.express_id < b.express_id AND {overlap()} WHERE {ACROSS} ORDER BY 3, 1, 2 LIMIT 200"""
+LINKS = on_elements("SELECT CASE WHEN express_id % 3 = 0 THEN 'host' WHEN express_id % 2 = 0 THEN 'L' || CAST(express_id % 4 AS VARCHAR) || '#i1' ELSE 'L' || CAST(express_id % 4 AS VARCHAR) END AS link, count(*) AS n FROM e GROUP BY 1")
+SHEETS = "SELECT n_nationkey AS id, n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS annotations FROM nation"
+VIEWPOINTS = on_elements("SELECT CASE WHEN express_id % 2 = 0 THEN name ELSE 'remote' END AS name, count(*) AS n FROM e WHERE express_id % 2 = 0 OR express_id % 3 = 0 GROUP BY 1")
+BATCH_INSERT = "SELECT count(*) FILTER (WHERE event_id % 4 < 2) AS inserted, count(*) FILTER (WHERE event_id % 4 >= 2) AS skipped FROM events"
+RESOLVE = on_elements("SELECT a.express_id * 2 AS revit_id, coalesce(b.global_id, CAST(a.express_id * 2 AS VARCHAR)) AS gid FROM e AS a LEFT JOIN e AS b ON b.express_id = a.express_id * 2")
+CASCADE = on_elements("SELECT model_id, count(*) AS n FROM e WHERE model_id = 'M1' GROUP BY 1")
+SHAPES = f"""WITH q AS (SELECT *, (p_size - 25) / 16.0 AS m, {X.TYPE_SQL.replace("IfcBuildingElementProxy", "IfcSpace")} AS t FROM part)
+SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN CASE WHEN m < 0 THEN floor(m * 1000 + 0.5) ELSE -1 END ELSE floor(abs(m) * 1000 + 0.5) END AS BIGINT) AS mm,
+  CASE WHEN p_size < 10 THEN CAST(p_size * 100 AS VARCHAR) || ' mm' ELSE printf('%.2f m', p_size / 10.0) END AS label, greatest(0.01, least(0.99, p_size / 40.0)) AS position,
+  CAST(floor(10000.0 / (p_size + 1) + 0.5) AS BIGINT) AS pixels, CASE WHEN p_size % 3 <> 2 THEN 'major' WHEN p_size % 2 <> 1 THEN 'minor' ELSE 'ok' END AS protocol,
+  CASE WHEN t = 'IfcSpace' THEN 'false_positive' WHEN p_size % 2 = 1 THEN 'minor' WHEN p_size * 5 >= 100 THEN 'critical' WHEN p_size * 5 >= 20 THEN 'major' ELSE 'minor' END AS severity FROM q"""
