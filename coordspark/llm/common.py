@@ -1,63 +1,18 @@
-"""What the text operators share: scratch tables, checked broadcasts and table reading."""
+"""What the text operators share: table reading, scratch tables and grouping of sorted rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows of a two-column id table that may be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+from coordspark.sources.scratch import drop, new_path, save, scratch_dir, small
 
-_own_dir: list[str] = []
+__all__ = ["drop", "new_path", "save", "scratch_dir", "small", "sorted_groups", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); a local one only on a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="coordspark-"))
-    return _own_dir[0]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later step reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the scratch table behind a DataFrame that ``save`` returned."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        drop_path(df.sparkSession, path)
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (the join is then shuffled)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def sorted_groups(batches, key_columns: int):
     """Rows of a sorted partition, group by group: yields (key, rows) with rows as tuples. Holds one group at a time."""
     at, rows = None, []

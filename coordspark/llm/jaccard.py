@@ -3,7 +3,7 @@
 1. A document's set is its distinct word shingles (64-bit hashes). Equal sets become one node.
 2. Tokens are hashed into groups. Two sets of a size window whose Jaccard similarity reaches the threshold differ in at
    most T tokens, so of T + 1 + s groups at least s + 1 hold the very same tokens. Each node is dealt out by the content
-   of its groups (groups of under two tokens only if more than s of its groups are that small): linked nodes always
+   of its groups (of empty groups only if more than s of its groups are empty): linked nodes always
    share a key, and unrelated ones hardly ever do.
 3. Each node is compared with the smallest node that it shares a key with; verified links give first components.
 4. Keys that still hold several components tie them into shards. A shard's nodes are indexed in an R-tree of group
@@ -20,6 +20,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import save, small
+from coordspark.llm.common import drop, save, small
 from coordspark.llm.similar import link_components
 
 GROUPS = 128
@@ -84,7 +85,10 @@ class Windows:
             first, after = self.start, max(self.start + 1, int(self.start * self.ratio))
             last = (after - 1) * self.den // self.num
             differ = (after - 1 + last) * (self.den - self.num) // (self.den + self.num)
-            spare = -(-differ // 8) + 2
+            # twice as many groups to spare as the smallest set is likely to leave empty
+            spare = 1
+            while spare < 2 * (differ + 1 + spare) * math.exp(-first / (differ + 1 + spare)) and spare < differ:
+                spare += 1
             self.rows.append((first, last, differ + 1 + spare, spare))
             self.start = after
 
@@ -108,8 +112,8 @@ def group_keys(tokens: np.ndarray, windows: Windows) -> np.ndarray:
         size = np.diff(at)
         seed = mixed(np.arange(groups, dtype=np.uint64) + np.uint64(window << 32))
         keys = mixed(seed + mixed(sums[at[1:]] - sums[at[:-1]] + size.astype(np.uint64)))
-        slight = size < 2
-        out.append(keys if slight.sum() > spare else keys[~slight])
+        empty = size == 0
+        out.append(keys if empty.sum() > spare else keys[~empty])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
@@ -240,8 +244,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     )
 
     found = (
-        described.join(small(classes), ["d1", "d2"], "left")
+        described.drop("keys").join(small(classes), ["d1", "d2"], "left")
         .join(small(final), "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"))
     )
-    return found
+    out = save(found, "jaccard-found")
+    for df in (described, classes, final):
+        drop(df)
+    return out

@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import save, small
+from coordspark.llm.common import drop, save, small
 from coordspark.llm.similar import link_components
 
 TAU = 2
 MIN_CHARS = 24
-SEEN = 500_000
+SEEN, FLUSH = 300_000, 100_000
 
 _WORD = r"[^\x20\x09-\x0D]"
 _ALL = (1 << 64) - 1
@@ -165,8 +165,16 @@ def _dealt(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = Places(tau, min_chars), set()
+        keys, nodes, leads = [], [], []
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(leads, pa.bool_())], ["key", "node", "lead"])
+            keys.clear()
+            nodes.clear()
+            leads.clear()
+            return out
+
         for batch in batches:
-            keys, nodes, leads = [], [], []
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
                     if len(line) < min_chars or not line.strip(" \t\n\x0b\x0c\r"):
@@ -181,7 +189,9 @@ def _dealt(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
                         keys.append(key)
                         nodes.append(node)
                         leads.append(lead)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(leads, pa.bool_())], ["key", "node", "lead"])
+                if len(keys) >= FLUSH:
+                    yield flush()
+        yield flush()
 
     return docs.select("text").mapInArrow(run, "key bigint, node bigint, lead boolean")
 
@@ -211,6 +221,9 @@ def removals(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> Dat
     seen = save(_occurrences(docs, min_chars).select("doc_id", "pos", F.xxhash64("line").alias("node")), "lines-seen")
     classed = seen.join(small(linked), "node", "left").select("doc_id", "pos", "node", F.coalesce("component", "node").alias("class_id"))
     place = F.struct("doc_id", "pos")
+    classed = save(classed, "lines-classed")
+    drop(seen)
+    drop(linked)
     firsts = save(classed.groupBy("class_id").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("class_id", "first"), "lines-first")
     return classed.join(small(firsts), "class_id").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "pos", "node", "class_id", F.col("first.doc_id").alias("first_doc"))
 
@@ -231,8 +244,8 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
                 value, cut = text.as_py(), 0
                 lines = [] if value is None else value.split("\n")
                 if value is not None and pos.is_valid:
-                    drop = dict(zip(pos.as_py(), node.as_py(), strict=True))
-                    kept = [line for i, line in enumerate(lines) if i not in drop or node_of(line) != drop[i]]
+                    gone_at = dict(zip(pos.as_py(), node.as_py(), strict=True))
+                    kept = [line for i, line in enumerate(lines) if i not in gone_at or node_of(line) != gone_at[i]]
                     cut = len(lines) - len(kept)
                     value = "\n".join(kept)
                 texts.append(value)

@@ -12,14 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.llm.common import drop, save, small, sorted_groups
-from coordspark.llm.components import components
+from coordspark.operators.components import components
 
 SHARD_ROWS, SHARD_SIZE = 1024, 2_000_000
+FILTER_BITS, FILTER_CHUNKS = 1 << 27, 256
 
 #: (nodes, parts, sides, payloads) -> verified links that tie different parts; with two sides only across them
 BlockJoin = Callable[[list[int], list[int], list[int], list[bytes]], list[tuple[int, int]]]
@@ -73,25 +75,90 @@ def shard_links(shards: DataFrame, payloads: DataFrame, join_block: BlockJoin) -
     return units.select(*unit, "side", "node", "part", "payload").repartition(*unit).sortWithinPartitions(*unit, "side", "node").mapInArrow(run, "a bigint, b bigint")
 
 
+def key_filter(keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A filter for rows (key, ...) that keeps every row whose key is in ``keys`` and drops most others.
+
+    A bitmap of at least 16 bits a key up to ``FILTER_BITS`` bits (16 MB), so its size is bounded; with more keys it only
+    drops fewer rows. The tasks' bitmaps are joined chunk by chunk in Spark.
+    """
+    spark = keys.sparkSession
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(19, (16 * keys.count()).bit_length()))
+    width = bits // 8 // FILTER_CHUNKS
+    mask = np.uint64(bits - 1)
+
+    def places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        h = column.to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h >> np.uint64(20)) & mask
+        return (h >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (h & np.uint64(7)).astype(np.uint8))
+
+    def rows(maps: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([m.tobytes() for m in maps.values()], pa.binary())], ["chunk", "bits"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(bits // 8, dtype=np.uint8)
+        for batch in batches:
+            np.bitwise_or.at(bitmap, *places(batch.column(0)))
+        chunks = bitmap.reshape(FILTER_CHUNKS, width)
+        yield rows({int(c): chunks[c] for c in np.flatnonzero(chunks.any(axis=1))})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                maps[chunk] = maps.get(chunk, 0) | np.frombuffer(part.as_py(), dtype=np.uint8)
+        yield rows(maps)
+
+    bitmap = np.zeros((FILTER_CHUNKS, width), dtype=np.uint8)
+    schema = "chunk int, bits binary"
+    for row in keys.select("key").mapInArrow(mark, schema).repartition("chunk").mapInArrow(merge, schema).toLocalIterator():
+        bitmap[row.chunk] = np.frombuffer(row.bits, dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(bitmap.ravel())
+
+    def kept(df: DataFrame) -> DataFrame:
+        at = df.columns.index("key")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                byte, bit = places(batch.column(at))
+                yield batch.filter(pa.array((shared.value[byte] & bit) > 0))
+
+        return df.mapInArrow(run, df.schema)
+
+    return kept
+
+
 def link_components(dealt: DataFrame, payloads_of: Callable[[DataFrame], DataFrame], linked: Callable[[bytes, bytes], bool], join_block: BlockJoin, size_bin: Column, label: str) -> DataFrame:
     """node, component for every node with a verified link.
 
     dealt: key, node and perhaps lead (linked nodes share a key that one of them leads). payloads_of: nodes (node) ->
-    node, n (size), payload.
+    node, n (size), payload. Scratch tables go as soon as the result is stored.
     """
-    lead = F.when(F.col("lead"), F.col("node")) if "lead" in dealt.columns else F.col("node")
-    ends = dealt.groupBy("key").agg(F.min(lead).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last"))
-    hubs = save(ends.where("hub is not null and first != last").select("key", "hub"), f"{label}-hubs")
-    shared = save(dealt.join(hubs, "key").select("key", "node", "hub"), f"{label}-keys")
-    drop(hubs)
-    first = save(shared.groupBy("node").agg(F.min("hub").alias("hub")), f"{label}-first")
-    payloads = save(payloads_of(first.select("node")), f"{label}-payloads")
-    links = save(verified(first.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), payloads, linked), f"{label}-links")
+    used: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(save(df, f"{label}-{name}"))
+        return used[-1]
+
+    has_lead = "lead" in dealt.columns
+    counted = dealt.groupBy("key").agg(F.count("*").alias("n"), *([F.max("lead").alias("lead")] if has_lead else []))
+    repeated = kept(counted.where("n > 1 and lead" if has_lead else "n > 1").select("key"), "repeated")
+    # the same sort-merge join at every size: a skewed key is split, and nothing hangs on the keys being few
+    shared = kept(key_filter(repeated)(dealt).join(repeated.hint("merge"), "key").select("key", "node", *["lead"] * has_lead), "keys")
+    lead = F.when(F.col("lead"), F.col("node")) if has_lead else F.col("node")
+    ends = shared.groupBy("key").agg(F.min(lead).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last"))
+    hubs = kept(ends.where("hub is not null and first != last").select("key", "hub"), "hubs")
+    met = shared.join(hubs, "key").select("key", "node", "hub")
+    first = kept(met.groupBy("node").agg(F.min("hub").alias("hub")), "first")
+    payloads = kept(payloads_of(first.select("node")), "payloads")
+    links = kept(verified(first.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), payloads, linked), "links")
     parts = components(links)
-    parted = shared.join(small(parts), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    open_keys = save(parted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "lo"), f"{label}-open")
+    parted = met.join(small(parts), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    open_keys = kept(parted.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key", "lo"), "open")
     ties = components(parted.join(open_keys, "key").select(F.col("part").alias("a"), F.col("lo").alias("b")))
     every = first.select("node").join(small(parts), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
     shards = every.join(small(ties.select(F.col("node").alias("part"), F.col("component").alias("shard"))), "part").join(payloads.select("node", "n"), "node").select("node", "part", "shard", "n").distinct()
-    more = save(shard_links(save(shards.withColumn("bin", size_bin), f"{label}-shards"), payloads, join_block), f"{label}-links")
-    return components(links.unionByName(more))
+    more = kept(shard_links(kept(shards.withColumn("bin", size_bin), "shards"), payloads, join_block), "more")
+    found = components(links.unionByName(more))
+    for df in (*used, parts, ties):
+        drop(df)
+    return found
