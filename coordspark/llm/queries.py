@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm import bpe, chat, decontaminate, jaccard, langid, lines, maxent, quality, secrets, warc
+from coordspark.llm import bpe, chat, decontaminate, jaccard, langid, lines, maxent, quality, secrets, sql, warc
 from coordspark.llm.common import table
 
 
@@ -30,7 +30,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.format_chats(turns.unionByName(extra), keep_text=False)
+    return chat.format_chats(turns.unionByName(extra), keep_text=False).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,5 @@ QUERIES = {
     for f in (op1_secret_scan, op2_line_dedup, op3_warc, op4_decontamination, op5_chat_format, op6_lm_score, op7_quality_rules, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are beyond SQL; tests hold them against brute force, round trips and held-out data.
+ORACLE_SQL: dict[str, str] = {"op3_warc": sql.OP3, "op4_decontamination": sql.OP4, "op5_chat_format": sql.OP5, "op9_ngram_jaccard": sql.OP9}
