@@ -9,31 +9,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.sources.scratch import drop, save, small
+from coordspark.sources.scratch import drop, save, save_counted, small
 
 MAX_ROUNDS = 50
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that it is linked with) for every node of an edge of ``edges`` (a, b). Null ends are ignored."""
-    now = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a != b").distinct(), "edges")
-    state = None
+    ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a != b")
+    now, state = save_counted(ends.distinct(), "edges")
     for _ in range(MAX_ROUNDS):
+        if not state[0]:
+            break
         # large-star: neighbours above a node are tied to the smallest one around it
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
-        large = save(both.join(small(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "large-stars")
+        large = both.join(small(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         # small-star: a node and its smaller neighbours are tied to the smallest of them
         low = save(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
-        tied = large.join(small(low), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        following = save(tied.where("u != v").distinct(), "edges")
-        summary = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        for used in (now, least, large, low):
+        ties = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        following, reached = save_counted(large.join(small(low), "u").select(F.inline(ties)).where("u != v").distinct(), "edges")
+        for used in (now, least, low):
             drop(used)
         now = following
-        if summary == state:
+        if reached == state:
             break
-        state = summary
+        state = reached
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
-    return save(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    found = save(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    drop(now)
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a two-column id table that may be broadcast; beyond it the join is shuffled.
@@ -32,9 +32,18 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return save_counted(df, label)[0]
+
+
+def save_counted(df: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
+    """``save``, and the number of rows with a sum of their hashes, observed while writing."""
+    spark, path, seen = df.sparkSession, new_path(df.sparkSession, label), Observation()
+    flat = [f.name for f in df.schema if f.dataType.typeName() in ("long", "integer", "string")]
+    check = F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in flat)).cast("decimal(38,0)")) if flat else F.lit(0)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), check.alias("check")).write.parquet(path)
+    out, found = spark.read.schema(df.schema).parquet(path), seen.get
+    out.stored_rows = found.get("rows")
+    return out, (found.get("rows"), found.get("check"))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -51,4 +60,6 @@ def drop(df: DataFrame) -> None:
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (the join is then shuffled)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    known = getattr(df, "stored_rows", None)
+    rows = df.limit(limit + 1).count() if known is None else known
+    return F.broadcast(df) if rows <= limit else df
