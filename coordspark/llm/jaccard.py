@@ -104,7 +104,7 @@ def group_keys(tokens: np.ndarray, windows: Windows) -> np.ndarray:
     """The keys by which a set is dealt out: one for each group of each of its windows."""
     out = []
     content = mixed(tokens)
-    sums = np.concatenate([[0], np.cumsum(content, dtype=np.uint64)]).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(content, dtype=np.uint64)])
     for window, groups, spare in windows.parts(len(tokens)):
         # tokens are sorted, so equal ranges of hash values are runs of them
         edges = (np.arange(1, groups, dtype=np.float64) * (2.0**64 / groups)).astype(np.uint64)
