@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coordspark.sources.scratch import drop, new_path, save, scratch_dir, small
 
-__all__ = ["drop", "new_path", "save", "scratch_dir", "small", "sorted_groups", "table"]
+__all__ = ["drop", "fresh", "new_path", "save", "scratch_dir", "small", "sorted_groups", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def sorted_groups(batches, key_columns: int):
     """Rows of a sorted partition, group by group: yields (key, rows) with rows as tuples. Holds one group at a time."""
     at, rows = None, []

@@ -7,7 +7,8 @@ each block is one pass over the documents, and the passes' hits are merged per d
 
 Defined results: null or wordless texts have no words, no hits and are clean; items without words have no windows;
 items with equal windows are all reported; repeated rows give repeated results, while rows that share a doc_id but
-not a text are judged apart; an empty benchmark leaves all clean; extra columns are ignored by ``find_hits``.
+not a text are judged apart; an empty benchmark leaves all clean; ``find_hits`` ignores extra columns, the others keep
+them, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coordspark.llm.common import fresh
+
 WINDOW = 13
 BLOCK_WINDOWS = 200_000
 
@@ -107,9 +110,10 @@ def window_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """``docs`` with three columns more: _n_words, _hits (a byte per word, 1 if hit) and _items (sorted ids)."""
+    """``docs`` with three columns more, the last ones: number of words, a byte per word (1 if hit), and sorted item ids. They are called _n_words, _hits and _items if those names are free."""
     spark = docs.sparkSession
-    extra = "_n_words bigint, _hits binary, _items array<bigint>"
+    n_words, hits_name, items_name = fresh(docs, "_n_words", "_hits", "_items")
+    extra = f"`{n_words}` bigint, `{hits_name}` binary, `{items_name}` array<bigint>"
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names = docs.columns
     at = names.index(text_col)
@@ -133,7 +137,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                     hits.append(hit.tobytes())
                     items.append(sorted(found))
                 columns = [*columns, pa.array(n, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "_n_words", "_hits", "_items"])
+                yield pa.RecordBatch.from_arrays(columns, [*names, n_words, hits_name, items_name])
 
         source = docs if k == 0 else out  # noqa: F821
         out = source.mapInArrow(run, f"{base}, {extra}")
@@ -160,8 +164,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     scanned = scan_documents(docs, benchmark, window=window, block=block)
-    n_hit = F.length(F.translate(F.hex("_hits"), "0", ""))
-    return scanned.where((n_hit == 0) | (20 * n_hit < F.col("_n_words"))).select(*docs.columns)
+    words, hits, _ = scanned.columns[-3:]
+    n_hit = F.length(F.translate(F.hex(hits), "0", ""))
+    return scanned.where((n_hit == 0) | (20 * n_hit < F.col(words))).select(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:

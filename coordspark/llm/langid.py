@@ -13,7 +13,6 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ FIT_ROWS = 1500
 BLOCK_CHARS = 1 << 20
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 1e-4, 1e-4
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.array([c if chr(c).isalpha() else 32 for c in range(128)], dtype=np.uint32)
 
 
@@ -70,7 +68,7 @@ def weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    return text is not None and any(map(str.isalpha, text))
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import drop, save, small
+from coordspark.llm.common import drop, fresh, save, small
 from coordspark.llm.similar import link_components
 
 TAU = 2
@@ -229,10 +229,12 @@ def removals(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> Dat
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the shortened text, and n_lines and n_removed besides."""
+    """``docs`` with the shortened text, and n_lines and n_removed besides (in place of columns so called)."""
+    docs = docs.drop("n_lines", "n_removed")
+    doc, at_pos, at_node = fresh(docs, "_doc", "_pos", "_node")
     gone = removals(docs, tau, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "node")).alias("_gone"))
-    gone = save(gone.select(F.col("doc_id").alias("_doc"), F.col("_gone.pos").alias("_pos"), F.col("_gone.node").alias("_node")), "lines-gone")
-    joined = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(*docs.columns, "_pos", "_node")
+    gone = save(gone.select(F.col("doc_id").alias(doc), F.col("_gone.pos").alias(at_pos), F.col("_gone.node").alias(at_node)), "lines-gone")
+    joined = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col(doc)), "left").select(*docs.columns, at_pos, at_node)
     names = docs.columns
     at = names.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines bigint, n_removed bigint"

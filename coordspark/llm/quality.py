@@ -20,7 +20,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import save, small
+from coordspark.llm.common import fresh, save, small
 
 RISK = 0.05
 DELTA = 0.05
@@ -144,5 +144,6 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The documents that are kept, with all their columns. Rows without a doc_id are judged by the base rules of the others and go if they fail them."""
     verdict = judge(docs, labels, risk, delta).groupBy("doc_id").agg(F.min("kept").alias("kept"))
-    rejected = save(verdict.where("not kept").select(F.col("doc_id").alias("_gone")), "quality-rejected")
-    return docs.join(small(rejected), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    (gone,) = fresh(docs, "_gone")
+    rejected = save(verdict.where("not kept").select(F.col("doc_id").alias(gone)), "quality-rejected")
+    return docs.join(small(rejected), F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
