@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coordspark.llm import bpe, decontaminate, jaccard, lines, quality
-from coordspark.llm.common import save, small, table
+from coordspark.llm.common import fresh, save, small, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
     classes = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    gone = save(classes.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-duplicates")
-    return docs.join(small(gone), docs.doc_id == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = save(classes.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct(), "pipeline-duplicates")
+    return docs.join(small(gone), docs.doc_id == F.col(name), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
