@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from coordspark.functions import text
 from coordspark.operators.quality import COMMON_PSET
 
-PROJECT_MARK = "ClashControl"
+# Types that are dropped or lose their meshes at load, and the header of exported labels.
 EXCLUDED_TYPES = ["IfcOpeningElement"]
 MESHLESS_TYPES = ["IfcSpace", "IfcVirtualElement", "IfcAnnotation", "IfcGrid"]
 CLASH_HEADER = (
@@ -65,10 +65,10 @@ def normalise_wire(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_project(spark: SparkSession, path: str) -> DataFrame:
-    """Project files (one JSON document each); others are ignored."""
+def read_project(spark: SparkSession, path: str, mark: str) -> DataFrame:
+    """Project files (one JSON document each, with ``mark`` as _cc); others are ignored."""
     df = spark.read.json(path, multiLine=True)
-    return df.where(F.col("_cc") == PROJECT_MARK) if "_cc" in df.columns else df.limit(0)
+    return df.where(F.col("_cc") == mark) if "_cc" in df.columns else df.limit(0)
 
 
 def project_section(project: DataFrame, section: str) -> DataFrame:
@@ -76,10 +76,10 @@ def project_section(project: DataFrame, section: str) -> DataFrame:
     return project.select(F.explode(section).alias("r")).select("r.*")
 
 
-def write_project(parts: dict[str, DataFrame], path: str, saved_at: str, version: int = 1) -> None:
+def write_project(parts: dict[str, DataFrame], path: str, saved_at: str, mark: str, version: int = 1) -> None:
     """A project is one JSON document by format; each section's rows are gathered into it, snapshots left out."""
     spark = next(iter(parts.values())).sparkSession
-    body = spark.range(1).select(F.lit(PROJECT_MARK).alias("_cc"), F.lit(version).alias("_v"), F.lit(saved_at).alias("savedAt"))
+    body = spark.range(1).select(F.lit(mark).alias("_cc"), F.lit(version).alias("_v"), F.lit(saved_at).alias("savedAt"))
     for name, df in parts.items():
         rows = df.drop("snapshot")
         body = body.join(rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name)), how="inner")

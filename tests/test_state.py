@@ -77,11 +77,11 @@ def test_formats(spark, tmp_path):
     rules = formats.ids_rules(formats.ids_xml(formats.ids_specs(spark), "T & U", "2024-01-01")).collect()
     assert len(rules) == 23 and rules[0].title == "T & U" and {r.name for r in rules} >= {"GlobalId required", "IsExternal on walls"}
 
-    formats.write_project({"issues": issues.drop("description")}, f"{tmp_path}/p", "2024-01-01")
-    assert formats.project_section(formats.read_project(spark, f"{tmp_path}/p"), "issues").count() == 2
+    formats.write_project({"issues": issues.drop("description")}, f"{tmp_path}/p", "2024-01-01", "mark")
+    assert formats.project_section(formats.read_project(spark, f"{tmp_path}/p", "mark"), "issues").count() == 2
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "x.json").write_text('{"_cc": "no"}')
-    assert formats.read_project(spark, f"{tmp_path}/other").count() == 0
+    assert formats.read_project(spark, f"{tmp_path}/other", "mark").count() == 0
 
     mesh = spark.createDataFrame([(1, base64.b64encode(struct.pack("<9f", *range(9))).decode(), None), (2, None, None)], "id bigint, positions string, indices string")
     assert [r.asDict() for r in formats.decode_meshes(mesh).select("id", "x0", "z2").collect()] == [{"id": 1, "x0": 0.0, "z2": 8.0}]
