@@ -22,6 +22,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from coordspark.llm.common import bound_batches
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_CHARS = 1 << 18
 
@@ -60,6 +62,7 @@ def encode(text: str, enc: tiktoken.Encoding, piece_chars: int = PIECE_CHARS) ->
 
 def byte_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS, keep_ids: bool = True) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256 and decoded_sha256 (of the decoded raw bytes), and with ``keep_ids`` the ids."""
+    bound_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer, processors
 
+from coordspark.llm.common import bound_batches
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 BEGIN, END, TURN, BODY, STOP = "<s>", "</s>", "<|turn|>", "<|body|>", "<|stop|>"
@@ -94,6 +96,7 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
 
 def format_chats(conversations: DataFrame, vocabulary: str = VOCABULARY, keep_text: bool = True) -> DataFrame:
     """Per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, n_loss_tokens, and with ``keep_text`` the formatted text, the ids and the token mask."""
+    bound_batches(conversations.sparkSession)
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, n_loss_tokens bigint"
     if keep_text:
         schema += ", formatted string, ids array<int>, loss_mask array<boolean>"

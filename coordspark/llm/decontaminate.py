@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import fresh
+from coordspark.llm.common import bound_batches, fresh
 
 WINDOW = 13
 BLOCK_WINDOWS = 200_000
@@ -111,6 +111,7 @@ def window_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` with three columns more, the last ones: number of words, a byte per word (1 if hit), and sorted item ids. They are called _n_words, _hits and _items if those names are free."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     n_words, hits_name, items_name = fresh(docs, "_n_words", "_hits", "_items")
     extra = f"`{n_words}` bigint, `{hits_name}` binary, `{items_name}` array<bigint>"

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import drop, save, small
+from coordspark.llm.common import bound_batches, drop, save, slices, small
 from coordspark.llm.similar import link_components
 
 GROUPS = 128
@@ -43,7 +43,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -204,7 +204,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             tokens = [shingle_set(t.as_py(), k, hashes).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) // 8 for t in tokens], pa.int64()), pa.array(tokens, pa.binary())], ["node", "n", "payload"])
 
@@ -214,11 +214,12 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id per row. Documents link when den * |A and B| >= num * |A or B|."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, windows = WordHashes(), Windows(num, den)
-        for batch in batches:
+        for batch in slices(batches):
             n, d1, d2, keys = [], [], [], []
             for text in batch.column(1):
                 tokens = shingle_set(text.as_py(), k, hashes)

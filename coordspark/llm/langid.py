@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coordspark.llm.common import bound_batches
+
 
 
 UNKNOWN = "und"
@@ -205,6 +207,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred and score; learned from the documents that are not held out."""
+    bound_batches(docs.sparkSession)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold
     rows = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang", "text")
     model = train(rows.where("not held_out"), fit_rows)

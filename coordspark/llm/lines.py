@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import drop, fresh, save, small
+from coordspark.llm.common import bound_batches, drop, fresh, save, small
 from coordspark.llm.similar import link_components
 
 TAU = 2
@@ -230,6 +230,7 @@ def removals(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> Dat
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the shortened text, and n_lines and n_removed besides (in place of columns so called)."""
+    bound_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     doc, at_pos, at_node = fresh(docs, "_doc", "_pos", "_node")
     gone = removals(docs, tau, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "node")).alias("_gone"))

@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coordspark.llm.common import bound_batches
+
 KINDS = ("assign", "access", "hex", "novel")
 DICT_WORDS = 4096
 CONTEXT = 64
@@ -121,6 +123,7 @@ def top_identifiers(docs: DataFrame, k: int = DICT_WORDS) -> list[str]:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = NOVELTY, identifiers: list[str] | None = None) -> DataFrame:
     """Per row: id, n_assign, n_access, n_hex, n_novel, base_sha256 and all spans."""
+    bound_batches(docs.sparkSession)
     if identifiers is None:
         identifiers = top_identifiers(docs.select(F.col(text_col).alias("text")))
     id_type = docs.schema[id_col].dataType.simpleString()

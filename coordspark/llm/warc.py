@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import new_path, save
+from coordspark.llm.common import bound_batches, new_path, save
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
@@ -82,6 +82,7 @@ def member(data: bytes, level: int = 6) -> bytes:
 
 def write_warc(pages: DataFrame, out_dir: str | None = None, archive_bytes: int = ARCHIVE_BYTES, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Write the archives below ``out_dir`` (default: a new scratch folder); returns the manifest, which is stored."""
+    bound_batches(pages.sparkSession)
     spark = pages.sparkSession
     out_dir = out_dir or new_path(spark, "warc")
 
