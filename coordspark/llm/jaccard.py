@@ -195,6 +195,26 @@ def join_block(nodes: list[int], parts: list[int], side: list[int], sets: list[n
     return found
 
 
+def screen_block(parts: list[int], sides: list[int], sketches: list[bytes], num: int, den: int) -> list[int]:
+    """Rows of a block that the tree's bound lets meet a row of another part (and of the other side, if there are two)."""
+    points = np.array([np.frombuffer(x, dtype=np.int32) for x in sketches])
+    sizes, part, side = points.sum(axis=1).astype(np.int64), np.array(parts), np.array(sides)
+    two = len(set(sides)) > 1
+    kept = np.zeros(len(parts), dtype=bool)
+    if (part == part[0]).all():
+        return []
+    tree = CountTree(points, sizes)
+    for i in range(len(parts)):
+        if two and side[i]:
+            continue
+        near = tree.search(points[i], int(sizes[i]), num, den)
+        near = near[(part[near] != part[i]) & ((side[near] == 1) if two else True)]
+        if len(near):
+            kept[i] = True
+            kept[near] = True
+    return np.flatnonzero(kept).tolist()
+
+
 def _tokens(payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, dtype=np.uint64)
 
@@ -205,11 +225,12 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            tokens = [shingle_set(t.as_py(), k, hashes).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) // 8 for t in tokens], pa.int64()), pa.array(tokens, pa.binary())], ["node", "n", "payload"])
+            tokens = [shingle_set(t.as_py(), k, hashes) for t in batch.column(1)]
+            sketches = [count_vector(t).astype(np.int32).tobytes() for t in tokens]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in tokens], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(sketches, pa.binary())], ["node", "n", "payload", "sketch"])
 
     wanted = docs.join(small(ids), docs.doc_id == ids.node, "left_semi")
-    return wanted.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(run, "node bigint, n bigint, payload binary")
+    return wanted.select("doc_id", F.encode("text", "UTF-8")).mapInArrow(run, "node bigint, n bigint, payload binary, sketch binary")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -242,6 +263,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         lambda ids, parts, sides, sets: join_block(ids, parts, sides, [_tokens(x) for x in sets], num, den),
         F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(np.log(den / num))),
         "jaccard",
+        lambda parts, sides, sketches: screen_block(parts, sides, sketches, num, den),
     )
 
     found = (

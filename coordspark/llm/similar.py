@@ -26,6 +26,9 @@ FILTER_BITS, FILTER_CHUNKS = 1 << 27, 256
 #: (nodes, parts, sides, payloads) -> verified links that tie different parts; with two sides only across them
 BlockJoin = Callable[[list[int], list[int], list[int], list[bytes]], list[tuple[int, int]]]
 
+#: (parts, sides, sketches) -> which rows may have a link to a different part (and side, if there are two)
+Screen = Callable[[list[int], list[int], list[bytes]], list[int]]
+
 
 def verified(pairs: DataFrame, payloads: DataFrame, linked: Callable[[bytes, bytes], bool]) -> DataFrame:
     """The pairs (a, b) whose payloads are linked."""
@@ -40,8 +43,12 @@ def verified(pairs: DataFrame, payloads: DataFrame, linked: Callable[[bytes, byt
     return pairs.join(left, "b").join(right, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def shard_links(shards: DataFrame, payloads: DataFrame, join_block: BlockJoin) -> DataFrame:
-    """Verified links between parts of one shard. shards: node, part, shard, n (size) and bin (linked nodes are in the same or in adjacent bins)."""
+def shard_links(shards: DataFrame, payloads: DataFrame, join_block: BlockJoin, screen: Screen | None = None) -> DataFrame:
+    """Verified links between parts of one shard. shards: node, part, shard, n (size) and bin (linked nodes are in the same or in adjacent bins).
+
+    With ``screen`` the nodes' small sketches are dealt out first, and the payloads only of nodes that the screen keeps
+    in a unit.
+    """
     rows = shards
     fits = shards.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).withColumn("whole", (F.col("rows") <= SHARD_ROWS) & (F.col("total") <= SHARD_SIZE)).select("shard", "whole")
     subs = rows.groupBy("shard", "bin").agg(F.ceil(F.greatest(F.count("*") / SHARD_ROWS, F.sum("n") / SHARD_SIZE)).cast("int").alias("subs"))
@@ -60,7 +67,21 @@ def shard_links(shards: DataFrame, payloads: DataFrame, join_block: BlockJoin) -
     mine, theirs = F.struct(F.col("bin").alias("b"), F.col("sub").alias("s")), F.struct(F.col("other_bin").alias("b"), F.col("other_sub").alias("s"))
     lo, hi = F.least(mine, theirs), F.greatest(mine, theirs)
     blocks = dealt.select("shard", lo.b.alias("x"), lo.s.alias("xs"), hi.b.alias("y"), hi.s.alias("ys"), F.when(mine > theirs, 1).otherwise(0).alias("side"), "node", "part")
-    units = whole.unionByName(blocks).join(payloads.select("node", "payload"), "node")
+    unit = ["shard", "x", "xs", "y", "ys"]
+    units = whole.unionByName(blocks).select(*unit, "side", "node", "part")
+    if screen is not None:
+
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, group in sorted_groups(batches, 5):
+                kept = screen([r[7] for r in group], [r[5] for r in group], [r[8] for r in group])
+                if len(kept):
+                    columns = list(zip(*(group[i][:8] for i in kept), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        names, types = units.columns, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        sketched = units.join(payloads.select("node", "sketch"), "node").select(*names, "sketch")
+        units = save(sketched.repartition(*unit).sortWithinPartitions(*unit, "side", "node").mapInArrow(sift, units.schema), "shard-units")
+    units = units.join(payloads.select("node", "payload"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -71,7 +92,6 @@ def shard_links(shards: DataFrame, payloads: DataFrame, join_block: BlockJoin) -
                 found = []
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    unit = ["shard", "x", "xs", "y", "ys"]
     return units.select(*unit, "side", "node", "part", "payload").repartition(*unit).sortWithinPartitions(*unit, "side", "node").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -127,11 +147,11 @@ def key_filter(keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return kept
 
 
-def link_components(dealt: DataFrame, payloads_of: Callable[[DataFrame], DataFrame], linked: Callable[[bytes, bytes], bool], join_block: BlockJoin, size_bin: Column, label: str) -> DataFrame:
+def link_components(dealt: DataFrame, payloads_of: Callable[[DataFrame], DataFrame], linked: Callable[[bytes, bytes], bool], join_block: BlockJoin, size_bin: Column, label: str, screen: Screen | None = None) -> DataFrame:
     """node, component for every node with a verified link.
 
     dealt: key, node and perhaps lead (linked nodes share a key that one of them leads). payloads_of: nodes (node) ->
-    node, n (size), payload. Scratch tables go as soon as the result is stored.
+    node, n (size), payload, and sketch if there is a ``screen``. Scratch tables go as soon as the result is stored.
     """
     used: list[DataFrame] = []
 
@@ -157,7 +177,7 @@ def link_components(dealt: DataFrame, payloads_of: Callable[[DataFrame], DataFra
     ties = components(parted.join(open_keys, "key").select(F.col("part").alias("a"), F.col("lo").alias("b")))
     every = first.select("node").join(small(parts), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
     shards = every.join(small(ties.select(F.col("node").alias("part"), F.col("component").alias("shard"))), "part").join(payloads.select("node", "n"), "node").select("node", "part", "shard", "n").distinct()
-    more = kept(shard_links(kept(shards.withColumn("bin", size_bin), "shards"), payloads, join_block), "more")
+    more = kept(shard_links(kept(shards.withColumn("bin", size_bin), "shards"), payloads, join_block, screen), "more")
     found = components(links.unionByName(more))
     for df in (*used, parts, ties):
         drop(df)
