@@ -33,7 +33,7 @@ from coordspark.llm.common import bound_batches, save
 FOLDS = 10
 ADD = 0.1
 HOT = 150_000
-CLASSES, MEMBERS = 24, 32
+CLASSES, MEMBERS = 32, 32
 BUCKETS = 1 << 14
 ROUNDS = 3
 BATCH = 32_768
@@ -119,15 +119,15 @@ def _hash(*ids: np.ndarray) -> np.ndarray:
 
 
 class Stream:
-    """Tokens of texts in batches: target ids, the text that each belongs to, and the two words before it."""
+    """Tokens of texts in batches: target ids, the text that each belongs to, and the three words before it."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
 
     def text(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids = self.v.ids(words)
-        before = np.concatenate([np.full(2, _START, dtype=np.int64), self.v.contexts(words, ids)[:-1]])
-        return ids, np.stack([before[1:], before[:-1]])
+        before = np.concatenate([np.full(3, _START, dtype=np.int64), self.v.contexts(words, ids)[:-1]])
+        return ids, np.stack([before[2:], before[1:-1], before[:-2]])
 
 
 def parts(ids: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +137,8 @@ def parts(ids: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def class_features(before: np.ndarray) -> tuple[np.ndarray, ...]:
-    one, two = before
-    return _hash(one), _hash(two, np.full_like(two, 7)), _hash(one, two, np.full_like(one, 5))
+    one, two, *skipped = before
+    return _hash(one), _hash(two, np.full_like(two, 7)), _hash(one, two, np.full_like(one, 5)), *(_hash(three, np.full_like(three, 11)) for three in skipped)
 
 
 def member_features(before: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -239,12 +239,12 @@ def learn_vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
 
 
 def packed(block: int, salt: int, delta: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-    """A block of weight updates (half precision) and how often each row's feature was seen."""
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([delta.astype(np.float16).tobytes()]), pa.array([seen.astype(np.float32).tobytes()])], ["block", "salt", "delta", "seen"])
+    """A block of weight updates and how often each row's feature was seen."""
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([delta.astype(np.float32).tobytes()]), pa.array([seen.astype(np.float32).tobytes()])], ["block", "salt", "delta", "seen"])
 
 
 def unpacked(delta: bytes, seen: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(delta, dtype=np.float16).reshape(BLOCK, -1).astype(np.float32), np.frombuffer(seen, dtype=np.float32)
+    return np.frombuffer(delta, dtype=np.float32).reshape(BLOCK, -1), np.frombuffer(seen, dtype=np.float32)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Weights:
@@ -280,7 +280,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Weig
             for block, (d, n) in sums.items():
                 yield packed(block, 0, d / np.maximum(n, 1)[:, None], n)
 
-        updates = docs.where(share == k).select(F.encode("text", "UTF-8")).coalesce(4 * spark.sparkContext.defaultParallelism).mapInArrow(update, schema)
+        updates = docs.where(share == k).select(F.encode("text", "UTF-8")).mapInArrow(update, schema)
         summed = updates.repartition("block", "salt").mapInArrow(total, schema).repartition("block").mapInArrow(total, schema)
         tables = [weights.classes.copy(), weights.members.copy()]
         for row in summed.toLocalIterator():

@@ -205,6 +205,19 @@ def test_lm_probabilities_sum_to_one():
     assert vocabulary.ids(words).tolist() == [0, 1, -1, 2]
 
 
+def test_lm_model_is_whole():
+    assert (maxent.CLASSES - 1) * maxent.MEMBERS == 992
+    words = [b"a", b"b", b"c", maxent.END]
+    vocabulary = maxent.Vocabulary([(w, 9 - i) for i, w in enumerate(words)], 30, 4)
+    ids, before = maxent.Stream(vocabulary).text(words)
+    assert before.tolist() == [[0, 4096, 4097, 4098], [0, 0, 4096, 4097], [0, 0, 0, 4096]] and ids.tolist() == [0, 1, 2, 3]
+    one, other = (np.stack(maxent.class_features(np.array([[5000], [5001], [x]]))) for x in (5002, 5003))
+    assert (one != other).any()  # the third word before counts
+    delta, seen = np.random.default_rng(2).normal(size=(maxent.BLOCK, maxent.CLASSES)).astype(np.float32), np.ones(maxent.BLOCK, dtype=np.float32)
+    batch = maxent.packed(0, 0, delta, seen)
+    assert np.array_equal(maxent.unpacked(batch.column(2)[0].as_py(), batch.column(3)[0].as_py())[0], delta)
+
+
 # --- quality rules
 
 
