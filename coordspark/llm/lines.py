@@ -10,7 +10,8 @@ the others are removed.
 Defined results: short lines and lines without a word always stay; a null text stays null and has no lines; documents
 whose every compared line is removed keep what is left, which may be empty; rows that share a doc_id and a text are
 deduplicated alike, so a repeated row is no duplicate of itself; null doc_ids come first; an empty table gives an
-empty result; other columns are kept as they are.
+empty result; other columns are kept as they are. Rows with different texts are told apart by a digest of the text, also
+without a doc_id or with the same one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.llm.common import bound_batches, drop, fresh, save, small
@@ -196,14 +197,19 @@ def _dealt(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key bigint, node bigint, lead boolean")
 
 
+def _text_id() -> Column:
+    """What tells rows of one doc_id apart: rows that share both are repeats of each other and are treated alike."""
+    return F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+
+
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, pos, line of every compared line."""
-    rows = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
+    """doc_id, text_id, pos, line of every compared line."""
+    rows = docs.select("doc_id", _text_id().alias("text_id"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
     return rows.where((F.length("line") >= min_chars) & F.col("line").rlike(_WORD))
 
 
 def removals(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, pos, node, class_id, first_doc for every line that is to go."""
+    """doc_id, text_id, pos, node, class_id, first_doc for every line that is to go."""
 
     def payloads_of(ids: DataFrame) -> DataFrame:
         lines = _occurrences(docs, min_chars).select(F.xxhash64("line").alias("node"), "line")
@@ -218,24 +224,24 @@ def removals(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> Dat
         F.floor(F.col("n") / max(1, tau)).cast("bigint"),
         "lines",
     )
-    seen = save(_occurrences(docs, min_chars).select("doc_id", "pos", F.xxhash64("line").alias("node")), "lines-seen")
-    classed = seen.join(small(linked), "node", "left").select("doc_id", "pos", "node", F.coalesce("component", "node").alias("class_id"))
-    place = F.struct("doc_id", "pos")
+    seen = save(_occurrences(docs, min_chars).select("doc_id", "text_id", "pos", F.xxhash64("line").alias("node")), "lines-seen")
+    classed = seen.join(small(linked), "node", "left").select("doc_id", "text_id", "pos", "node", F.coalesce("component", "node").alias("class_id"))
+    place = F.struct("doc_id", "text_id", "pos")
     classed = save(classed, "lines-classed")
     drop(seen)
     drop(linked)
     firsts = save(classed.groupBy("class_id").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("class_id", "first"), "lines-first")
-    return classed.join(small(firsts), "class_id").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "pos", "node", "class_id", F.col("first.doc_id").alias("first_doc"))
+    return classed.join(small(firsts), "class_id").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_id", "pos", "node", "class_id", F.col("first.doc_id").alias("first_doc"))
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the shortened text, and n_lines and n_removed besides (in place of columns so called)."""
     bound_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
-    doc, at_pos, at_node = fresh(docs, "_doc", "_pos", "_node")
-    gone = removals(docs, tau, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "node")).alias("_gone"))
-    gone = save(gone.select(F.col("doc_id").alias(doc), F.col("_gone.pos").alias(at_pos), F.col("_gone.node").alias(at_node)), "lines-gone")
-    joined = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col(doc)), "left").select(*docs.columns, at_pos, at_node)
+    doc, of_text, at_pos, at_node = fresh(docs, "_doc", "_text", "_pos", "_node")
+    gone = removals(docs, tau, min_chars).groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("pos", "node")).alias("_gone"))
+    gone = save(gone.select(F.col("doc_id").alias(doc), F.col("text_id").alias(of_text), F.col("_gone.pos").alias(at_pos), F.col("_gone.node").alias(at_node)), "lines-gone")
+    joined = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col(doc)) & (_text_id() == F.col(of_text)), "left").select(*docs.columns, at_pos, at_node)
     names = docs.columns
     at = names.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines bigint, n_removed bigint"
@@ -247,8 +253,9 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
                 value, cut = text.as_py(), 0
                 lines = [] if value is None else value.split("\n")
                 if value is not None and pos.is_valid:
-                    gone_at = dict(zip(pos.as_py(), node.as_py(), strict=True))
-                    kept = [line for i, line in enumerate(lines) if i not in gone_at or node_of(line) != gone_at[i]]
+                    gone_at = set(zip(pos.as_py(), node.as_py(), strict=True))
+                    at_gone = {i for i, _ in gone_at}
+                    kept = [line for i, line in enumerate(lines) if i not in at_gone or (i, node_of(line)) not in gone_at]
                     cut = len(lines) - len(kept)
                     value = "\n".join(kept)
                 texts.append(value)

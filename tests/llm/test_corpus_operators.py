@@ -165,6 +165,18 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, rows):
     assert lines.dedup_lines(frame(spark, [])).collect() == []
 
 
+def test_line_dedup_of_texts_that_share_an_id(spark):
+    one, two, three = "first line of the corpus, long enough", "another one of quite different words", "the third, which nothing else resembles"
+    for doc_id in (None, 5):
+        rows = [(doc_id, f"{one}\n{two}a", "en", "s", 0), (doc_id, f"{one}\n{three}", "en", "s", 0), (doc_id, f"{two}b\n{three}", "en", "s", 0), (doc_id, f"{two}b\n{three}", "en", "s", 0), (doc_id, None, "en", "s", 0)]
+        got = lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
+        assert len(got) == 5 and [r.n_removed for r in got if r.text is None] == [0]
+        # of each class of lines one stays, but for the repeated row, whose copies are treated alike
+        kept = {(r.n_lines, r.text) for r in got if r.text is not None}
+        left = Counter(x[:9] for _, t in kept for x in t.split("\n") if x)
+        assert left == {one[:9]: 1, two[:9]: 1, three[:9]: 1}
+
+
 # --- LM scoring
 
 
