@@ -20,7 +20,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import fresh, save, small
+from coordspark.llm.common import save, small
 
 RISK = 0.05
 DELTA = 0.05
@@ -45,11 +45,12 @@ SIGNALS: dict[str, tuple[str, tuple[float, ...]]] = {
 }
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum and the counts of each document's whole text. One pass, no shuffle, O(n log n) in a text's words."""
-    plain = docs.select(F.col("doc_id"), F.coalesce(F.col("lang"), F.lit("und")).alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+def counts(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, stratum and the counts of each document's whole text, and the ``carried`` columns. One pass, no shuffle, O(n log n) in a text's words."""
+    plain = docs.select(F.col("doc_id"), F.coalesce(F.col("lang"), F.lit("und")).alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("t"), *carried)
     trimmed = F.btrim("t", F.lit(_TRIM))
     words = plain.select(
+        *carried,
         "doc_id",
         "stratum",
         F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>")).alias("w"),
@@ -65,7 +66,7 @@ def counts(docs: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(0), n - 3)
     windows = F.zip_with(F.zip_with(pairs, F.slice("w", 3, n - 2), lambda a, b: F.concat_ws(" ", a, b)), places, lambda g, p: F.struct(g.alias("g"), p.alias("p")))
     stacked = words.select(
-        "doc_id", "stratum", "word_chars", "n_symbols", "n_upper", "n_marks",
+        *carried, "doc_id", "stratum", "word_chars", "n_symbols", "n_upper", "n_marks",
         n.cast("bigint").alias("n_words"),
         F.size(F.array_distinct("w")).cast("bigint").alias("n_distinct"),
         F.size("l").cast("bigint").alias("n_lines"),
@@ -128,9 +129,9 @@ def certified_cutoffs(signals: DataFrame, labels: DataFrame, risk: float = RISK,
     return certified.where(gain > 0).groupBy("stratum", "signal").agg(F.max_by("cutoff", F.struct(gain, "cutoff")).alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """doc_id, the counts, base_failed and kept for every document."""
-    signals = save(counts(docs).withColumns({name: F.expr(expr).cast("double") for name, (expr, _) in SIGNALS.items()}), "quality-signals")
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The ``carried`` columns, doc_id, the counts, base_failed and kept for every document."""
+    signals = save(counts(docs, *carried).withColumns({name: F.expr(expr).cast("double") for name, (expr, _) in SIGNALS.items()}), "quality-signals")
     limits = save(certified_cutoffs(signals, labels, risk, delta).groupBy("stratum").pivot("signal", list(SIGNALS)).agg(F.first("cutoff")), "quality-cutoffs")
     limits = limits.select("stratum", *(F.col(name).alias(f"{name}_max") for name in SIGNALS))
     joined = signals.join(small(limits), "stratum", "left")
@@ -138,12 +139,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     for name in SIGNALS:
         above = above | F.coalesce(F.col(name) > F.col(f"{name}_max"), F.lit(False))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~above).alias("kept"))
+    return joined.select(*carried, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~above).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The documents that are kept, with all their columns. Rows without a doc_id are judged by the base rules of the others and go if they fail them."""
-    verdict = judge(docs, labels, risk, delta).groupBy("doc_id").agg(F.min("kept").alias("kept"))
-    (gone,) = fresh(docs, "_gone")
-    rejected = save(verdict.where("not kept").select(F.col("doc_id").alias(gone)), "quality-rejected")
-    return docs.join(small(rejected), F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
+    """The documents that are kept, with all their columns. Each row goes by its own text, whatever its doc_id."""
+    rows = docs.select("doc_id", "lang", "text", F.struct("*").alias("_row"))
+    return judge(rows, labels, risk, delta, ("_row",)).where("kept").select("_row.*")

@@ -274,6 +274,15 @@ def test_cutoffs_are_certified_per_stratum(spark):
     assert verdicts[("de", True)] is True  # too few labels to certify anything
 
 
+def test_rows_are_kept_by_their_own_text(spark):
+    good, bad = " ".join(WORDS[:80]), "too short"
+    rows = [(None, good, "en", "s", 1), (None, bad, "en", "s", 2), (None, good, None, "s", 3), (None, None, "en", "s", 4), (7, good, "en", "s", 5), (7, bad, "en", "s", 6), (8, good, "en", "s", 7), (8, good, "en", "s", 7)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = quality.keep_good(docs, spark.createDataFrame([(7, 1, 0)], "doc_id bigint, quality int, toxic int"))
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.select("n_chars", "doc_id", "text", "lang").collect()) == [(1, None, good, "en"), (3, None, good, None), (5, 7, good, "en"), (7, 8, good, "en"), (7, 8, good, "en")]
+
+
 # --- pipeline
 
 
