@@ -43,6 +43,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential", "auth", "bearer", "signature", "connection_string")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.ASCII | re.IGNORECASE)
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE},}}")
+_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,31}")
 
 
@@ -79,20 +80,35 @@ class Novelty:
 
 
 def novel_spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Candidates within ``CONTEXT`` characters after a sensitive word, in the same line, that their surroundings do not explain."""
-    found, seen = [], -1
+    """Candidates within ``CONTEXT`` characters before or after a sensitive word, line ends included, that their surroundings do not explain."""
+    found = []
+
+    def measure(m: re.Match[str]) -> int:
+        body = m[0].strip("=.-_/+")
+        start = m.start() + m[0].find(body)
+        end = start + len(body)
+        if len(body) >= MIN_CANDIDATE and novelty.ratio(text[max(0, start - CONTEXT) : start], body, text[end : end + CONTEXT]) >= threshold:
+            found.append((start, end, "novel"))
+        return m.end()
+
+    seen, ahead = 0, _CANDIDATE.search(text)
     for word in _SENSITIVE.finditer(text):
-        stop = min(len(text), word.end() + CONTEXT)
-        line_end = text.find("\n", word.end(), stop)
-        limit = stop if line_end < 0 else line_end
-        at = max(word.end(), seen)
-        while (m := _CANDIDATE.search(text, at)) and m.start() < limit:
-            at = seen = m.end()
-            body = m[0].strip("=.-_/+")
-            start = m.start() + m[0].find(body)
-            end = start + len(body)
-            if len(body) >= MIN_CANDIDATE and any(c.isdigit() for c in body) and novelty.ratio(text[max(0, start - CONTEXT) : start], body, text[end : end + CONTEXT]) >= threshold:
-                found.append((start, end, "novel"))
+        low = word.start() - CONTEXT
+        if seen <= word.start():
+            at = max(seen, low)
+            while at > seen and text[at - 1] in _RUN:  # a run that reaches into the context is measured whole
+                at -= 1
+            for m in _CANDIDATE.finditer(text, at, word.start()):
+                if m.end() > low:
+                    measure(m)
+        seen = max(seen, word.end())
+        while ahead:
+            if ahead.start() < seen:
+                ahead = _CANDIDATE.search(text, seen)
+            elif ahead.start() < word.end() + CONTEXT:
+                seen = measure(ahead)
+            else:
+                break
     return found
 
 
