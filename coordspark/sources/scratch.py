@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a two-column id table that may be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: What may be broadcast: rows of a narrow table, and bytes of a stored one; beyond either the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 8 << 20
 
 _own_dir: list[str] = []
 
@@ -42,10 +42,15 @@ def save_counted(df: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]
     check = F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in flat)).cast("decimal(38,0)")) if flat else F.lit(0)
     df.observe(seen, F.count(F.lit(1)).alias("rows"), check.alias("check")).write.parquet(path)
     out, found = spark.read.schema(df.schema).parquet(path), seen.get
-    out.stored_rows = found.get("rows")
+    out.stored_rows, out.stored_bytes = found.get("rows"), stored_bytes(spark, path)
     return out, (found.get("rows"), found.get("check"))
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later step reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,8 +63,11 @@ def drop(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (the join is then shuffled)."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and, if ``save`` returned it, ``size`` bytes, else as it is (the join is then shuffled).
+
+    Hand over stored tables: of others the rows are counted in a job of its own.
+    """
     known = getattr(df, "stored_rows", None)
-    rows = df.limit(limit + 1).count() if known is None else known
-    return F.broadcast(df) if rows <= limit else df
+    fits = df.limit(rows + 1).count() <= rows if known is None else known <= rows and df.stored_bytes <= size
+    return F.broadcast(df) if fits else df
