@@ -1,26 +1,29 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Every document gets counts (words, symbols, repeated lines, words in repeated 3-word windows) and signals. For each
-stratum (language) and signal, each cutoff of a fixed grid is a hypothesis "this cutoff rejects more than ``RISK`` /
-number of signals of the good documents". A labelled holdout gives its exact binomial tail probability; the Bonferroni
-correction over all strata, signals and cutoffs decides which hypotheses fall. Among the certified cutoffs of a signal
-the one with the best balance of bad against good rejections is used, if that balance is positive. So, with
-probability 1 - ``DELTA``, in no stratum more than ``RISK`` of the good documents are rejected by the signals.
+Every document gets counts (words, symbols, repeated lines, words in repeated 3-word windows) and signals. Labelled
+documents are split by a hash of their id. A third of them designs a rule for each stratum (language): each signal's
+cutoff, of a fixed grid, with the best balance of bad against good rejections, if that is positive. The others are the
+holdout, on which rules are certified: the designed cutoffs, all raised by d places on the grid, for d from 5 down to
+0, are hypotheses "this rule rejects more than ``RISK`` of the good documents", tested in this order by exact binomial
+tails at ``DELTA`` / number of strata (Bonferroni over strata; within one the fixed sequence needs no correction, as it
+ends with the first rule that does not pass). Of the certified rules the one with the best balance on the holdout is
+used. So, with probability 1 - ``DELTA``, in no stratum more than ``RISK`` of the good documents are rejected by the signals. A
+stratum needs about ``labels_needed`` good labels.
 
 Defined results: a null text has no words and fails the base rules; a stratum with few labels gets no cutoffs and
 keeps its documents (base rules apart); a null language is the stratum ``und``; a document with several labels is
 good if all are good; null labels are ignored; repeated rows are judged alike; an empty table gives an empty result;
-extra columns are ignored.
+extra columns are ignored; texts of any length are counted whole.
 """
 
 from __future__ import annotations
 
-from math import log
+from math import ceil, log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import save, small
+from coordspark.llm.common import drop, save, small
 
 RISK = 0.05
 DELTA = 0.05
@@ -29,6 +32,11 @@ WEIGHT = 20
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
+#: One in so many labelled documents designs the rules, the others certify them.
+DESIGN = 3
+#: Low bits of a packed window that hold its place in the text; the others are of its hash.
+PLACE_BITS = 24
+
 SPACE = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\x0c\r"
 
@@ -45,41 +53,59 @@ SIGNALS: dict[str, tuple[str, tuple[float, ...]]] = {
 }
 
 
+def _count(text: Column, characters: str) -> Column:
+    """How often ASCII characters occur in a text."""
+    return sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in characters), F.lit(0)).cast("bigint")
+
+
+def _repeated_places(w: Column, n: Column) -> Column:
+    """Places of words in 3-word windows that occur twice or more, by comparing the windows themselves."""
+    pairs = F.zip_with(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), lambda a, b: F.concat_ws(" ", a, b))
+    windows = F.zip_with(F.zip_with(pairs, F.slice(w, 3, n - 2), lambda a, b: F.concat_ws(" ", a, b)), F.sequence(F.lit(0), n - 3), lambda g, p: F.struct(g.alias("g"), p.alias("p")))
+    s = F.sort_array(windows)
+    both = F.zip_with(F.slice(s, 1, n - 3), F.slice(s, 2, n - 3), lambda a, b: F.when(a.g == b.g, F.array(a.p, a.p + 1, a.p + 2, b.p, b.p + 1, b.p + 2)))
+    return F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull())))
+
+
 def counts(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, stratum and the counts of each document's whole text, and the ``carried`` columns. One pass, no shuffle, O(n log n) in a text's words."""
     plain = docs.select(F.col("doc_id"), F.coalesce(F.col("lang"), F.lit("und")).alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("t"), *carried)
-    trimmed = F.btrim("t", F.lit(_TRIM))
+    trimmed, t = F.btrim("t", F.lit(_TRIM)), F.col("t")
     words = plain.select(
         *carried,
         "doc_id",
         "stratum",
         F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>")).alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"),
-        F.length(F.regexp_replace("t", SPACE, "")).cast("bigint").alias("word_chars"),
-        F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+        _count(t, "#*$%&|<>").alias("n_symbols"),
         F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")).cast("bigint").alias("n_upper"),
-        F.length(F.regexp_replace("t", r"[^!?]+", "")).cast("bigint").alias("n_marks"),
+        _count(t, "!?").alias("n_marks"),
     )
-    n = F.size("w")
-    # 3-word windows, sorted with their places: equal neighbours are the repeated ones
-    pairs = F.zip_with(F.slice("w", 1, n - 2), F.slice("w", 2, n - 2), lambda a, b: F.concat_ws(" ", a, b))
-    places = F.sequence(F.lit(0), n - 3)
-    windows = F.zip_with(F.zip_with(pairs, F.slice("w", 3, n - 2), lambda a, b: F.concat_ws(" ", a, b)), places, lambda g, p: F.struct(g.alias("g"), p.alias("p")))
+    # 3-word windows as one number each, hash and place, so that sorting them is fast; equal neighbours are compared word by word
+    w, n, low = F.col("w"), F.size("w"), (1 << PLACE_BITS) - 1
+    packed = F.transform(F.sequence(F.lit(0), n - 3), lambda p: F.xxhash64(w[p], w[p + 1], w[p + 2]).bitwiseAND(~low).bitwiseOR(p.cast("bigint")))
     stacked = words.select(
-        *carried, "doc_id", "stratum", "word_chars", "n_symbols", "n_upper", "n_marks",
+        *carried, "doc_id", "stratum", "n_symbols", "n_upper", "n_marks", "w",
+        F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         n.cast("bigint").alias("n_words"),
         F.size(F.array_distinct("w")).cast("bigint").alias("n_distinct"),
         F.size("l").cast("bigint").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
-        F.when(n >= 4, F.sort_array(windows)).alias("s"),
+        F.when((n >= 4) & (n <= low), F.sort_array(packed)).alias("s"),
     )
+
+    def places(a: Column, b: Column) -> Column:
+        p, q = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
+        same = (w[p] == w[q]) & (w[p + 1] == w[q + 1]) & (w[p + 2] == w[q + 2])
+        return F.when(F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS), F.when(same, F.array(p, p + 1, p + 2, q, q + 1, q + 2)).otherwise(F.array(F.lit(-1))))
+
     m = F.size("s")
-    both = F.zip_with(
-        F.slice("s", 1, m - 1), F.slice("s", 2, m - 1),
-        lambda a, b: F.when(a.g == b.g, F.array(a.p, a.p + 1, a.p + 2, b.p, b.p + 1, b.p + 2)),
-    )
-    repeated = F.size(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
-    return stacked.withColumn("n_repeat_words", F.when(F.col("n_words") >= 4, repeated).otherwise(0).cast("bigint")).drop("s")
+    both = F.zip_with(F.slice("s", 1, m - 1), F.slice("s", 2, m - 1), places)
+    stacked = stacked.withColumn("r", F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
+    # where hashes of different windows are equal, or places do not fit, the windows themselves are sorted
+    unsure = F.col("s").isNull() | F.array_contains("r", -1)
+    repeated = F.when(F.col("n_words") < 4, F.lit(0)).when(unsure, F.size(_repeated_places(w, n))).otherwise(F.size("r"))
+    return stacked.withColumn("n_repeat_words", repeated.cast("bigint")).drop("s", "r", "w")
 
 
 def _log_gamma(x: Column) -> Column:
@@ -107,34 +133,52 @@ def binomial_tail(k: Column, n: Column, rate: float, terms: int = 4000) -> Colum
     return F.when(k < n * rate, F.least(F.exp(top) * folded, F.lit(1.0))).otherwise(1.0)
 
 
-def certified_cutoffs(signals: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, weight: float = WEIGHT) -> DataFrame:
-    """stratum, signal, cutoff: at most one certified cutoff per stratum and signal."""
+def labels_needed(strata: int, risk: float = RISK, delta: float = DELTA) -> int:
+    """The least number of good labels of a stratum for which a rule that rejects none of them is certified."""
+    holdout = ceil(log(delta / strata) / log(1 - risk))
+    return ceil(holdout * DESIGN / (DESIGN - 1))
+
+
+def certified_cutoffs(signals: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, weight: float = WEIGHT, grid=SIGNALS) -> DataFrame:
+    """stratum and a column for each signal with its cutoff, or null: the certified rule of each stratum that has one."""
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    held = signals.join(marks, "doc_id")
     # a value's level is the number of cutoffs that it is above
-    level = [
-        F.struct(F.lit(name).alias("signal"), sum(((F.col(name) > c).cast("int") for c in cutoffs[1:]), (F.col(name) > cutoffs[0]).cast("int")).alias("level"))
-        for name, (_, cutoffs) in SIGNALS.items()
-    ]
-    leveled = held.select("stratum", "good", F.inline(F.array(*level))).groupBy("stratum", "signal", "level").agg(F.count_if(F.col("good") == 1).alias("g"), F.count_if(F.col("good") == 0).alias("b"))
-    leveled = save(leveled, "quality-levels")
-    tests = leveled.select("stratum").distinct().count() * sum(len(c) for _, c in SIGNALS.values())
-    grid = signals.sparkSession.createDataFrame([(name, i + 1, float(c)) for name, (_, cutoffs) in SIGNALS.items() for i, c in enumerate(cutoffs)], "signal string, at int, cutoff double")
-    sums = (
-        leveled.join(F.broadcast(grid), "signal").groupBy("stratum", "signal", "at", "cutoff")
-        .agg(F.sum("g").alias("n"), F.sum(F.when(F.col("level") >= F.col("at"), F.col("g")).otherwise(0)).alias("k"), F.sum(F.when(F.col("level") >= F.col("at"), F.col("b")).otherwise(0)).alias("caught"))
-    )
-    certified = sums.where((F.col("n") > 0) & (binomial_tail(F.col("k"), F.col("n"), risk / len(SIGNALS)) * tests <= delta))
+    level = {name: sum(((F.col(name) > c).cast("int") for c in cutoffs[1:]), (F.col(name) > cutoffs[0]).cast("int")) for name, (_, cutoffs) in grid.items()}
+    places = max(len(c) for _, c in grid.values())
+    held = save(
+        signals.join(marks, "doc_id").select("stratum", "good", (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(DESIGN)) == 0).alias("design"), *(x.alias(name) for name, x in level.items())), "quality-held"
+    )
+    good, bad = F.count_if(F.col("good") == 1), F.count_if(F.col("good") == 0)
+    # design: the balance of each cutoff
+    rows = held.where("design").select("stratum", "good", F.inline(F.array(*(F.struct(F.lit(name).alias("signal"), F.col(name).alias("level")) for name in grid))))
+    leveled = rows.groupBy("stratum", "signal", "level").agg(good.alias("g"), bad.alias("b"))
+    balance = leveled.select("stratum", "signal", F.explode(F.sequence(F.lit(1), F.lit(places))).alias("at"), F.when(F.col("level") >= F.col("at"), F.col("b") - weight * F.col("g")).otherwise(0.0).alias("x"))
+    best = balance.groupBy("stratum", "signal", "at").agg(F.sum("x").alias("x")).where("x > 0").groupBy("stratum", "signal").agg(F.max_by("at", F.struct("x", "at")).alias("at"))
+    start = save(best.groupBy("stratum").pivot("signal", list(grid)).agg(F.first("at")), "quality-start")
+    # holdout: how many places a document is above the designed cutoffs, by the signal that is furthest
+    begun = small(start).select("stratum", *(F.col(name).alias(f"{name}_at") for name in grid))
+    reach = F.greatest(*(F.coalesce(F.col(name) - F.col(f"{name}_at"), F.lit(-places)) for name in grid))
+    reached = save(held.where("not design").join(begun, "stratum").groupBy("stratum", reach.alias("reach")).agg(good.alias("g"), bad.alias("b")), "quality-reach")
+    strata = max(1, reached.select("stratum").distinct().count())
+    hit = F.col("reach") >= F.col("d")
+    tests = reached.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).groupBy("stratum", "d").agg(F.sum("g").alias("n"), F.sum(F.when(hit, F.col("g")).otherwise(0)).alias("k"), F.sum(F.when(hit, F.col("b")).otherwise(0)).alias("caught"))
+    tests = tests.withColumn("p", F.when(F.col("n") > 0, binomial_tail(F.col("k"), F.col("n"), risk)).otherwise(1.0))
+    # the fixed sequence: a rule counts if it and all stricter ones pass (a stratum has `places` rows here)
+    passed = tests.withColumn("worst", F.max("p").over(Window.partitionBy("stratum").orderBy(F.desc("d")))).where(F.col("worst") * strata <= delta)
     gain = F.col("caught") - weight * F.col("k")
-    return certified.where(gain > 0).groupBy("stratum", "signal").agg(F.max_by("cutoff", F.struct(gain, "cutoff")).alias("cutoff"))
+    chosen = passed.where(gain > 0).groupBy("stratum").agg(F.max_by("d", F.struct(gain, "d")).alias("d"))
+    cutoff = lambda name: F.get(F.array(*(F.lit(float(c)) for c in grid[name][1])), F.col(name) + F.col("d") - 1)
+    found = save(start.join(chosen, "stratum").select("stratum", *(cutoff(name).alias(name) for name in grid)), "quality-cutoffs")
+    for df in (held, start, reached):
+        drop(df)
+    return found
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, carried: tuple[str, ...] = ()) -> DataFrame:
     """The ``carried`` columns, doc_id, the counts, base_failed and kept for every document."""
     signals = save(counts(docs, *carried).withColumns({name: F.expr(expr).cast("double") for name, (expr, _) in SIGNALS.items()}), "quality-signals")
-    limits = save(certified_cutoffs(signals, labels, risk, delta).groupBy("stratum").pivot("signal", list(SIGNALS)).agg(F.first("cutoff")), "quality-cutoffs")
-    limits = limits.select("stratum", *(F.col(name).alias(f"{name}_max") for name in SIGNALS))
-    joined = signals.join(small(limits), "stratum", "left")
+    limits = certified_cutoffs(signals, labels, risk, delta)
+    joined = signals.join(small(limits).select("stratum", *(F.col(name).alias(f"{name}_max") for name in SIGNALS)), "stratum", "left")
     above = F.lit(False)
     for name in SIGNALS:
         above = above | F.coalesce(F.col(name) > F.col(f"{name}_max"), F.lit(False))
