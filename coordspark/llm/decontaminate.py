@@ -1,14 +1,16 @@
 """Benchmark decontamination by word windows.
 
-The windows of the test items (13 words; a shorter item is one window) are hashed into sorted arrays that each task
-gets by broadcast; documents are scanned window by window, hits are verified word by word, and the hit words are
-marked. The window table is broadcast in blocks of at most ``BLOCK_WINDOWS`` windows, whatever the benchmark's size:
-each block is one pass over the documents, and the passes' hits are merged per document.
+The windows of the test items (13 words; a shorter item is one window) are cut in Spark and stored. Up to
+``BLOCK_WINDOWS`` of them are broadcast as sorted hash arrays; documents are scanned window by window, hits are verified
+word by word, and the hit words are marked. A larger benchmark is not broadcast: its windows' hashes are told to the
+tasks as a bitmap of bounded size, the document windows that it lets pass are joined with the stored ones on their
+words, and the hits are gathered per document. Either way each stage scans the texts once.
 
 Defined results: null or wordless texts have no words, no hits and are clean; items without words have no windows;
-items with equal windows are all reported; repeated rows give repeated results, while rows that share a doc_id but
-not a text are judged apart; an empty benchmark leaves all clean; ``find_hits`` ignores extra columns, the others keep
-them, whatever their names.
+items with equal windows are all reported; an item without an id makes its words hits, but is not reported; repeated
+rows give repeated results, while rows that share a doc_id but not a text are judged apart, also without a doc_id; an
+empty benchmark leaves all clean; texts of any length are scanned whole; ``find_hits`` ignores extra columns, the others
+keep them, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coordspark.llm.common import bound_batches, fresh
+from coordspark.llm.common import bound_batches, drop, fresh, save
+from coordspark.llm.similar import learn_keys
 
 WINDOW = 13
 BLOCK_WINDOWS = 200_000
@@ -57,7 +61,7 @@ def _rolled(ids: np.ndarray, length: int) -> np.ndarray:
 class WindowTable:
     """Windows of test items with the items that own them, ready for scanning."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], list[int]]):
+    def __init__(self, windows: dict[tuple[bytes, ...], list[int | None]]):
         self.vocab: dict[bytes, int] = {}
         by_length: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
         for words in windows:
@@ -91,58 +95,107 @@ class WindowTable:
                 for k in range(first[i], last[i]):
                     if np.array_equal(rows[k], ids[p : p + length]):  # verified word by word
                         hit[p : p + length] = True
-                        items.update(owners[k])
+                        items.update(x for x in owners[k] if x is not None)
         return items
 
 
-def window_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK_WINDOWS) -> Iterator[WindowTable]:
-    """The windows of all items, at most about ``block`` at a time; the items are streamed, never held together."""
-    windows: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
-    for item, text in benchmark.select(id_col, F.encode(F.col(text_col), "UTF-8")).toLocalIterator():
-        for w in windows_of(words_of(bytes(text) if text is not None else None), window):
-            if not windows[w] or windows[w][-1] != item:
-                windows[w].append(item)
-        if len(windows) >= block:
-            yield WindowTable(dict(windows))
-            windows.clear()
-    if windows:
-        yield WindowTable(dict(windows))
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """length, w (the words of a window, joined by blanks) and item, stored and distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {(len(w), b" ".join(w), item) for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in windows_of(words_of(text), window)}
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64()), strict=True)], ["length", "w", "item"])
+
+    items = benchmark.select(F.col(id_col).cast("bigint"), F.encode(F.col(text_col), "UTF-8"))
+    return save(items.mapInArrow(run, "length int, w binary, item bigint").distinct(), "benchmark-windows")
+
+
+def _window_key(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+
+
+def _joined_hits(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
+    """doc (a digest of the text), spans (place and length of each window that occurs) and items, of every text with hits."""
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # at most `window` of them
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array([_rolled(_window_key(w.as_py().split(b" ")), n)[0] for n, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+    known = learn_keys(windows.select("length", "w").mapInArrow(hashed, "key bigint").withColumn("n", F.lit(1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                ids = _window_key(words)
+                for n in lengths:
+                    places = np.flatnonzero(known.value.repeated(_rolled(ids, n).view(np.int64))) if len(words) >= n else ()
+                    if len(places):
+                        doc = hashlib.sha256(text.as_py()).digest()[:16]
+                        rows += [(doc, p, n, b" ".join(words[p : p + n])) for p in places]
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc", "p", "length", "w"])
+
+    found = docs.select(F.encode(text_col, "UTF-8")).mapInArrow(run, "doc binary, p bigint, length int, w binary")
+    hits = found.distinct().join(windows, ["length", "w"])
+    stored = save(hits.groupBy("doc").agg(F.collect_set(F.struct("p", "length")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")), "benchmark-hits")
+    known.unpersist()
+    return stored
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` with three columns more, the last ones: number of words, a byte per word (1 if hit), and sorted item ids. They are called _n_words, _hits and _items if those names are free."""
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    n_words, hits_name, items_name = fresh(docs, "_n_words", "_hits", "_items")
-    extra = f"`{n_words}` bigint, `{hits_name}` binary, `{items_name}` array<bigint>"
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    n_words, hits_name, items_name, doc, spans, items = fresh(docs, "_n_words", "_hits", "_items", "_doc", "_spans", "_found")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{n_words}` bigint, `{hits_name}` binary, `{items_name}` array<bigint>"
     names = docs.columns
     at = names.index(text_col)
-    tables = [spark.sparkContext.broadcast(t) for t in window_blocks(benchmark, window=window, block=block)] or [None]
-    for k, table in enumerate(tables):
-
-        def run(batches: Iterator[pa.RecordBatch], table=table, first=k == 0) -> Iterator[pa.RecordBatch]:
+    windows = benchmark_windows(benchmark, window=window)
+
+    def marked(batch: pa.RecordBatch, rows: Iterator[tuple[int, bytes, list[int]]]) -> pa.RecordBatch:
+        n, hits, found = zip(*rows, strict=True) if batch.num_rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n, pa.int64()), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.int64()))], [*names, n_words, hits_name, items_name])
+
+    if windows.stored_rows <= block:
+        owners: dict[tuple[bytes, ...], list[int | None]] = defaultdict(list)
+        for row in windows.collect():  # at most `block` rows
+            owners[tuple(bytes(row.w).split(b" "))].append(row.item)
+        drop(windows)
+        table = spark.sparkContext.broadcast(WindowTable(dict(owners)))
+
+        def scan(text: pa.Scalar) -> tuple[int, bytes, list[int]]:
+            words = words_of(text.as_py().encode() if text.is_valid else None)
+            hit = np.zeros(len(words), dtype=bool)
+            found = table.value.scan(words, hit)
+            return len(words), hit.tobytes(), sorted(found)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                columns = batch.columns[: len(batch.columns) - (0 if first else 3)]
-                n, hits, items = [], [], []
-                for i, text in enumerate(batch.column(at)):
-                    words = words_of(text.as_py().encode() if text.is_valid else None)
-                    hit = np.zeros(len(words), dtype=bool)
-                    found: set[int] = set()
-                    if not first:
-                        hit |= np.frombuffer(batch.columns[-2][i].as_py(), dtype=bool)
-                        found.update(batch.columns[-1][i].as_py())
-                    if table is not None:
-                        found |= table.value.scan(words, hit)
-                    n.append(len(words))
-                    hits.append(hit.tobytes())
-                    items.append(sorted(found))
-                columns = [*columns, pa.array(n, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, n_words, hits_name, items_name])
-
-        source = docs if k == 0 else out  # noqa: F821
-        out = source.mapInArrow(run, f"{base}, {extra}")
-    return out
+                yield marked(batch, map(scan, batch.column(at)))
+
+        return docs.mapInArrow(run, schema)
+
+    hits = _joined_hits(docs, windows, text_col).select(F.col("doc").alias(doc), F.col("spans").alias(spans), F.col("items").alias(items))
+    drop(windows)
+
+    def merge(text: pa.Scalar, where: pa.Scalar, found: pa.Scalar) -> tuple[int, bytes, list[int]]:
+        hit = np.zeros(len(words_of(text.as_py().encode() if text.is_valid else None)), dtype=bool)
+        for span in where.as_py() or ():
+            hit[span["p"] : span["p"] + span["length"]] = True
+        return len(hit), hit.tobytes(), found.as_py() or []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield marked(batch, map(merge, batch.column(at), batch.column(len(names)), batch.column(len(names) + 1)))
+
+    digest = F.unhex(F.substring(F.sha2(text_col, 256), 1, 32))
+    return docs.join(hits, digest == F.col(doc), "left").select(*names, spans, items).mapInArrow(run, schema)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:

@@ -7,7 +7,8 @@ fitted by follow-the-regularised-leader with elastic-net penalties on a bounded
 back and sets the temperature of the softmax. Every document is predicted from its whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 1; without training rows everything is
-``und``; null languages are not learned; very long texts are hashed in blocks; repeated rows are predicted alike; an
+``und``; null languages are not learned; every other language is, and more of them than the model has room for
+(``MODEL_CELLS``: 1,024) raise ``ValueError``; texts of any length are read whole; repeated rows are predicted alike; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -22,42 +23,44 @@ from pyspark.sql import functions as F
 
 from coordspark.llm.common import bound_batches
 
-
-
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 FIT_ROWS = 1500
+#: Weights that the model may have at most: buckets times languages.
+MODEL_CELLS = 1 << 26
 BLOCK_CHARS = 1 << 20
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 1e-4, 1e-4
 
 _ASCII = np.array([c if chr(c).isalpha() else 32 for c in range(128)], dtype=np.uint32)
 
 
-def _hashed(text: str) -> np.ndarray:
-    """The bucket of every 1-, 2- and 3-gram of a lower-cased text."""
+def _grams(c: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of every n-gram of code points."""
+    h = np.full(max(0, len(c) - n + 1), n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(n):
+        h = (h ^ c[i : i + len(h)]) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+    return h.astype(np.uint16)
+
+
+def _letters(text: str) -> np.ndarray:
+    """The code points of a lower-cased text; each run of ASCII characters other than letters is one space."""
     c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     c = np.where(c < 128, _ASCII[np.minimum(c, 127)], c)
-    c = c[(c != 32) | np.concatenate([[True], c[:-1] != 32])]
-    parts = []
-    for n in (1, 2, 3):
-        h = np.full(max(0, len(c) - n + 1), n * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
-        for i in range(n):
-            h = (h ^ c[i : i + len(h)]) * np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(15)
-        parts.append(h.astype(np.uint16))
-    return np.concatenate(parts)
+    return c[(c != 32) | np.concatenate([[True], c[:-1] != 32])]
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of a text, ascending, and their counts."""
-    text = text.lower()
-    if len(text) <= BLOCK_CHARS:
-        h = np.sort(_hashed(text), kind="stable")
+    """The buckets of a text's 1-, 2- and 3-grams, ascending, and their counts. Long texts are counted in blocks, which overlap by what their last n-grams need."""
+    c = _letters(text.lower())
+    if len(c) <= BLOCK_CHARS:
+        h = np.sort(np.concatenate([_grams(c, n) for n in (1, 2, 3)]), kind="stable")
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
         return h[first], np.diff(np.concatenate([first, [len(h)]]))
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for start in range(0, len(text), BLOCK_CHARS):  # n-grams across block ends are left to the next block's lead
-        counts += np.bincount(_hashed(text[max(0, start - 2) : start + BLOCK_CHARS]), minlength=BUCKETS)
+    for start in range(0, len(c), BLOCK_CHARS):
+        for n in (1, 2, 3):
+            counts += np.bincount(_grams(c[start : start + BLOCK_CHARS + n - 1], n), minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return at.astype(np.uint16), counts[at]
 
@@ -152,7 +155,10 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     spark = docs.sparkSession
     known = docs.where("lang is not null").select(F.col("doc_id"), "lang", "text")
     df, total = document_frequencies(known)
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count")).limit(1000).collect()}
+    rows = known.groupBy("lang").count().limit(MODEL_CELLS // BUCKETS + 1).collect()
+    if len(rows) > MODEL_CELLS // BUCKETS:
+        raise ValueError(f"more than {MODEL_CELLS // BUCKETS} languages: raise MODEL_CELLS or clean the column lang")
+    sizes = {r.lang: r["count"] for r in rows}
     langs = sorted(sizes)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     if not langs:

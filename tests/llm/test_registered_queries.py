@@ -63,25 +63,17 @@ def test_secrets(spark, docs):
 
 
 def test_lines(spark, docs):
-    places = [(i, p, x) for i, t in zip(docs.doc_id, docs.text, strict=True) for p, x in enumerate(t.split("\n")) if len(x) >= 24 and re.search(r"[^\x20\x09-\x0D]", x)]
-    kinds = sorted({x for _, _, x in places}, key=len)
-    root = {x: x for x in kinds}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(kinds):
-        for b in kinds[i + 1 :]:
-            if len(b) - len(a) > 2:
-                break
-            if lines.edit_distance(a, b) <= 2:
-                root[find(b)] = find(a)
-    first = {}
-    for i, p, x in places:
-        first.setdefault(find(x), (i, p))
-    gone = {(i, p) for i, p, x in places if first[find(x)] != (i, p)}
+    stay, known, gone = {}, set(), set()
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        for p, x in enumerate(t.split("\n")):
+            if not re.search(r"[^\x20\x09-\x0D]", x):
+                continue
+            near = (y for n in range(len(x) - 2, len(x) + 3) for y in stay.get(n, ()))
+            if x in known or any(lines.edit_distance(x, y) <= min(2, min(len(x), len(y)) // 32) for y in near):
+                gone.add((i, p))
+            else:
+                stay.setdefault(len(x), []).append(x)
+            known.add(x)
     rows = got(spark, "op2_line_dedup")
     for i, t in zip(docs.doc_id, docs.text, strict=True):
         assert rows[i].text == "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)

@@ -240,3 +240,83 @@ def test_language_identification(spark):
     empty = langid.identify(spark.createDataFrame([], DOCS))
     assert empty.collect() == []
     assert langid.identify(spark.createDataFrame([(1, "abc", None, "s", 0)], DOCS)).first().lang_pred == "und"
+
+
+def test_decontamination_with_null_ids_and_many_blocks(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(500)}"
+    items = [" ".join(word() for _ in range(rng.choice([1, 5, 13, 20, 60]))) for _ in range(30)]
+    bench = spark.createDataFrame([*((i if i % 4 else None, t) for i, t in enumerate(items)), (1, items[1]), (77, items[1]), (78, None), (79, "...")], "item_id bigint, text string")
+    texts = [*EDGE, *(" ".join([word(), rng.choice(items), word()] * rng.randrange(1, 4)) for _ in range(40)), " ".join(word() for _ in range(100_000)) + " " + items[2]]
+    rows = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
+    rows += rows[10:14]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    n = sum(len(decontaminate.windows_of(decontaminate.words_of(t.encode()))) for t in items)
+    results = []
+    for block in (200_000, n // 50):
+        found = decontaminate.find_hits(frame, bench, block=block)
+        plan = found._jdf.queryExecution().toString()
+        assert plan.count("MapInArrow") % 2 == 0 and plan.count("\n:- MapInArrow") <= 2
+        results.append(sorted(map(repr, found.collect())))
+        assert len(results[-1]) == len(rows)
+        assert sorted(map(repr, decontaminate.drop_contaminated(frame, bench, block=block).collect())) == sorted(map(repr, decontaminate.drop_contaminated(frame, bench).collect()))
+    assert results[0] == results[1] and any("contaminated=True" in r for r in results[0])
+    hits = {tuple(r) for r in decontaminate.find_hits(spark.createDataFrame([(1, items[0])], "doc_id bigint, text string"), spark.createDataFrame([(None, items[0])], "item_id bigint, text string")).select("contaminated", "n_items").collect()}
+    assert hits == {(True, 0)}
+
+
+# --- languages
+
+
+def test_features_of_long_texts_are_those_of_short_ones(monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdé  .,\n") for _ in range(3_000_000))
+    blocked = langid.features(text)
+    monkeypatch.setattr(langid, "BLOCK_CHARS", 1 << 30)
+    for a, b in zip(blocked, langid.features(text), strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    rows = [(i, f"text number {i}", f"l{i % 3}", "s", 0) for i in range(9)]
+    monkeypatch.setattr(langid, "MODEL_CELLS", 2 * langid.BUCKETS)
+    with pytest.raises(ValueError, match="languages"):
+        langid.identify(spark.createDataFrame(rows, DOCS))
+
+
+def test_ftrl_equals_a_plain_version(monkeypatch):
+    """Coordinate by coordinate, with the formulas of follow-the-regularised-leader."""
+    monkeypatch.setattr(langid, "BUCKETS", 6)
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(40):
+        at = np.unique(rng.integers(0, 6, 3)).astype(np.uint16)
+        rows.append((int(rng.integers(0, 3)), at, rng.random(len(at)).astype(np.float32)))
+    weights, bias = langid.fit_ftrl(rows, 3, epochs=2)
+    z, n = [[0.0] * 3 for _ in range(7)], [[0.0] * 3 for _ in range(7)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= langid.L1:
+            return 0.0
+        return -(z[i][c] - np.sign(z[i][c]) * langid.L1) / ((langid.BETA + n[i][c] ** 0.5) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            y, at, x = rows[k]
+            terms = [*zip(at.tolist(), x.tolist(), strict=True), (6, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in terms for c in range(3)}
+            score = [sum(v * w[i, c] for i, v in terms) for c in range(3)]
+            e = np.exp(np.array(score) - max(score))
+            p = e / e.sum()
+            for i, v in terms:
+                for c in range(3):
+                    g = v * (p[c] - (c == y))
+                    z[i][c] += g - ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / langid.ALPHA * w[i, c]
+                    n[i][c] += g * g
+    plain = np.array([[weight(i, c) for c in range(3)] for i in range(7)])
+    assert np.allclose(weights, plain[:6], atol=1e-5) and np.allclose(bias, plain[6], atol=1e-5)
+    scores, y = rng.normal(size=(200, 3)) * 5, rng.integers(0, 3, 200)
+    loss = lambda t: -np.log((lambda q: q / q.sum(axis=1, keepdims=True))(np.exp(scores / t))[np.arange(200), y]).mean()
+    best = langid.fit_temperature(scores, y)
+    assert all(loss(best) <= loss(t) + 1e-12 for t in np.geomspace(0.05, 20, 123))
