@@ -181,18 +181,29 @@ class Index:
 
 
 def join_lines(nodes: list[int], parts: list[int], sides: list[int], lines: list[str], tau: int = TAU) -> list[tuple[int, int]]:
-    """Links that tie the parts of a block together: each line meets the indexed lines before it."""
+    """Links that tie the parts of a block together: lines in order of length probe the segments of those before them."""
     names = {c: i for i, c in enumerate(dict.fromkeys(parts))}
     root = np.array([names[c] for c in parts], dtype=np.int64)
-    two = len(set(sides)) > 1
-    index, found = Index(tau), []
-    for i, line in enumerate(lines):
-        keys = line_keys(line, index.known)
-        for j in index.candidates(keys):
-            if root[i] != root[j] and (not two or sides[i] != sides[j]) and near(line, lines[j], tau):
-                found.append((nodes[i], nodes[j]))
-                root[root == root[j]] = root[i]
-        index.add(line, keys)
+    left, side, two = len(names), np.array(sides), len(set(sides)) > 1
+    # an edit changes the counts of a line's bytes by 2 at most, or by 8 where characters have up to 4 bytes
+    counts = np.array([np.bincount(np.frombuffer(x.encode(), dtype=np.uint8), minlength=256) for x in lines], dtype=np.int32)
+    most = np.array([allowed(len(x), tau) * (2 if x.isascii() else 8) for x in lines])
+    plain = np.array([x.isascii() for x in lines])
+    known, led, found = Places(tau), defaultdict(list), []
+    for i in sorted(range(len(lines)), key=lambda k: (len(lines[k]), k)):
+        keys = line_keys(lines[i], known)
+        if left > 1:
+            met = np.array(list({j for key, _ in keys if key in led for j in led[key]}), dtype=np.int64)
+            met = met[(root[met] != root[i]) & ((side[met] != side[i]) if two else True)]
+            met = met[np.abs(counts[met] - counts[i]).sum(axis=1) <= (most[met] if plain[i] else 8 * tau)]
+            for j in met.tolist():
+                if root[i] != root[j] and near(lines[i], lines[j], tau):
+                    found.append((nodes[i], nodes[j]))
+                    root[root == root[j]] = root[i]
+                    left -= 1
+        for key, leads in keys:
+            if leads:
+                led[key].append(i)
     return found
 
 
