@@ -116,10 +116,8 @@ def word_count(c: Column | str) -> Column:
 THOROUGH = (
     r"(?i)\b(analy[sz]e|summar[iy]|explain|why|describe|breakdown|report|insight|interpret|compare|review|critique|recommend|suggest|root[\s-]?cause|impact)\b"
 )
-QUESTION = (
-    r"(?i)\b(what\s+is|what\s+are|what\s+does|how\s+do|how\s+does|how\s+can|can\s+i|explain|tell\s+me|describe|difference\s+between|why|when\s+should|is\s+this|is\s+it"
-    r"|what\s+can|help\s+me\s+understand|what's\s+the|what\s+(?:the\s+)?(?:semantic|bcf|ifc|ids)|how\s+(?:to|do\s+i)|can\s+(?:i|we|you)|is\s+(?:there|it|this)|what's)\b"
-)
+# Fixed value: what makes a command a question, whole.
+QUESTION = r"(?i)\b(what\s+is|what\s+are|what\s+does|how\s+do|how\s+does|how\s+can|can\s+i|explain|tell\s+me|describe|difference\s+between|why|when\s+should|is\s+this|is\s+it|what\s+(?:does|is|can)|help\s+me\s+understand|what\s+(?:does|'s)\s+the|what\s+(?:the\s+)?(?:semantic|bcf|ifc|ids)|how\s+(?:to|do\s+i)|can\s+(?:i|we|you)|is\s+(?:there|it|this)|what's)\b"
 
 
 def route(c: Column | str) -> Column:

@@ -310,7 +310,7 @@ def shared_records(spark, d):
 @query(S.WALK)
 def walkthrough(spark, d):
     found = detect.run_detection(elements(spark, d), models(spark, d), detect.Rules(max_gap=0))
-    return review.walkthrough(found).limit(200).select("elem_a", "elem_b", "elevation")
+    return review.walkthrough(found).select("elem_a", "elem_b", "elevation")
 
 
 @query(S.LINKS)

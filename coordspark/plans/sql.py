@@ -263,7 +263,7 @@ r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a), m AS
 SELECT pair, cluster, count(*) AS n, round(avg(x), 3) AS x, round(avg(y), 3) AS y, round(avg(z), 3) AS z FROM q JOIN m ON m.a = q.id GROUP BY 1, 2"""
 SHARED = f"""WITH i AS ({ISSUES}) SELECT status, CASE WHEN id % 7 = 0 THEN 'normal' ELSE priority END AS priority, source, count(*) AS n, count(CASE WHEN id % 3 <> 0 THEN 1 END) AS distances FROM i WHERE id % 6 <> 0 AND id % 5 <> 0 GROUP BY 1, 2, 3"""
 WALK = f"""WITH e AS ({X.ELEMENTS}) SELECT a.express_id AS elem_a, b.express_id AS elem_b, floor((a.y0 + a.y1 + b.y0 + b.y1) / 4.0 * 1000 + 0.5) / 1000 AS elevation
-FROM e AS a JOIN e AS b ON a.express_id < b.express_id AND {overlap()} WHERE {ACROSS} ORDER BY 3, 1, 2 LIMIT 200"""
+FROM e AS a JOIN e AS b ON a.express_id < b.express_id AND {overlap()} WHERE {ACROSS} ORDER BY 3, 1, 2"""
 LINKS = on_elements("SELECT CASE WHEN express_id % 3 = 0 THEN 'host' WHEN express_id % 2 = 0 THEN 'L' || CAST(express_id % 4 AS VARCHAR) || '#i1' ELSE 'L' || CAST(express_id % 4 AS VARCHAR) END AS link, count(*) AS n FROM e GROUP BY 1")
 SHEETS = "SELECT n_nationkey AS id, n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS annotations FROM nation"
 VIEWPOINTS = on_elements("SELECT CASE WHEN express_id % 2 = 0 THEN name ELSE 'remote' END AS name, count(*) AS n FROM e WHERE express_id % 2 = 0 OR express_id % 3 = 0 GROUP BY 1")

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from coordspark.functions import text
 from coordspark.operators import cluster, spatial
 
 A = (0, 0, 0, 1, 0, 0, 0, 1, 0)
@@ -79,3 +80,9 @@ def test_clusters_equal_brute_force(spark):
                 a, b = find(p[0]), find(q[0])
                 root[max(a, b)] = min(a, b)
     assert got == {i: find(i) for i in root}
+
+
+def test_questions(spark):
+    texts = ["what 's the BCF format", "What's new", "how to export", "is there a clash", "hide all walls", "what can I do", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.is_question("t").alias("q")).orderBy("i").collect()
+    assert [r.q for r in rows] == [True, True, True, True, False, True, False]
