@@ -29,7 +29,7 @@ from coordspark.operators.components import components
 SHARD_ROWS, SHARD_SIZE = 1024, 2_000_000
 FILTER_BITS, FILTER_CHUNKS = 1 << 27, 256
 #: Keys that occur more often than this are hot; of them at most HOT_KEYS, the most frequent, are told to the tasks.
-HOT_COUNT, HOT_KEYS = 16, 1 << 20
+HOT_COUNT, HOT_KEYS = 16, 1 << 17
 
 #: (nodes, parts, sides, payloads) -> verified links that tie different parts; with two sides only across them
 BlockJoin = Callable[[list[int], list[int], list[int], list[bytes]], list[tuple[int, int]]]
