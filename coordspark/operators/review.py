@@ -32,12 +32,17 @@ def with_filter(df: DataFrame, **wanted: str | None) -> DataFrame:
 
 
 def clash_list(clashes: DataFrame, status: str | None = None, limit: int = 50, order: list[str] = ("id",)) -> DataFrame:
-    """The first ``limit`` clashes of a status with their index, and the total before the limit. The limit is the feature."""
+    """The first ``limit`` clashes of a status with their index, and the total before the limit. The limit is the feature.
+
+    A clash without a title has its ai_title, or 'Clash n' by its place in the list.
+    """
     chosen = with_filter(clashes, status=status)
     total = chosen.count()
     top = chosen.orderBy(*order).limit(limit)
     index = F.row_number().over(Window.orderBy(*order)) - 1  # of at most ``limit`` rows
-    return top.select((index).alias("index"), "id", F.coalesce("status", F.lit("open")).alias("status"), F.coalesce("priority", F.lit("normal")).alias("priority"), "type", "distance_mm", F.lit(total).cast("bigint").alias("total"))
+    titles = [F.nullif(F.col(c), F.lit("")) for c in ("title", "ai_title") if c in clashes.columns]
+    title = F.coalesce(*titles, F.concat(F.lit("Clash "), (index + 1).cast("string")))
+    return top.select((index).alias("index"), "id", title.alias("title"), F.coalesce("status", F.lit("open")).alias("status"), F.coalesce("priority", F.lit("normal")).alias("priority"), "type", "distance_mm", F.lit(total).cast("bigint").alias("total"))
 
 
 def issue_list(issues: DataFrame, status: str | None = None, compat: bool = False) -> DataFrame:
@@ -81,9 +86,11 @@ def hidden_groups(elements: DataFrame, chosen: DataFrame, group: str = "ifc_type
     return elements.join(chosen.select("express_id"), "express_id", "left_semi").select(group).distinct()
 
 
-def fuzzy(df: DataFrame, wanted: str, column: str = "name", order: str = "pos") -> DataFrame:
-    """The best match: equal without case first, then part of the name, then the first in order."""
+def fuzzy(df: DataFrame, wanted: str, column: str = "name", order: str = "pos", lone: bool = False) -> DataFrame:
+    """The best match: equal without case first, then part of the name, then the first in order. ``lone``: the only row there is matches any name."""
     name = F.lower(F.col(column))
+    if lone and df.limit(2).count() == 1:
+        return df
     return df.where(name.contains(wanted.lower())).orderBy((name == wanted.lower()).desc(), order).limit(1)
 
 

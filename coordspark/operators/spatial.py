@@ -99,16 +99,23 @@ def mesh_intersections(left: DataFrame, right: DataFrame, cell: float = 3000, co
     )
 
 
-def min_distance(points_a: DataFrame, points_b: DataFrame, max_dist: float, keys: list[str] = ("pair",), sample_every: int = 1) -> DataFrame:
+def sample_points(points: DataFrame, keys: list[str] = ("pair",), full: int = 10_000) -> DataFrame:
+    """Every n-th point (by idx, from 0) of the keys with more than ``full`` points, n = points // full + 1; all points of the others. Sampling is the feature."""
+    sizes = points.groupBy(*keys).agg(F.count("*").alias("_n"))
+    step = F.when(F.col("_n") > full, F.floor(F.col("_n") / full) + 1).otherwise(1)
+    return points.join(sizes, list(keys)).where(F.col("idx") % step == 0).drop("_n")
+
+
+def min_distance(points_a: DataFrame, points_b: DataFrame, max_dist: float, keys: list[str] = ("pair",), sample: bool = False) -> DataFrame:
     """Per key the least distance between a point of either side, if it is at most ``max_dist`` (inclusive), with both points.
 
     One side is put into the 27 cells around each of its points, the other into its own cell: an equi-join, and exact,
-    since points within ``max_dist`` are in neighbouring cells. ``sample_every`` keeps each n-th point of side a (idx).
+    since points within ``max_dist`` are in neighbouring cells. ``sample`` thins large meshes of side a as ``sample_points`` does.
     """
     size = max(max_dist, 0.02)
     keys = list(keys)
-    if sample_every > 1:
-        points_a = points_a.where(F.col("idx") % sample_every == 0)
+    if sample:
+        points_a = sample_points(points_a, keys)
     a = points_a.select(*keys, *(F.col(k).alias(f"a{k}") for k in AXES), *(F.floor(F.col(k) / size).alias(f"c{k}") for k in AXES))
     b = points_b.select(*keys, *(F.col(k).alias(f"b{k}") for k in AXES), *(F.explode(F.array(*(F.floor(F.col(k) / size) + d for d in (-1, 0, 1)))).alias(f"c{k}") if k == "x" else F.floor(F.col(k) / size).alias(f"c{k}") for k in AXES))
     for k in ("y", "z"):

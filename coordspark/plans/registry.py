@@ -570,6 +570,115 @@ def rate_limit(spark, d):
     return merge.rate_limited(requests, 2, 86_400_000).groupBy("ip").agg(F.count("*").alias("n"), F.count_if("rejected").alias("rejected"))
 
 
+# --- records on their way in and out
+
+
+@query(S.ISSUES_ALL)
+def issue_list_compat(spark, d):
+    """The status is ignored, as the list's callers expect."""
+    return review.issue_list(issues(spark, d), "open", compat=True).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(S.REVIEWED)
+def reviewed_records(spark, d):
+    return review.reviewed(clashes(spark, d), issues(spark, d)).groupBy("status", "source").agg(F.count("*").alias("n"))
+
+
+@query(S.SIDES)
+def side_models(spark, d):
+    """Elements of the models of two sides: name parts and disciplines."""
+    e, m = elements(spark, d), models(spark, d)
+    sides = [review.model_side(m, s).select(F.lit(s).alias("side"), "model_id") for s in ("west", "structural + services", "all")]
+    return e.join(F.broadcast(sides[0].unionByName(sides[1]).unionByName(sides[2])), "model_id").groupBy("side").agg(F.count("*").alias("n"))  # at most three models a side
+
+
+@query(S.RECORD_TEXTS)
+def record_texts(spark, d):
+    """Type names, notes, project keys, units, lengths and embedded JSON of records."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    unit = F.when(F.col("p_size") % 4 == 0, "mm").when(F.col("p_size") % 4 == 1, "cm").when(F.col("p_size") % 4 == 2, "ft").otherwise("m")
+    return part.select(
+        "p_partkey", text.normal_type(F.when(F.col("p_size") % 2 == 0, "clearance").otherwise("hard")).alias("kind"),
+        text.redact_note(F.concat(F.lit("see AB-1"), key, F.lit(" of a.b@site.org in C:\\x\\"), key)).alias("note"),
+        text.project_key("p_name", "p_partkey").alias("project_key"), text.unit_ratio(unit).alias("ratio"),
+        F.round(text.length_mm(F.concat(F.lit("gap of "), size, F.lit(" "), unit)), 6).alias("length"),
+        text.json_array_in(F.concat(F.lit("so: ["), size, F.when(F.col("p_size") % 3 == 0, "]").otherwise(""), F.lit(" end"))).alias("found"),
+    )
+
+
+@query(S.PLACED)
+def placed_triangles(spark, d):
+    """Triangles turned by a right angle about y, doubled and moved, by each element's matrix."""
+    t = triangles(spark, d).withColumn("geometry_id", F.col("express_id"))
+    shift = (F.col("express_id") % 10).cast("double")
+    matrix = F.array(*(F.lit(float(v)) for v in (0, 0, -2, 0, 0, 2, 0, 0, 2, 0, 0, 0)), shift, F.lit(5.0), -shift, F.lit(1.0))
+    return formats.place_triangles(t.drop("express_id", "model_id"), t.select("express_id", "geometry_id", matrix.alias("matrix"))).drop("geometry_id")
+
+
+@query(S.WIRE)
+def wire_elements(spark, d):
+    e = elements(spark, d)
+    some = lambda n, c: F.when(F.col("express_id") % n != 0, F.col(c))
+    rows = e.select(
+        "express_id", "global_id", "name", F.when(F.col("express_id") % 5 == 0, "").otherwise(some(7, "ifc_type")).alias("category"), some(3, "material").alias("type"), F.col("storey").alias("level"),
+        F.array("material", F.col("model_id")).alias("materials"), F.when(F.col("express_id") % 2 == 0, F.create_map(F.lit("Set"), F.create_map(F.lit("k"), F.col("name")))).alias("parameters"),
+    )
+    return formats.normalise_wire(rows).select("express_id", "global_id", "ifc_type", "name", "object_type", "storey", "material", F.size("psets").alias("sets"))
+
+
+@query(S.UPDATED)
+def updated_record(spark, d):
+    return merge.update_one(elements(spark, d), "express_id", 7, storey="L9", name="seven").where("storey = 'L9' or express_id < 20").select("express_id", "name", "storey")
+
+
+@query(S.COMMANDS_JSONL)
+def commands_jsonl(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    rows = part.select(F.col("p_name").alias("input"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("output"), F.when(F.col("p_size") % 2 == 0, "fast").otherwise("smart").alias("path"))
+    return formats.commands_jsonl(rows, "Answer.")
+
+
+@query(S.IDS)
+def ids_round_trip(spark, d):
+    """Specifications of the element types at hand, written as a document and read back."""
+    kind = F.col("ifc_type")
+    specs = elements(spark, d).groupBy("ifc_type").agg(F.min("pos").alias("pos")).select(
+        F.col("pos").cast("int"), F.concat(F.lit("On <"), kind, F.lit(">")).alias("name"), F.upper(kind).alias("entity"),
+        F.when(kind.isin("IfcWall", "IfcSlab"), "property").when(kind == "IfcBeam", "material").when(kind == "IfcDoor", "partOf").otherwise("attribute").alias("facet"),
+        F.when(kind.isin("IfcWall", "IfcSlab"), F.concat(F.lit("Pset_"), kind)).when(kind == "IfcDoor", "IFCBUILDINGSTOREY").otherwise("GlobalId").alias("target"), F.when(kind == "IfcWall", "FireRating").alias("prop"),
+    )
+    return formats.ids_rules(formats.ids_xml(specs, "R & D", "2024-01-01")).select("title", "name", "entity", F.array_join("requirements", "; ").alias("requirements"))
+
+
+@query(S.SAMPLED)
+def sampled_points(spark, d):
+    points = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") % 2).alias("pair"), F.col("o_orderkey").alias("idx"))
+    return spatial.sample_points(points, ["pair"], 500).groupBy("pair").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+
+
+@query(S.GROUPED)
+def clash_groups(spark, d):
+    """Every grouping of the clash list: dimension, value, size, smallest and greatest id."""
+    c, out = clashes(spark, d), None
+    for key in ("storey", "typeA", "typeB", "status", "type", "discipline"):
+        part = review.group_clashes(c, key).select(F.lit(key).alias("dimension"), F.col(key).alias("value"), "n", "first_id", "last_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(S.METRICS)
+def query_metrics(spark, d):
+    """All metrics of a query, in long form."""
+    c, i, out = clashes(spark, d), issues(spark, d), None
+    for name, metric in review.METRICS.items():
+        found = metric(c, i)
+        value = next((x for x in found.columns if x != "n"), None)
+        part = found.select(F.lit(name).alias("metric"), (F.col(value) if value else F.lit(None).cast("string")).alias("value"), F.col("n").cast("bigint").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- streams
 
 

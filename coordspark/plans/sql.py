@@ -120,7 +120,7 @@ STATUS = f"""WITH e AS ({X.ELEMENTS}), m AS ({X.MODELS}), c AS ({X.CLASHES}) SEL
   (SELECT count(*) FROM c WHERE status <> 'resolved') AS open_clashes, (SELECT count(*) FROM orders) AS issues FROM m"""
 _ONCE = "o AS (SELECT id, min(status) AS status, min(priority) AS priority, min(type) AS type, min(distance_mm) AS distance_mm FROM c GROUP BY id)"
 CLASH_LIST = f"""WITH c AS ({X.CLASHES}), {_ONCE}, p AS (SELECT * FROM o WHERE status = 'open' ORDER BY id LIMIT 50)
-SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INT) AS "index", id, status, priority, type, distance_mm, (SELECT count(*) FROM o WHERE status = 'open') AS total FROM p"""
+SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INT) AS "index", id, 'Clash ' || CAST(row_number() OVER (ORDER BY id) AS VARCHAR) AS title, status, priority, type, distance_mm, (SELECT count(*) FROM o WHERE status = 'open') AS total FROM p"""
 SORTED = f"""WITH c AS ({X.CLASHES}), {_ONCE} SELECT id, priority, distance_mm FROM o
 ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END, distance_mm, id LIMIT 100"""
 DISCIPLINES = on_elements("""SELECT model_id, discipline FROM (SELECT model_id, discipline, row_number() OVER (PARTITION BY model_id ORDER BY n DESC, discipline) AS r FROM (
@@ -275,3 +275,30 @@ SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN CASE WHEN m < 0 THEN floor(
   CASE WHEN p_size < 10 THEN CAST(p_size * 100 AS VARCHAR) || ' mm' ELSE printf('%.2f m', p_size / 10.0) END AS label, greatest(0.01, least(0.99, p_size / 40.0)) AS position,
   CAST(floor(10000.0 / (p_size + 1) + 0.5) AS BIGINT) AS pixels, CASE WHEN p_size % 3 <> 2 THEN 'major' WHEN p_size % 2 <> 1 THEN 'minor' ELSE 'ok' END AS protocol,
   CASE WHEN t = 'IfcSpace' THEN 'false_positive' WHEN p_size % 2 = 1 THEN 'minor' WHEN p_size * 5 >= 100 THEN 'critical' WHEN p_size * 5 >= 20 THEN 'major' ELSE 'minor' END AS severity FROM q"""
+
+# --- records on their way in and out
+
+ISSUES_ALL = f"SELECT status, count(*) AS n FROM ({ISSUES}) AS i GROUP BY 1"
+REVIEWED = f"""SELECT status, source, count(*) AS n FROM (SELECT status, CAST(NULL AS VARCHAR) AS source FROM ({X.CLASHES}) AS c UNION ALL SELECT status, source FROM ({ISSUES}) AS i WHERE source = 'clash') AS r
+WHERE status IS NULL OR status <> 'open' GROUP BY 1, 2"""
+SIDES = on_elements("""SELECT side, count(*) AS n FROM e JOIN (VALUES ('west', 'M0'), ('west', 'M2'), ('structural + services', 'M1'), ('structural + services', 'M2'), ('all', 'M0'), ('all', 'M1'), ('all', 'M2')) AS s(side, m) ON m = model_id GROUP BY 1""")
+RECORD_TEXTS = """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'soft' ELSE 'hard' END AS kind, 'see [id] of [email] in [path]' AS note,
+  upper(substr(regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g'), 1, 4)) || '-' || translate(substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 6), '01', 'gh') AS project_key,
+  CASE p_size % 4 WHEN 0 THEN CAST(0.001 AS DOUBLE) WHEN 1 THEN CAST(0.01 AS DOUBLE) WHEN 2 THEN CAST(0.3048 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS ratio,
+  round(p_size * CASE p_size % 4 WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(10 AS DOUBLE) WHEN 2 THEN CAST(304.8 AS DOUBLE) ELSE CAST(1000 AS DOUBLE) END, 6) AS length,
+  CASE WHEN p_size % 3 = 0 THEN '[' || CAST(p_size AS VARCHAR) || ']' END AS found FROM part"""
+PLACED = f"""WITH t AS ({X.TRIANGLES}) SELECT express_id, tri_idx, {", ".join(f"2 * z{i} + express_id % 10 AS x{i}, 2 * y{i} + 5 AS y{i}, 0 - 2 * x{i} - express_id % 10 AS z{i}" for i in range(3))} FROM t"""
+WIRE = on_elements("""SELECT express_id, global_id, CASE WHEN express_id % 5 = 0 OR express_id % 7 = 0 THEN 'IfcBuildingElementProxy' ELSE ifc_type END AS ifc_type, name,
+  CASE WHEN express_id % 3 <> 0 THEN material END AS object_type, storey, material || ', ' || model_id AS material, CASE WHEN express_id % 2 = 0 THEN 1 ELSE 0 END AS sets FROM e""")
+UPDATED = on_elements("SELECT express_id, CASE WHEN express_id = 7 THEN 'seven' ELSE name END AS name, CASE WHEN express_id = 7 THEN 'L9' ELSE storey END AS storey FROM e WHERE express_id < 20")
+COMMANDS_JSONL = """SELECT '{"messages":[{"role":"system","content":"Answer."},{"role":"user","content":"' || p_name || '"}' || CASE WHEN p_partkey % 3 = 0 THEN ',{"role":"assistant","content":"' || p_brand || '"}' ELSE '' END
+  || '],"matched":' || CASE WHEN p_partkey % 3 = 0 THEN 'true' ELSE 'false' END || ',"path":"' || CASE WHEN p_size % 2 = 0 THEN 'fast' ELSE 'smart' END || '"}' AS value FROM part"""
+IDS = on_elements("""SELECT DISTINCT 'R & D' AS title, 'On <' || ifc_type || '>' AS name, upper(ifc_type) AS entity, CASE ifc_type WHEN 'IfcWall' THEN 'property: Pset_IfcWall.FireRating'
+  WHEN 'IfcSlab' THEN 'property: Pset_IfcSlab.*' WHEN 'IfcBeam' THEN 'material' WHEN 'IfcDoor' THEN 'partOf: IFCBUILDINGSTOREY' ELSE 'attribute: GlobalId' END AS requirements FROM e""")
+SAMPLED = """WITH p AS (SELECT o_orderkey % 2 AS pair, o_orderkey AS idx, count(*) OVER (PARTITION BY o_orderkey % 2) AS n FROM orders)
+SELECT pair, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM p WHERE idx % CASE WHEN n > 500 THEN n // 500 + 1 ELSE 1 END = 0 GROUP BY 1"""
+GROUPED = on_clashes(" UNION ALL ".join(f"SELECT '{key}' AS dimension, {column} AS value, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM c GROUP BY 2" for key, column in (("storey", STOREY), ("typeA", "elem_a_type"), ("typeB", "elem_b_type"), ("status", "status"), ("type", "type"), ("discipline", "discipline_a"))))
+METRICS = f"""WITH c AS ({X.CLASHES}), i AS ({ISSUES}) SELECT 'clash_count' AS metric, CAST(NULL AS VARCHAR) AS value, count(*) AS n FROM c UNION ALL SELECT 'issue_count', NULL, count(*) FROM i
+UNION ALL SELECT 'open_clashes', NULL, count(*) FROM c WHERE status = 'open' UNION ALL SELECT 'status_breakdown', status, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'type_breakdown', type, count(*) FROM c GROUP BY 2
+UNION ALL SELECT 'discipline_breakdown', side, count(*) FROM (SELECT unnest([discipline_a, discipline_b]) AS side FROM c) AS s WHERE side <> '' GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'worst_storey', {STOREY} AS s, count(*) AS k FROM c GROUP BY 2 ORDER BY k DESC, s LIMIT 1) AS w"""

@@ -69,7 +69,7 @@ def _storeys(s):
 
 @tool("get_model_info", name="string")
 def _model(s, name=""):
-    return review.fuzzy(s["models"], name)
+    return review.fuzzy(s["models"], name, lone=True)
 
 
 @tool("get_model_bounds", name="string")
@@ -228,6 +228,29 @@ INTENT_TOOLS = {"run_detection": "run_detection", "filter_status": "filter_clash
 _STATUS = r"\b(open|confirmed|denied|in[_ ]progress|resolved|closed|approved)\b"
 
 
+# Further intents by phrase, in order of precedence; named groups are their arguments.
+PHRASES = (
+    ("set_duplicates", r"\b(?:(?P<off>exclude|disable|ignore|without|turn off)|include|enable|turn on)\b.*\bduplicates?\b"),
+    ("import_bcf", r"\b(?:import|load|open|bring in)\b.*\bbcf\b"),
+    ("load_model", r"\b(?:load|open|add|upload)\b.*\b(?:ifc|models?|file|building)\b"),
+    ("create_project", r"\b(?:new|create|start)(?: a)? project(?: called| named)?\s+(?P<name>.+)"),
+    ("rename_project", r"\brename(?: this| the)? project(?: to)?\s+(?P<name>.+)"),
+    ("batch_update", r"\b(?P<action>resolve|close|mark)\b.*\b(?P<filter>duplicates|soft|hard|all)\b(?:.*\bas (?P<value>\w+))?"),
+    ("filter_priority", r"\b(?:show|only|filter)\b.*\b(?P<priority>critical|high|normal|low)\b"),
+    ("analyze_clashes", r"\banaly[sz]e\b|\bsummar\w+|\bbreakdown\b|\bpatterns?\b|\bworst\b"),
+    ("save_viewpoint", r"\b(?:save|capture|bookmark)\b.*\bview(?:point)?\b"),
+    ("measure", r"\b(?P<mode>stop|clear)\b.*\bmeasur\w+|\bmeasure\b"),
+    ("set_section", r"\b(?:section|cut)\b(?:.*\b(?P<axis>[xyz])\b)?"),
+    ("color_by", r"\bcolou?rs?\b(?: by (?P<by>\w+))?"),
+    ("set_theme", r"\b(?P<theme>dark|night|light|bright) mode\b"),
+    ("set_render_style", r"\b(?P<style>wire ?frame|shaded|rendered|realistic)\b"),
+    ("set_visibility_option", r"\b(?P<do>show|hide)\b.*\b(?P<option>grid|axes|markers)\b"),
+    ("restore_visibility", r"\b(?:show|unhide|restore) all\b|\bunghost\b|\bundo hide\b"),
+    ("navigate_tab", r"^(?:go to|show|open(?=.* tab$))(?: the)?\s+(?P<tab>models|clashes|issues|navigator|ai)(?: tab)?$"),
+    ("set_view", r"\b(?P<view>top|front|back|left|right|isometric|iso|reset)(?: view)\b"),
+)
+
+
 def read_command(text: str) -> dict:
     """The intent of a plain command by fixed phrases; 'help' if none fits."""
     t = text.lower()
@@ -263,6 +286,9 @@ def read_command(text: str) -> dict:
         return {"intent": "generate_report"}
     if re.search(r"\bhow many\b|\bcount\b|\bstatus\?", t):
         return {"intent": "query"}
+    for intent, pattern in PHRASES:
+        if m := re.search(pattern, t):
+            return {"intent": intent} | {k: v for k, v in m.groupdict().items() if v is not None}
     if m := re.search(_STATUS, t):
         return {"intent": "filter_status", "status": m[1].replace(" ", "_")}
     return {"intent": "help"}

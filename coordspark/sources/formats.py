@@ -141,16 +141,30 @@ def ids_xml(specs: DataFrame, title: str, date: str) -> DataFrame:
     return specs.agg(F.concat(F.lit(head), text.xml_escape(F.lit(title)), F.lit(f"</title><date>{date}</date></info>\n<specifications>\n"), body, F.lit("\n</specifications>\n</ids>\n")).alias("value"))
 
 
+def _elements_of(tag: str) -> str:
+    """A pattern for the elements of one name in XML text, with or without a prefix or a body."""
+    return rf"(?s)<(?:\w+:)?{tag}(?:\s(?:\"[^\"]*\"|'[^']*'|[^\"'>/])*)?(?:/>|>.*?</(?:\w+:)?{tag}\s*>)"
+
+
 def ids_rules(documents: DataFrame, column: str = "value") -> DataFrame:
-    """title, name, entity, requirements of each specification of IDS documents, one per row of ``documents``."""
-    any_ = lambda *steps: "/" + "".join(f"/*[local-name()='{s}']" for s in steps)
-    spec = any_("specification")
-    n = F.size(F.xpath(column, F.lit(f"{spec}/@name")))
-    out = documents.withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).where(n > 0)
-    names = F.xpath(column, F.lit(f"{spec}/@name"))
-    entities = F.xpath(column, F.lit(f"{spec}/*[local-name()='applicability']{any_('entity', 'name', 'simpleValue')[1:]}/text()"))
-    title = F.xpath_string(column, F.lit(f"{any_('info', 'title')}"))
-    return out.select(title.alias("title"), F.get(names, F.col("_i") - 1).alias("name"), F.coalesce(F.get(entities, F.col("_i") - 1), F.lit("*")).alias("entity"))
+    """title, name, entity, requirements (an array of texts) of each specification of IDS documents, one per row of ``documents``.
+
+    A specification without an entity has '*', one without a name 'Unnamed'. Requirements are listed by kind: attributes,
+    properties, materials, then containing elements. Each specification is read by itself, so gaps in one shift no other.
+    """
+    steps = lambda *names: "".join(f"//*[local-name()='{n}']" for n in names)
+    first = lambda c, default, *names: F.coalesce(F.nullif(F.xpath_string(c, F.lit(steps(*names))), F.lit("")), F.lit(default))
+    each = lambda c, tag: F.regexp_extract_all(c, F.lit(_elements_of(tag)), F.lit(0))
+    specs = documents.select(first(F.col(column), "Imported IDS", "info", "title").alias("title"), F.posexplode(each(F.col(column), "specification")).alias("pos", "spec"))
+    needs = F.regexp_extract("spec", _elements_of("requirements"), 0)
+    requirements = F.concat(
+        F.transform(each(needs, "attribute"), lambda x: F.concat(F.lit("attribute: "), first(x, "?", "name", "simpleValue"))),
+        F.transform(each(needs, "property"), lambda x: F.concat(F.lit("property: "), first(x, "?", "propertySet", "simpleValue"), F.lit("."), first(x, "*", "baseName", "simpleValue"))),
+        F.transform(each(needs, "material"), lambda x: F.lit("material")),
+        F.transform(each(needs, "partOf"), lambda x: F.concat(F.lit("partOf: "), first(x, "?", "entity", "name", "simpleValue"))),
+    )
+    name = F.coalesce(F.nullif(F.xpath_string("spec", F.lit("/*/@name")), F.lit("")), F.lit("Unnamed"))
+    return specs.select("title", name.alias("name"), first(F.col("spec"), "*", "applicability", "entity", "name", "simpleValue").alias("entity"), requirements.alias("requirements"))
 
 
 def topic_xml(issues: DataFrame) -> DataFrame:
@@ -203,10 +217,11 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_step(spark: SparkSession, path: str) -> DataFrame:
-    """express_id, ifc_type, global_id, name of the entities of STEP text files; attributes only, no geometry."""
-    lines = spark.read.text(path)
-    pattern = r"^#(\d+)\s*=\s*(IFC\w+)\s*\(\s*'([^']*)'\s*,[^,]*,\s*(?:'((?:[^']|'')*)'|\$)"
-    got = lambda i: F.regexp_extract("value", pattern, i)
-    return lines.where(F.col("value").rlike(pattern)).select(got(1).cast("bigint").alias("express_id"), got(2).alias("ifc_type"), got(3).alias("global_id"), F.nullif(F.replace(got(4), F.lit("''"), F.lit("'")), F.lit("")).alias("name"))
-
+    """express_id, ifc_type, global_id, name of the entities of STEP text files, over any number of lines; attributes only, no geometry.
 
+    Files are split where an entity ends, at ``);``, so large ones are read in parallel.
+    """
+    entities = spark.read.text(path, lineSep=");")
+    pattern = r"(?:^|\n)\s*#(\d+)\s*=\s*(IFC\w+)\s*\(\s*'([^']*)'\s*,[^,]*,\s*(?:'((?:[^']|'')*)'|\$)"
+    got = lambda i: F.regexp_extract("value", pattern, i)
+    return entities.where(F.col("value").rlike(pattern)).select(got(1).cast("bigint").alias("express_id"), got(2).alias("ifc_type"), got(3).alias("global_id"), F.nullif(F.replace(got(4), F.lit("''"), F.lit("'")), F.lit("")).alias("name"))

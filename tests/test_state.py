@@ -7,7 +7,7 @@ import struct
 from pyspark.sql import functions as F
 
 from coordspark.functions import js, text
-from coordspark.operators import merge, quality
+from coordspark.operators import merge, quality, review
 from coordspark.plans import tools
 from coordspark.sources import formats
 from coordspark.streaming import jobs
@@ -88,6 +88,46 @@ def test_formats(spark, tmp_path):
 
     (tmp_path / "m.ifc").write_text("#1=IFCWALL('g1',#2,'It''s',$);\n#2=IFCOWNERHISTORY(#3);\n")
     assert [(r.express_id, r.ifc_type, r.name) for r in formats.read_step(spark, f"{tmp_path}/m.ifc").collect()] == [(1, "IFCWALL", "It's")]
+    (tmp_path / "n.ifc").write_text("ISO-10303-21;\nHEADER;\nFILE_SCHEMA(('IFC4'));\nENDSEC;\nDATA;\n#1=IFCWALL('g1',\n  #2,'A;\nB',$);\n#3 = IFCSLAB('g3',$,$,$);\nENDSEC;\n")
+    assert [(r.express_id, r.ifc_type, r.name) for r in formats.read_step(spark, f"{tmp_path}/n.ifc").collect()] == [(1, "IFCWALL", "A;\nB"), (3, "IFCSLAB", None)]
+
+
+def test_ids_rules_with_gaps(spark):
+    """A specification without entity or base name shifts none after it; prefixes and empty elements are read."""
+    xml = """<x:ids xmlns:x="u"><x:info><x:title>T</x:title></x:info><x:specifications>
+<x:specification name="one"><x:applicability/><x:requirements><x:material/><x:attribute><x:name><x:simpleValue>Tag &amp; a</x:simpleValue></x:name></x:attribute></x:requirements></x:specification>
+<x:specification><x:applicability><x:entity><x:name><x:simpleValue>IFCWALL</x:simpleValue></x:name></x:entity></x:applicability>
+<x:requirements><x:property><x:propertySet><x:simpleValue>P</x:simpleValue></x:propertySet></x:property><x:property><x:propertySet><x:simpleValue>Q</x:simpleValue></x:propertySet><x:baseName><x:simpleValue>b</x:simpleValue></x:baseName></x:property>
+<x:partOf><x:entity><x:name><x:simpleValue>IFCSITE</x:simpleValue></x:name></x:entity></x:partOf></x:requirements></x:specification>
+<x:specification name="bare"/><x:specification name="last"></x:specification></x:specifications></x:ids>"""
+    docs = spark.createDataFrame([(xml,), ("<ids/>",), (None,)], "value string")
+    got = [tuple(r) for r in formats.ids_rules(docs).collect()]
+    assert got == [
+        ("T", "one", "*", ["attribute: Tag & a", "material"]),
+        ("T", "Unnamed", "IFCWALL", ["property: P.*", "property: Q.b", "partOf: IFCSITE"]),
+        ("T", "bare", "*", []),
+        ("T", "last", "*", []),
+    ]
+
+
+def test_list_titles_and_lone_model(spark):
+    clashes = spark.createDataFrame([(1, "open", None, "hard", 3, "", "by model"), (2, None, "high", "soft", 4, None, None), (3, "open", "low", "hard", 5, "own", "by model")], "id int, status string, priority string, type string, distance_mm int, title string, ai_title string")
+    assert [r.title for r in review.clash_list(clashes).collect()] == ["by model", "Clash 2", "own"]
+    models = spark.createDataFrame([("M0", 0, "West")], "model_id string, pos int, name string")
+    assert review.fuzzy(models, "east", lone=True).count() == 1 and review.fuzzy(models, "east").count() == 0
+
+
+def test_command_phrases():
+    said = {
+        "exclude duplicates": {"intent": "set_duplicates", "off": "exclude"}, "import the bcf file": {"intent": "import_bcf"}, "open a model": {"intent": "load_model"},
+        "create project tower a": {"intent": "create_project", "name": "tower a"}, "rename project to bar": {"intent": "rename_project", "name": "bar"},
+        "resolve all duplicates": {"intent": "batch_update", "action": "resolve", "filter": "duplicates"}, "show critical": {"intent": "filter_priority", "priority": "critical"},
+        "analyze the patterns": {"intent": "analyze_clashes"}, "save viewpoint": {"intent": "save_viewpoint"}, "stop measuring": {"intent": "measure", "mode": "stop"},
+        "section along y": {"intent": "set_section", "axis": "y"}, "color by storey": {"intent": "color_by", "by": "storey"}, "dark mode": {"intent": "set_theme", "theme": "dark"},
+        "wireframe": {"intent": "set_render_style", "style": "wireframe"}, "hide grid": {"intent": "set_visibility_option", "do": "hide", "option": "grid"},
+        "unhide all": {"intent": "restore_visibility"}, "go to issues": {"intent": "navigate_tab", "tab": "issues"}, "top view": {"intent": "set_view", "view": "top"}, "hello": {"intent": "help"},
+    }
+    assert {s: tools.read_command(s) for s in said} == said
 
 
 def test_tools(spark):
