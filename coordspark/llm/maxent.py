@@ -1,12 +1,15 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 Tokens are lower-cased (A-Z) words and one end per text. The counts of all training tokens are gathered in Spark. The
-model factors a token's probability into that of its class and that within its class: the most frequent words fill
-``CLASSES`` - 1 classes of ``MEMBERS`` words, the last class holds the rest. Both softmaxes have hashed features of the
-preceding words (bigram, trigram and skip features) on top of the logarithms of the relative frequencies; within the
-last class a word has its smoothed relative frequency. Training covers every training text once: in each of ``ROUNDS``
-rounds every task runs mini-batch AdaGrad over its share from the same weights, and the tasks' updates, averaged by how
-often each feature was seen, are summed in Spark in two stages. All texts are scored in numpy batches.
+model factors a token's probability over nested classes: the hot tokens and one leaf for all others are the leaves of a
+Huffman tree over the counts, and each inner node is a softmax between its two classes, so every hot token is predicted
+from its context and costs as many steps as it has bits. Each softmax has hashed features of the preceding words (bigram,
+skip, trigram and third-word features, each joined with the node) on top of the logarithm of the classes' relative
+frequencies; within the leaf of the other tokens a word has its smoothed relative frequency. The feature table holds one
+weight for each ``TOKENS_A_WEIGHT`` training tokens, within ``BITS`` (a power of two). Training covers every training text
+once: in each of ``ROUNDS`` rounds every task runs mini-batch AdaGrad over its share from the same weights, and the tasks'
+updates, weighted by the root of the squared gradients that each gathered, are averaged in Spark in two stages. All texts
+are scored in numpy batches.
 
 Tokens beyond the ``HOT`` most frequent are too many to broadcast: their counts are joined in, per text, in Spark.
 
@@ -17,6 +20,7 @@ extra columns are ignored; texts of any length are scored whole, in batches of `
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -33,17 +37,19 @@ from coordspark.llm.common import bound_batches, save
 FOLDS = 10
 ADD = 0.1
 HOT = 150_000
-CLASSES, MEMBERS = 32, 32
-BUCKETS = 1 << 14
-ROUNDS = 3
+BITS = (21, 23)
+TOKENS_A_WEIGHT = 64
+ROUNDS = 2
 BATCH = 32_768
-RATE = 0.2
+CHUNK = 4096
+RATE = 0.15
 FLUSH = 300_000
-BLOCK = 256
+BLOCK = 1 << 16
 FAN_IN = 32
 
 END = b"\n"  # no word holds white space
-_START, _TAIL = 0, 4096  # ids of contexts: the start of a text, and hashed endings of words that are not hot
+_START = np.uint64(0)  # the context before a text
+_MIX, _NODE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -74,103 +80,101 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The hot tokens by rank with their counts, and the corpus totals."""
+    """The hot tokens by rank with their counts, the corpus totals, and the class tree's paths, leaf after leaf."""
 
     def __init__(self, hot: list[tuple[bytes, int]], total: int, distinct: int):
         hot = sorted(hot, key=lambda r: (-r[1], r[0]))
         self.rank = {token: i for i, (token, _) in enumerate(hot)}
         self.count = np.array([c for _, c in hot], dtype=np.float64)
         self.total, self.distinct = total, distinct
-        self.inner = min(len(hot), (CLASSES - 1) * MEMBERS)
-        inside = self.count[: self.inner]
-        self.rest = total - inside.sum() + ADD * (distinct - self.inner + 1)  # smoothed mass of the last class
-        size = np.zeros((CLASSES - 1) * MEMBERS)
-        size[: self.inner] = inside
-        size = size.reshape(CLASSES - 1, MEMBERS)
-        with np.errstate(divide="ignore"):
-            mass = np.append(size.sum(axis=1), self.rest)
-            self.class_bias = np.maximum(np.log(mass / mass.sum()), -30).astype(np.float32)
-            self.member_bias = np.maximum(np.log(size / np.maximum(size.sum(axis=1, keepdims=True), 1e-9)), -30).astype(np.float32)
+        self.rest = float(total - self.count.sum() + ADD * (distinct - len(hot) + 1))  # smoothed mass of the tokens that are not hot
+        self.bits = min(max((total // TOKENS_A_WEIGHT).bit_length() - 1, BITS[0]), BITS[1])
+        self.starts, nodes, self.side, bias = class_paths([*self.count.tolist(), self.rest])
+        self.lengths = np.diff(self.starts)
+        self.bias = bias[nodes]
+        self.node = (((nodes.astype(np.uint64) + np.uint64(1)) * _NODE) >> np.uint64(32)).astype(np.uint32)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.rank.get
         return np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
     def contexts(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
-        """A context id per word: its rank, or its hashed ending."""
-        out = ids + _TAIL
+        """A context id per word: its rank, or a hash of the word."""
+        out = (ids + 1).astype(np.uint64)
         for i in np.flatnonzero(ids < 0).tolist():
-            out[i] = 1 + xxhash.xxh32_intdigest(words[i][-3:]) % (_TAIL - 1)
+            out[i] = xxhash.xxh64_intdigest(words[i]) | 1 << 63
         return out
 
 
-class Weights:
-    def __init__(self, classes: np.ndarray | None = None, members: np.ndarray | None = None):
-        self.classes = np.zeros((BUCKETS, CLASSES), dtype=np.float32) if classes is None else classes
-        self.members = np.zeros((BUCKETS, MEMBERS), dtype=np.float32) if members is None else members
+def class_paths(mass: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman's tree over the leaves' masses: where each leaf's path starts, the paths' nodes and sides, and a bias per node."""
+    m = len(mass)
+    heap = [(x, i) for i, x in enumerate(mass)]
+    heapq.heapify(heap)
+    parent, side, bias = np.arange(2 * m - 1), np.zeros(2 * m - 1, dtype=np.float32), np.zeros(m - 1, dtype=np.float32)
+    for node in range(m - 1):
+        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[i] = parent[j] = m + node
+        side[i] = 1
+        bias[node] = np.log(a / b)
+        heapq.heappush(heap, (a + b, m + node))
+    at, levels = np.arange(m), []
+    while (at < 2 * m - 2).any():
+        levels.append(at)
+        at = parent[at]
+    if not levels:
+        return np.zeros(2, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), bias
+    steps = np.stack(levels, axis=1)
+    inner = steps < 2 * m - 2
+    path = steps[inner]
+    return np.concatenate([[0], np.cumsum(inner.sum(axis=1))]), parent[path] - m, side[path], bias
 
 
 def _hash(*ids: np.ndarray) -> np.ndarray:
     h = np.zeros(len(ids[0]), dtype=np.uint64)
     for i, x in enumerate(ids):
-        h = (h ^ (x.astype(np.uint64) + np.uint64(i + 1))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (x + np.uint64(i + 1))) * _MIX
         h ^= h >> np.uint64(31)
-    return (h & np.uint64(BUCKETS - 1)).astype(np.uint16)
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 class Stream:
-    """Tokens of texts in batches: target ids, the text that each belongs to, and the three words before it."""
+    """Tokens of texts: target ids, and the three words before each."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
 
     def text(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids = self.v.ids(words)
-        before = np.concatenate([np.full(3, _START, dtype=np.int64), self.v.contexts(words, ids)[:-1]])
+        before = np.concatenate([np.full(3, _START), self.v.contexts(words, ids)[:-1]])
         return ids, np.stack([before[2:], before[1:-1], before[:-2]])
 
 
-def parts(ids: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class and member of each target."""
-    inside = (ids >= 0) & (ids < inner)
-    return np.where(inside, ids // MEMBERS, CLASSES - 1), np.where(inside, ids % MEMBERS, 0)
+def features(before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes of the word before, the one before that, both, and the third: told apart by a mark."""
+    one, two, three = before
+    mark = [np.full_like(one, k) for k in range(4)]
+    return _hash(one, mark[0]), _hash(two, mark[1]), _hash(one, two, mark[2]), _hash(three, mark[3])
 
 
-def class_features(before: np.ndarray) -> tuple[np.ndarray, ...]:
-    one, two, *skipped = before
-    return _hash(one), _hash(two, np.full_like(two, 7)), _hash(one, two, np.full_like(one, 5)), *(_hash(three, np.full_like(three, 11)) for three in skipped)
+def decisions(v: Vocabulary, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All class decisions of the targets: where each target's start, their biases, sides and weights' places per feature."""
+    leaf = np.where(ids < 0, len(v.count), ids)
+    n = v.lengths[leaf]
+    first = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat(v.starts[leaf] - first, n)
+    node, shift = v.node[at], np.uint32(32 - v.bits)
+    places = [(((np.repeat(f, n) ^ node) * np.uint32(0x9E3779B1)) >> shift).astype(np.intp) for f in features(before)]
+    return first, v.bias[at], v.side[at], places
 
 
-def member_features(before: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
-    return _hash(before[0], cls), _hash(before[1], cls, np.full_like(cls, 3))
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
-def _scores(bias: np.ndarray, table: np.ndarray, feats: tuple[np.ndarray, ...]) -> np.ndarray:
-    z = table[feats[0]]
-    for f in feats[1:]:
-        z += table[f]
-    z += bias
-    return z
-
-
-def _step(table: np.ndarray, square: np.ndarray, seen: np.ndarray, feats: tuple[np.ndarray, ...], error: np.ndarray) -> None:
-    """One AdaGrad step; the rows of equal features are summed first."""
-    for f in feats:
-        order = np.argsort(f, kind="stable")
-        sorted_f = f[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_f[1:] != sorted_f[:-1]]))
-        rows = sorted_f[first]
-        g = np.add.reduceat(error[order], first, axis=0)
-        square[rows] += g * g
-        table[rows] -= RATE * g / (np.sqrt(square[rows]) + 1e-3)
-        seen[rows] += np.diff(np.append(first, len(f)))
+def _chances(bias: np.ndarray, weights: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """The probability of side 1 at every decision: a softmax between two classes."""
+    z = bias
+    for p in places:
+        z = z + weights[p]
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-z))
 
 
 def _batches(stream: Stream, source: Iterator[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -190,39 +194,33 @@ def _batches(stream: Stream, source: Iterator[list[bytes]]) -> Iterator[tuple[np
         yield np.concatenate(ids), np.concatenate(before, axis=1)
 
 
-def train_texts(vocabulary: Vocabulary, weights: Weights, texts: Iterator[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Weights after one pass over the texts, and how often each feature was seen."""
-    w1, w2 = weights.classes.copy(), weights.members.copy()
-    s1, s2 = np.zeros_like(w1), np.zeros_like(w2)
-    n1, n2 = np.zeros(BUCKETS, dtype=np.float32), np.zeros(BUCKETS, dtype=np.float32)
+def train_texts(vocabulary: Vocabulary, weights: np.ndarray, texts: Iterator[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after one pass over the texts, and the root of each one's squared gradients."""
+    w, square = weights.copy(), np.zeros_like(weights)
     for ids, before in _batches(Stream(vocabulary), map(tokens_of, texts)):
-        cls, member = parts(ids, vocabulary.inner)
-        feats = class_features(before)
-        p = _softmax(_scores(vocabulary.class_bias, w1, feats))
-        p[np.arange(len(cls)), cls] -= 1
-        _step(w1, s1, n1, feats, p)
-        inside = np.flatnonzero(cls < CLASSES - 1)
-        if len(inside):
-            feats = member_features(before[:, inside], cls[inside])
-            p = _softmax(_scores(vocabulary.member_bias[cls[inside]], w2, feats))
-            p[np.arange(len(inside)), member[inside]] -= 1
-            _step(w2, s2, n2, feats, p)
-    return w1, n1, w2, n2
-
-
-def score_batch(vocabulary: Vocabulary, weights: Weights, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """log10 probability of each target; tokens that are not hot get that of the last class only."""
-    cls, member = parts(ids, vocabulary.inner)
-    at = np.arange(len(ids))
-    out = np.log(np.maximum(_softmax(_scores(vocabulary.class_bias, weights.classes, class_features(before)))[at, cls], 1e-30)).astype(np.float64)
-    inside = np.flatnonzero(cls < CLASSES - 1)
-    if len(inside):
-        p = _softmax(_scores(vocabulary.member_bias[cls[inside]], weights.members, member_features(before[:, inside], cls[inside])))
-        out[inside] += np.log(np.maximum(p[np.arange(len(inside)), member[inside]], 1e-30))
-    out /= np.log(10)
-    outer = np.flatnonzero(ids >= vocabulary.inner)
-    out[outer] += np.log10((vocabulary.count[ids[outer]] + ADD) / vocabulary.rest)
-    return out
+        gradient = np.zeros(len(w), dtype=np.float32)
+        for at in range(0, len(ids), CHUNK):
+            _, bias, side, places = decisions(vocabulary, ids[at : at + CHUNK], before[:, at : at + CHUNK])
+            error = _chances(bias, w, places) - side
+            for p in places:
+                np.add.at(gradient, p, error)
+        rows = np.flatnonzero(gradient)
+        g = gradient[rows]
+        square[rows] += g * g
+        w[rows] -= RATE * g / (np.sqrt(square[rows]) + 1e-2)
+    return w, np.sqrt(square)
+
+
+def score_batch(vocabulary: Vocabulary, weights: np.ndarray, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """log10 probability of each target; tokens that are not hot get that of their common leaf only."""
+    if not len(vocabulary.bias):
+        return np.zeros(len(ids))
+    out = []
+    for at in range(0, len(ids), CHUNK):
+        first, bias, side, places = decisions(vocabulary, ids[at : at + CHUNK], before[:, at : at + CHUNK])
+        p = _chances(bias, weights, places)
+        out.append(np.add.reduceat(np.log(np.maximum(np.where(side > 0, p, 1 - p), 1e-30)), first, dtype=np.float64))
+    return np.concatenate(out) / np.log(10)
 
 
 def learn_vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
@@ -238,60 +236,57 @@ def learn_vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
     return Vocabulary([(bytes(r.token), r.c) for r in rows], int(total.n or 0), int(total.v))
 
 
-def packed(block: int, salt: int, delta: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-    """A block of weight updates and how often each row's feature was seen."""
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([delta.astype(np.float32).tobytes()]), pa.array([seen.astype(np.float32).tobytes()])], ["block", "salt", "delta", "seen"])
+def packed(block: int, salt: int, delta: np.ndarray, mass: np.ndarray) -> pa.RecordBatch:
+    """A block of weight updates, and how much each counts in the average."""
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([delta.astype(np.float32).tobytes()]), pa.array([mass.astype(np.float32).tobytes()])], ["block", "salt", "delta", "mass"])
 
 
-def unpacked(delta: bytes, seen: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(delta, dtype=np.float32).reshape(BLOCK, -1), np.frombuffer(seen, dtype=np.float32)
+def unpacked(*columns: bytes) -> list[np.ndarray]:
+    return [np.frombuffer(c, dtype=np.float32) for c in columns]
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Weights:
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights learned from all texts of ``docs`` (doc_id, text), each read once."""
     spark = docs.sparkSession
-    weights = Weights()
-    if not vocabulary.total:
+    weights = np.zeros(1 << vocabulary.bits, dtype=np.float32)
+    if not len(vocabulary.bias):
         return weights
     known = spark.sparkContext.broadcast(vocabulary)
     share = F.coalesce(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(rounds)), F.lit(0))
-    schema = "block int, salt int, delta binary, seen binary"
+    schema = "block int, salt int, delta binary, mass binary"
 
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
         def update(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             old = shared.value
-            w1, n1, w2, n2 = train_texts(known.value, old, (t.as_py() for b in batches for t in b.column(0)))
+            new, mass = train_texts(known.value, old, (t.as_py() for b in batches for t in b.column(0)))
             salt = TaskContext.get().partitionId() // FAN_IN
-            for base, w, o, n in ((0, w1, old.classes, n1), (BUCKETS // BLOCK, w2, old.members, n2)):
-                for b in range(BUCKETS // BLOCK):
-                    rows = slice(b * BLOCK, (b + 1) * BLOCK)
-                    if n[rows].any():
-                        yield packed(base + b, salt, w[rows] - o[rows], n[rows])
+            for b in range(len(old) // BLOCK):
+                rows = slice(b * BLOCK, (b + 1) * BLOCK)
+                if mass[rows].any():
+                    yield packed(b, salt, new[rows] - old[rows], mass[rows])
 
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list[np.ndarray]] = {}
             for batch in batches:
-                for block, _, delta, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    d, n = unpacked(delta, seen)
+                for block, _, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    delta, mass = unpacked(*columns)
                     old = sums.get(block, (0, 0))
-                    sums[block] = [old[0] + d * n[:, None], old[1] + n]
-            for block, (d, n) in sums.items():
-                yield packed(block, 0, d / np.maximum(n, 1)[:, None], n)
+                    sums[block] = [old[0] + delta * mass, old[1] + mass]
+            for block, (d, mass) in sums.items():
+                yield packed(block, 0, d / np.maximum(mass, 1e-12), mass)
 
         updates = docs.where(share == k).select(F.encode("text", "UTF-8")).mapInArrow(update, schema)
         summed = updates.repartition("block", "salt").mapInArrow(total, schema).repartition("block").mapInArrow(total, schema)
-        tables = [weights.classes.copy(), weights.members.copy()]
+        weights = weights.copy()
         for row in summed.toLocalIterator():
-            which, b = divmod(row.block, BUCKETS // BLOCK)
-            tables[which][b * BLOCK : (b + 1) * BLOCK] += unpacked(row.delta, row.seen)[0]
-        weights = Weights(*tables)
+            weights[row.block * BLOCK : (row.block + 1) * BLOCK] += unpacked(row.delta)[0]
         shared.unpersist()
     return weights
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, weights: Weights, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs`` (doc_id, held_out, text)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, weights))
@@ -310,7 +305,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: Weights, counts: Dat
             def flush(ids=ids, before=before, ends=ends, pending=pending):
                 if ids:
                     i, c = np.concatenate(ids), np.concatenate(before, axis=1)
-                    p = np.concatenate([score_batch(v, w, i[at : at + BATCH], c[:, at : at + BATCH]) for at in range(0, len(i), BATCH)])
+                    p = score_batch(v, w, i, c)
                     pending.extend(np.add.reduceat(p, ends[:-1]).tolist())
                     ids.clear()
                     before.clear()

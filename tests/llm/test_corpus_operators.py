@@ -269,32 +269,77 @@ def test_lm_scores(spark):
             assert r.score < 0
     got = {r.doc_id: r for r in maxent.score_corpus(frame(spark, texts)).collect()}
     held = [r for r in got.values() if r.held_out and r.n_tokens > 3]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.3 * sum(r.n_tokens for r in held)
     assert maxent.score_corpus(frame(spark, [])).collect() == []
 
 
 def test_lm_probabilities_sum_to_one():
     words = [b"a", b"b", b"c", maxent.END]
     vocabulary = maxent.Vocabulary([(b"a", 50), (b"b", 30), (maxent.END, 20)], 104, 6)
-    w = maxent.Weights(*(np.random.default_rng(1).normal(size=(maxent.BUCKETS, n)).astype(np.float32) for n in (maxent.CLASSES, maxent.MEMBERS)))
-    before = np.array([[4097], [4096]])
+    w = np.random.default_rng(1).normal(size=1 << vocabulary.bits).astype(np.float32)
+    before = np.array([[2], [1], [0]], dtype=np.uint64)
     inside = sum(10 ** maxent.score_batch(vocabulary, w, np.array([i]), before)[0] for i in range(3))
     last = 10 ** maxent.score_batch(vocabulary, w, np.array([-1]), before)[0]
     assert math.isclose(inside + last, 1, rel_tol=1e-4)
     assert vocabulary.ids(words).tolist() == [0, 1, -1, 2]
+    flat = np.zeros_like(w)  # without features: the relative frequencies, of the other tokens' leaf too
+    p = [10 ** maxent.score_batch(vocabulary, flat, np.array([i]), before)[0] for i in (0, 1, 2, -1)]
+    assert np.allclose(np.array(p) * (100 + vocabulary.rest), [50, 30, 20, vocabulary.rest], rtol=1e-4)
+
+
+def test_lm_class_paths():
+    for mass in ([5.0], [1.0, 1.0], [8.0, 4, 2, 1, 0.5], [1.0] * 37):
+        starts, nodes, side, bias = maxent.class_paths(mass)
+        assert len(starts) == len(mass) + 1 and len(bias) == len(mass) - 1
+        codes = ["".join(str(int(x)) for x in side[a:b][::-1]) for a, b in zip(starts, starts[1:])]
+        assert len(set(codes)) == len(mass) and not any(x != y and y.startswith(x) for x in codes for y in codes)
+        assert math.isclose(sum(2.0 ** -len(c) for c in codes), 1)
+    lengths = np.diff(maxent.class_paths([8.0, 4, 2, 1, 0.5])[0])
+    assert lengths.tolist() == [1, 2, 3, 4, 4]
+
+
+def test_lm_step_follows_the_gradient():
+    vocabulary = maxent.Vocabulary([(b"a", 50), (b"b", 30), (b"c", 7), (maxent.END, 20)], 110, 6)
+    start = np.random.default_rng(4).normal(size=1 << vocabulary.bits).astype(np.float32)
+    text = b"a b A q c b a zz a"
+    w, mass = maxent.train_texts(vocabulary, start, iter([text]))
+    ids, before = maxent.Stream(vocabulary).text(maxent.tokens_of(text))
+    touched = np.flatnonzero(mass)
+    assert np.array_equal(np.flatnonzero(w != start), touched) and len(touched) > 30
+    for at in touched[:: len(touched) // 12]:
+        up, down = start.copy(), start.copy()
+        up[at] += 0.05
+        down[at] -= 0.05
+        slope = (maxent.score_batch(vocabulary, down, ids, before).sum() - maxent.score_batch(vocabulary, up, ids, before).sum()) * math.log(10) / (float(up[at]) - float(down[at]))
+        assert math.isclose(slope, math.copysign(mass[at], start[at] - w[at]), rel_tol=0.02, abs_tol=2e-3)
+        assert math.isclose(start[at] - w[at], maxent.RATE * slope / (abs(slope) + 1e-2), rel_tol=0.1, abs_tol=2e-3)
 
 
 def test_lm_model_is_whole():
-    assert (maxent.CLASSES - 1) * maxent.MEMBERS == 992
     words = [b"a", b"b", b"c", maxent.END]
     vocabulary = maxent.Vocabulary([(w, 9 - i) for i, w in enumerate(words)], 30, 4)
     ids, before = maxent.Stream(vocabulary).text(words)
-    assert before.tolist() == [[0, 4096, 4097, 4098], [0, 0, 4096, 4097], [0, 0, 0, 4096]] and ids.tolist() == [0, 1, 2, 3]
-    one, other = (np.stack(maxent.class_features(np.array([[5000], [5001], [x]]))) for x in (5002, 5003))
-    assert (one != other).any()  # the third word before counts
-    delta, seen = np.random.default_rng(2).normal(size=(maxent.BLOCK, maxent.CLASSES)).astype(np.float32), np.ones(maxent.BLOCK, dtype=np.float32)
-    batch = maxent.packed(0, 0, delta, seen)
-    assert np.array_equal(maxent.unpacked(batch.column(2)[0].as_py(), batch.column(3)[0].as_py())[0], delta)
+    assert before.tolist() == [[0, 1, 2, 3], [0, 0, 1, 2], [0, 0, 0, 1]] and ids.tolist() == [0, 1, 2, 3]
+    base = maxent.features(np.array([[50], [51], [52]], dtype=np.uint64))
+    changed = [maxent.features(np.array(x, dtype=np.uint64)) for x in ([[9], [51], [52]], [[50], [9], [52]], [[50], [51], [9]])]
+    assert [[int(a[0] != b[0]) for a, b in zip(base, c)] for c in changed] == [[1, 0, 1, 0], [0, 1, 1, 0], [0, 0, 0, 1]]
+    assert (vocabulary.lengths > 0).all() and len(vocabulary.lengths) == 5  # every hot word is predicted from its context
+    unknown = maxent.Stream(vocabulary).text([b"x1", b"x2", b"a"])[1]
+    assert unknown[0, 1] != unknown[0, 2] and (unknown[0, 1:] >> np.uint64(63) == 1).all()
+    for total, bits in ((0, 21), (10**8, 21), (64 << 22, 22), (10**13, 23)):
+        assert maxent.Vocabulary([(b"a", 1)], total, 1).bits == bits
+    delta, mass = np.random.default_rng(2).normal(size=(2, maxent.BLOCK)).astype(np.float32)
+    batch = maxent.packed(0, 0, delta, mass)
+    assert np.array_equal(maxent.unpacked(batch.column(2)[0].as_py(), batch.column(3)[0].as_py()), [delta, mass])
+
+
+def test_lm_long_texts_score_as_short_ones():
+    """Cuts of a batch lose no context."""
+    vocabulary = maxent.Vocabulary([(b"a", 50), (b"b", 30), (maxent.END, 20)], 104, 6)
+    w = np.random.default_rng(5).normal(size=1 << vocabulary.bits).astype(np.float32)
+    ids, before = maxent.Stream(vocabulary).text([b"a", b"b", b"q", b"b"] * (maxent.CHUNK // 2))
+    whole = maxent.score_batch(vocabulary, w, ids, before)
+    assert np.allclose(whole[4:8], whole[-4:]) and len(whole) == 2 * maxent.CHUNK
 
 
 # --- quality rules
