@@ -37,8 +37,8 @@ from coordspark.llm.common import bound_batches, save
 FOLDS = 10
 ADD = 0.1
 HOT = 150_000
-BITS = (21, 23)
-TOKENS_A_WEIGHT = 64
+BITS = (20, 23)
+TOKENS_A_WEIGHT = 256
 ROUNDS = 2
 BATCH = 32_768
 CHUNK = 4096
@@ -92,7 +92,7 @@ class Vocabulary:
         self.starts, nodes, self.side, bias = class_paths([*self.count.tolist(), self.rest])
         self.lengths = np.diff(self.starts)
         self.bias = bias[nodes]
-        self.node = (((nodes.astype(np.uint64) + np.uint64(1)) * _NODE) >> np.uint64(32)).astype(np.uint32)
+        self.node = (((nodes.astype(np.uint64) + np.uint64(1)) * _NODE) >> np.uint64(32)).astype(np.int64)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.rank.get
@@ -116,7 +116,7 @@ def class_paths(mass: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
         parent[i] = parent[j] = m + node
         side[i] = 1
-        bias[node] = np.log(a / b)
+        bias[node] = np.log(a) - np.log(b)
         heapq.heappush(heap, (a + b, m + node))
     at, levels = np.arange(m), []
     while (at < 2 * m - 2).any():
@@ -135,7 +135,7 @@ def _hash(*ids: np.ndarray) -> np.ndarray:
     for i, x in enumerate(ids):
         h = (h ^ (x + np.uint64(i + 1))) * _MIX
         h ^= h >> np.uint64(31)
-    return (h >> np.uint64(32)).astype(np.uint32)
+    return (h >> np.uint64(32)).astype(np.int64)
 
 
 class Stream:
@@ -150,31 +150,34 @@ class Stream:
         return ids, np.stack([before[2:], before[1:-1], before[:-2]])
 
 
-def features(before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hashes of the word before, the one before that, both, and the third: told apart by a mark."""
+def features(before: np.ndarray) -> np.ndarray:
+    """A row per target: hashes of the word before, the one before that, both, and the third, told apart by a mark."""
     one, two, three = before
     mark = [np.full_like(one, k) for k in range(4)]
-    return _hash(one, mark[0]), _hash(two, mark[1]), _hash(one, two, mark[2]), _hash(three, mark[3])
+    return np.stack([_hash(one, mark[0]), _hash(two, mark[1]), _hash(one, two, mark[2]), _hash(three, mark[3])], axis=1)
 
 
-def decisions(v: Vocabulary, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def decisions(v: Vocabulary, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All class decisions of the targets: where each target's start, their biases, sides and weights' places per feature."""
     leaf = np.where(ids < 0, len(v.count), ids)
     n = v.lengths[leaf]
     first = np.cumsum(n) - n
     at = np.arange(n.sum()) + np.repeat(v.starts[leaf] - first, n)
-    node, shift = v.node[at], np.uint32(32 - v.bits)
-    places = [(((np.repeat(f, n) ^ node) * np.uint32(0x9E3779B1)) >> shift).astype(np.intp) for f in features(before)]
+    places = np.repeat(features(before), n, axis=0)
+    places += v.node[at][:, None]
+    places &= (1 << v.bits) - 1
     return first, v.bias[at], v.side[at], places
 
 
-def _chances(bias: np.ndarray, weights: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+def _chances(bias: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The probability of side 1 at every decision: a softmax between two classes."""
-    z = bias
-    for p in places:
-        z = z + weights[p]
+    z = weights.take(places) @ np.ones(places.shape[1], dtype=np.float32)
+    z += bias
+    np.negative(z, out=z)
     with np.errstate(over="ignore"):
-        return 1 / (1 + np.exp(-z))
+        np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
 
 
 def _batches(stream: Stream, source: Iterator[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -196,18 +199,19 @@ def _batches(stream: Stream, source: Iterator[list[bytes]]) -> Iterator[tuple[np
 
 def train_texts(vocabulary: Vocabulary, weights: np.ndarray, texts: Iterator[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Weights after one pass over the texts, and the root of each one's squared gradients."""
-    w, square = weights.copy(), np.zeros_like(weights)
+    w, square, gradient, step = weights.copy(), np.zeros_like(weights), np.empty_like(weights), np.empty_like(weights)
     for ids, before in _batches(Stream(vocabulary), map(tokens_of, texts)):
-        gradient = np.zeros(len(w), dtype=np.float32)
+        gradient[:] = 0
         for at in range(0, len(ids), CHUNK):
             _, bias, side, places = decisions(vocabulary, ids[at : at + CHUNK], before[:, at : at + CHUNK])
             error = _chances(bias, w, places) - side
-            for p in places:
-                np.add.at(gradient, p, error)
-        rows = np.flatnonzero(gradient)
-        g = gradient[rows]
-        square[rows] += g * g
-        w[rows] -= RATE * g / (np.sqrt(square[rows]) + 1e-2)
+            np.add.at(gradient, places.ravel(), np.repeat(error, places.shape[1]))
+        square += np.multiply(gradient, gradient, out=step)
+        np.sqrt(square, out=step)
+        step += 1e-2
+        np.divide(gradient, step, out=step)
+        step *= RATE
+        w -= step
     return w, np.sqrt(square)
 
 
