@@ -28,7 +28,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,11 +89,23 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
         self.rest = float(total - self.count.sum() + ADD * (distinct - len(hot) + 1))  # smoothed mass of the tokens that are not hot
         self.bits = min(max((total // TOKENS_A_WEIGHT).bit_length() - 1, BITS[0]), BITS[1])
-        self.starts, nodes, self.side, bias = class_paths([*self.count.tolist(), self.rest])
+        self.tree = class_tree([*self.count.tolist(), self.rest])
+        self._lay()
+
+    def _lay(self) -> None:
+        """The paths of all leaves; several times the size of the tree, so a broadcast carries the tree alone."""
+        self.starts, nodes, self.side = class_paths(*self.tree[:2])
         self.lengths = np.diff(self.starts)
-        self.bias = bias[nodes]
+        self.bias = self.tree[2][nodes]
         self.node = (((nodes.astype(np.uint64) + np.uint64(1)) * _NODE) >> np.uint64(32)).astype(np.int64)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("starts", "lengths", "side", "bias", "node")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._lay()
+
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.rank.get
         return np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
@@ -106,28 +118,34 @@ class Vocabulary:
         return out
 
 
-def class_paths(mass: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Huffman's tree over the leaves' masses: where each leaf's path starts, the paths' nodes and sides, and a bias per node."""
+def class_tree(mass: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman's tree over the leaves' masses: each leaf's and node's parent and side of it, and a bias per node."""
     m = len(mass)
     heap = [(x, i) for i, x in enumerate(mass)]
     heapq.heapify(heap)
-    parent, side, bias = np.arange(2 * m - 1), np.zeros(2 * m - 1, dtype=np.float32), np.zeros(m - 1, dtype=np.float32)
+    parent, side, bias = np.arange(2 * m - 1, dtype=np.int32), np.zeros(2 * m - 1, dtype=np.int8), np.zeros(m - 1, dtype=np.float32)
     for node in range(m - 1):
         (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
         parent[i] = parent[j] = m + node
         side[i] = 1
         bias[node] = np.log(a) - np.log(b)
         heapq.heappush(heap, (a + b, m + node))
+    return parent, side, bias
+
+
+def class_paths(parent: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each leaf's path to the root starts, and the paths' nodes and sides."""
+    root, m = len(parent) - 1, len(parent) // 2 + 1
     at, levels = np.arange(m), []
-    while (at < 2 * m - 2).any():
+    while (at < root).any():
         levels.append(at)
         at = parent[at]
     if not levels:
-        return np.zeros(2, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), bias
+        return np.zeros(2, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
     steps = np.stack(levels, axis=1)
-    inner = steps < 2 * m - 2
+    inner = steps < root
     path = steps[inner]
-    return np.concatenate([[0], np.cumsum(inner.sum(axis=1))]), parent[path] - m, side[path], bias
+    return np.concatenate([[0], np.cumsum(inner.sum(axis=1))]), parent[path].astype(np.int64) - m, side[path].astype(np.float32)
 
 
 def _hash(*ids: np.ndarray) -> np.ndarray:
@@ -241,23 +259,24 @@ def learn_vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
 
 
 def packed(block: int, salt: int, delta: np.ndarray, mass: np.ndarray) -> pa.RecordBatch:
-    """A block of weight updates, and how much each counts in the average."""
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([delta.astype(np.float32).tobytes()]), pa.array([mass.astype(np.float32).tobytes()])], ["block", "salt", "delta", "mass"])
+    """The weights of a block that were touched: their places, updates, and how much each counts in the average (to half precision)."""
+    at = np.flatnonzero(mass)
+    data = [pa.array([x.tobytes()]) for x in (at.astype(np.uint16), delta[at].astype(np.float32), mass[at].astype(np.float16))]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), *data], ["block", "salt", "at", "delta", "mass"])
 
 
-def unpacked(*columns: bytes) -> list[np.ndarray]:
-    return [np.frombuffer(c, dtype=np.float32) for c in columns]
+def unpacked(at: bytes, delta: bytes, mass: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(at, dtype=np.uint16), np.frombuffer(delta, dtype=np.float32), np.frombuffer(mass, dtype=np.float16).astype(np.float32)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+def train(docs: DataFrame, known: Broadcast[Vocabulary], rounds: int = ROUNDS) -> np.ndarray:
     """Weights learned from all texts of ``docs`` (doc_id, text), each read once."""
     spark = docs.sparkSession
-    weights = np.zeros(1 << vocabulary.bits, dtype=np.float32)
-    if not len(vocabulary.bias):
+    weights = np.zeros(1 << known.value.bits, dtype=np.float32)
+    if not len(known.value.bias):
         return weights
-    known = spark.sparkContext.broadcast(vocabulary)
     share = F.coalesce(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(rounds)), F.lit(0))
-    schema = "block int, salt int, delta binary, mass binary"
+    schema = "block int, salt int, at binary, delta binary, mass binary"
 
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
@@ -272,12 +291,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
                     yield packed(b, salt, new[rows] - old[rows], mass[rows])
 
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list[np.ndarray]] = {}
+            sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 for block, _, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    delta, mass = unpacked(*columns)
-                    old = sums.get(block, (0, 0))
-                    sums[block] = [old[0] + delta * mass, old[1] + mass]
+                    at, delta, mass = unpacked(*columns)
+                    old = sums.setdefault(block, np.zeros((2, BLOCK), dtype=np.float32))
+                    old[0, at] += delta * mass
+                    old[1, at] += mass
             for block, (d, mass) in sums.items():
                 yield packed(block, 0, d / np.maximum(mass, 1e-12), mass)
 
@@ -285,20 +305,21 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
         summed = updates.repartition("block", "salt").mapInArrow(total, schema).repartition("block").mapInArrow(total, schema)
         weights = weights.copy()
         for row in summed.toLocalIterator():
-            weights[row.block * BLOCK : (row.block + 1) * BLOCK] += unpacked(row.delta)[0]
+            at, delta, _ = unpacked(row.at, row.delta, row.mass)
+            weights[row.block * BLOCK + at.astype(np.int64)] += delta
         shared.unpersist()
     return weights
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, known: Broadcast[Vocabulary], weights: np.ndarray, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs`` (doc_id, held_out, text)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, weights))
+    shared, vocabulary = spark.sparkContext.broadcast(weights), known.value
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_hot bigint, base double, model double, tail array<binary>, tail_n array<int>"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = shared.value
+        v, w = known.value, shared.value
         stream, row = Stream(v), TaskContext.get().partitionId() << 40
         logs = np.log10(v.count + ADD)
         for batch in batches:
@@ -364,5 +385,5 @@ def score_corpus(docs: DataFrame, folds: int = FOLDS, hot: int = HOT, rounds: in
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), "text")
     learned = rows.where("not held_out")
     counts = save(token_counts(learned), "token-counts")
-    vocabulary = learn_vocabulary(counts, hot)
-    return score(rows, vocabulary, train(learned, vocabulary, rounds), counts)
+    known = docs.sparkSession.sparkContext.broadcast(learn_vocabulary(counts, hot))
+    return score(rows, known, train(learned, known, rounds), counts)

@@ -1,6 +1,7 @@
 """Line dedup, LM scoring, quality rules, the Jaccard join and the pipeline on edge cases and against brute force."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -289,12 +290,13 @@ def test_lm_probabilities_sum_to_one():
 
 def test_lm_class_paths():
     for mass in ([5.0], [1.0, 1.0], [8.0, 4, 2, 1, 0.5], [1.0] * 37):
-        starts, nodes, side, bias = maxent.class_paths(mass)
+        parent, sides, bias = maxent.class_tree(mass)
+        starts, nodes, side = maxent.class_paths(parent, sides)
         assert len(starts) == len(mass) + 1 and len(bias) == len(mass) - 1
         codes = ["".join(str(int(x)) for x in side[a:b][::-1]) for a, b in zip(starts, starts[1:])]
         assert len(set(codes)) == len(mass) and not any(x != y and y.startswith(x) for x in codes for y in codes)
         assert math.isclose(sum(2.0 ** -len(c) for c in codes), 1)
-    lengths = np.diff(maxent.class_paths([8.0, 4, 2, 1, 0.5])[0])
+    lengths = np.diff(maxent.class_paths(*maxent.class_tree([8.0, 4, 2, 1, 0.5])[:2])[0])
     assert lengths.tolist() == [1, 2, 3, 4, 4]
 
 
@@ -328,9 +330,12 @@ def test_lm_model_is_whole():
     assert unknown[0, 1] != unknown[0, 2] and (unknown[0, 1:] >> np.uint64(63) == 1).all()
     for total, bits in ((1, 20), (10**8, 20), (256 << 22, 22), (10**13, 23)):
         assert maxent.Vocabulary([(b"a", 1)], total, 1).bits == bits
-    delta, mass = np.random.default_rng(2).normal(size=(2, maxent.BLOCK)).astype(np.float32)
-    batch = maxent.packed(0, 0, delta, mass)
-    assert np.array_equal(maxent.unpacked(batch.column(2)[0].as_py(), batch.column(3)[0].as_py()), [delta, mass])
+    delta, mass = np.zeros((2, maxent.BLOCK), dtype=np.float32)
+    delta[[3, 65535]], mass[[3, 65535]] = [0.123456789, -2], [0.5, 8]
+    at, d, m = maxent.unpacked(*(c[0].as_py() for c in maxent.packed(0, 0, delta, mass).columns[2:]))
+    assert (at.tolist(), d.tolist(), m.tolist()) == ([3, 65535], delta[[3, 65535]].tolist(), [0.5, 8])
+    copy = pickle.loads(pickle.dumps(vocabulary))
+    assert np.array_equal(copy.node, vocabulary.node) and np.array_equal(copy.starts, vocabulary.starts) and np.array_equal(copy.bias, vocabulary.bias)
 
 
 def test_lm_long_texts_score_as_short_ones():
