@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coordspark.llm import bpe, chat, decontaminate, jaccard, langid, lines, maxent, quality, secrets, sql, warc
+from coordspark.llm import bpe, chat, decontaminate, jaccard, langid, lines, maxent, negatives, phrases, quality, secrets, sql, substrings, warc
 from coordspark.llm.common import table
 
 
@@ -53,10 +53,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=label, is_anchor=F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_line_dedup, op3_warc, op4_decontamination, op5_chat_format, op6_lm_score, op7_quality_rules, op8_language_id, op9_ngram_jaccard, op10_byte_bpe)
+    for f in (op1_secret_scan, op2_line_dedup, op3_warc, op4_decontamination, op5_chat_format, op6_lm_score, op7_quality_rules, op8_language_id, op9_ngram_jaccard, op10_byte_bpe, op11_substring_dedup, op12_collocations, op13_hard_negatives)
 }
 
 #: The others are beyond SQL; tests hold them against brute force, round trips and held-out data.
-ORACLE_SQL: dict[str, str] = {"op3_warc": sql.OP3, "op4_decontamination": sql.OP4, "op5_chat_format": sql.OP5, "op9_ngram_jaccard": sql.OP9}
+ORACLE_SQL: dict[str, str] = {"op3_warc": sql.OP3, "op4_decontamination": sql.OP4, "op5_chat_format": sql.OP5, "op9_ngram_jaccard": sql.OP9, "op11_substring_dedup": sql.OP11, "op12_collocations": sql.OP12, "op13_hard_negatives": sql.OP13}

@@ -42,3 +42,30 @@ x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b
 l AS (SELECT a, b FROM x JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id"""
+
+OP13 = """WITH c AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, r.id AS r, a.label = r.label AS same, CAST(CASE WHEN len(a.v) > 0 THEN list_inner_product(a.v, r.v) ELSE 0 END AS BIGINT) AS s FROM c AS a JOIN c AS r ON a.id <> r.id AND len(a.v) = len(r.v) WHERE a.id % 100 = 0),
+p AS (SELECT a, r AS positive_id, s AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, r) <= 5),
+n AS (SELECT p.a, p.positive_id, p.positive_score, s.r AS negative_id, s.s AS negative_score, row_number() OVER (PARTITION BY p.a, p.positive_id ORDER BY s.s DESC, s.r) AS k
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.positive_score <= 100 * s.s AND s.s <= p.positive_score)
+SELECT a AS anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 5"""
+OP11 = """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50), s AS (SELECT doc_id, p, md5_number(array_to_string(list_slice(w, p, p + 49), ' ')) AS g FROM p),
+f AS (SELECT g, min(doc_id) AS first_id FROM s GROUP BY 1), h AS (SELECT doc_id, p FROM s JOIN f ON f.g = s.g WHERE first_id < doc_id),
+k AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM h), g AS (SELECT doc_id, list(q) AS gone FROM k GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+OP12 = f"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+x AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM x GROUP BY 1),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase FROM x, (SELECT unnest(range(1, 6)) AS k) AS r WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100), c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+u AS (SELECT lang, size, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS lp, array_to_string(list_slice(w, k + 1, size), ' ') AS rp FROM c, (SELECT unnest(range(1, 5)) AS k) AS r WHERE k < size),
+v AS (SELECT u.lang, u.phrase, u.a, u.k, l.f AS l, r.f AS r, n.n, CAST((1000::HUGEINT * u.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM u JOIN f AS l ON l.lang = u.lang AND l.phrase = u.lp JOIN f AS r ON r.lang = u.lang AND r.phrase = u.rp JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT DISTINCT s.lang, s.phrase FROM c AS s JOIN (SELECT lang, a, array_to_string(list_slice(w, p, p + m - 1), ' ') AS sub FROM c, (SELECT unnest(range(2, 5)) AS m) AS m, (SELECT unnest(range(1, 5)) AS p) AS p WHERE m < size AND p + m - 1 <= size) AS o
+  ON o.lang = s.lang AND o.sub = s.phrase AND 100 * o.a >= 100 * s.a),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b ANTI JOIN i ON i.lang = b.lang AND i.phrase = b.phrase)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k WHERE rank <= 2000"""
