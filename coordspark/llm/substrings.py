@@ -2,8 +2,8 @@
 
 A window is a run of ``window`` words (50). To bring equal windows together without comparing all documents, each window
 is filed under the rarest-hashed run of ``GRAM`` words that it holds (a minimizer), so equal windows always share a key. The
-consecutive windows of a text with one minimizer are a *passage*. Keys of one document only go; of the others each different
-passage is one, with the smallest id that has it. A key with more than ``CROWD`` different passages (a common phrase amid
+consecutive windows of a text with one minimizer are a *passage*. Keys of one document only go (a filter of bounded size may
+let a few of them stay); of the others each different passage is one, with the smallest id that has it. A key with more than ``CROWD`` different passages (a common phrase amid
 ever new text) is filed again, each window under all of its words.
 
 Passages are dealt by key into shards of bounded size. Each shard is a compressed FM-index: the Burrows-Wheeler transform of
@@ -27,7 +27,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ from coordspark.llm.common import bound_batches, drop, fresh, save, small, sorte
 from coordspark.llm.similar import learn_keys
 
 WINDOW = 50
-GRAM = 16
+GRAM = 12
 CROWD = 1024
 SHARD_PASSAGES = 4096
 #: Words that are hashed at once; minimizers are told apart by 43 bits and their place among these.
@@ -254,6 +253,7 @@ def _bounded_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
 # --- the jobs
 
 _OCCURRENCES = "doc_id bigint, t1 bigint, t2 bigint, first int, count int, key bigint, digest bigint"
+_NAMES = _OCCURRENCES.replace(" bigint", "").replace(" int", "").split(", ")
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
 
@@ -270,7 +270,7 @@ def _scan(docs: DataFrame, window: int, gram: int, keep=None) -> DataFrame:
             row = found.row[at]
             ids = [part.column(i).to_numpy(zero_copy_only=False)[row] for i in range(3)]
             columns = [*ids, found.first[at] - firsts[row], found.count[at], found.key[at], found.digest[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _OCCURRENCES.replace(" bigint", "").replace(" int", "").split(", "))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
     return docs.mapInArrow(run, _OCCURRENCES)
 
@@ -280,6 +280,22 @@ def _repeated(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
 
 
+class _Filter:
+    """Two bitmaps that hold the keys of a table, so that hardly any other key passes."""
+
+    def __init__(self, keys: DataFrame):
+        turned = F.shiftleft("key", 32).bitwiseOR(F.shiftrightunsigned("key", 32))
+        self.maps = [learn_keys(keys.select(k.alias("key"), F.lit(1).alias("n"))) for k in (F.col("key"), turned)]
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        u = keys.view(np.uint64)
+        return self.maps[0].value.repeated(keys) & self.maps[1].value.repeated(((u << np.uint64(32)) | (u >> np.uint64(32))).view(np.int64))
+
+    def unpersist(self) -> None:
+        for m in self.maps:
+            m.unpersist()
+
+
 def _contents(occurrences: DataFrame) -> DataFrame:
     """The different passages (key, digest) with their smallest and greatest document and one place: t1, t2, first, count."""
     place = F.struct("doc_id", "t1", "t2", "first", "count")
@@ -287,15 +303,12 @@ def _contents(occurrences: DataFrame) -> DataFrame:
     return found.select("key", "digest", "last", F.col("p.doc_id").alias("owner"), "p.t1", "p.t2", "p.first", "p.count")
 
 
-def _cut_out(docs: DataFrame, contents: DataFrame, window: int) -> DataFrame:
-    """key, digest, owner and body (the words, joined by blanks) of the different passages."""
-    places = F.collect_list(F.struct("key", "digest", "first", "count")).alias("places")
-    wanted = save(contents.groupBy(F.col("owner").alias("doc_id"), "t1", "t2").agg(places), "substrings-wanted")
-    known = learn_keys(wanted.select(F.col("t1").alias("key"), F.lit(1).alias("n")))
+def _cut_out(docs: DataFrame, wanted: DataFrame, known: _Filter, window: int) -> DataFrame:
+    """key, digest, owner and body (the words, joined by blanks) of the passages that are wanted (places) of a text (doc_id, t1, t2)."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(known.value.repeated(batch.column(1).to_numpy(zero_copy_only=False))))
+            yield batch.filter(pa.array(known.passes(batch.column(1).to_numpy(zero_copy_only=False))))
 
     texts = docs.mapInArrow(candidates, docs.schema).dropDuplicates(["doc_id", "t1", "t2"])
 
@@ -306,15 +319,12 @@ def _cut_out(docs: DataFrame, contents: DataFrame, window: int) -> DataFrame:
                 rows = [(p["key"], p["digest"], doc.as_py(), b" ".join(words[p["first"] : p["first"] + p["count"] + window - 1])) for p in places.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "digest", "owner", "body"])
 
-    out = save(texts.join(small(wanted), ["doc_id", "t1", "t2"]).select("doc_id", "text", "places").mapInArrow(run, "key bigint, digest bigint, owner bigint, body binary"), "substrings-bodies")
-    known.unpersist()
-    drop(wanted)
-    return out
+    return texts.join(small(wanted), ["doc_id", "t1", "t2"]).select("doc_id", "text", "places").mapInArrow(run, "key bigint, digest bigint, owner bigint, body binary")
 
 
-def _matched(bodies: DataFrame, window: int) -> DataFrame:
+def _matched(bodies: DataFrame, passages: int, window: int) -> DataFrame:
     """key, digest, owner, runs: the intervals of windows (first, last) of each passage that a document with a smaller id has, and that id."""
-    shards = max(1, -(-bodies.stored_rows // SHARD_PASSAGES))
+    shards = max(1, -(-passages // SHARD_PASSAGES))
     partitions = max(shards, int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     run_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("id", pa.int64())]))
 
@@ -356,64 +366,67 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         scratch.append(save(df, f"substrings-{name}"))
         return scratch[-1]
 
-    def known(keys: DataFrame) -> Broadcast:
-        return learn_keys(keys.select("key", F.lit(1).alias("n")))
-
     repeated = kept(_repeated(_scan(rows, window, gram).select("key", "doc_id")), "keys")
-    few = known(repeated)
-    occurrences = kept(_scan(rows, window, gram, lambda p: few.value.repeated(p.key)), "places")
+    few = _Filter(repeated)
+    occurrences = kept(_scan(rows, window, gram, lambda p: few.passes(p.key)), "places")
     few.unpersist()
     contents = kept(_contents(occurrences), "contents")
-    by_key = contents.groupBy("key").agg(F.min("owner").alias("low"), F.max("last").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-    by_key = kept(by_key, "by-key")
-    crowded = kept(by_key.where(F.col("n") > crowd), "crowded")
-    calm = by_key.where(F.col("n") <= crowd).select("key")
-    contents, places = contents.join(calm, "key", "left_semi"), occurrences
+    crowded = kept(contents.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd), "crowded")
+    chosen, places = contents, occurrences
     if crowded.stored_rows:
         # every window of these keys is a passage of its own, known by all of its words
-        many = known(crowded)
-
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in w.text_slices(batches, 3):
-                texts = w.raw_texts(part.column(3))
-                words = w.words_in(texts)
-                hashes = w.word_hashes(texts, words)
-                found = passages_of(hashes, words.row, window, gram)
-                at = np.flatnonzero(many.value.repeated(found.key))
-                first = np.repeat(found.first[at], found.count[at]) + np.arange(found.count[at].sum()) - np.repeat(np.cumsum(found.count[at]) - found.count[at], found.count[at])
-                firsts = np.searchsorted(words.row, np.arange(len(texts)))
-                row = np.repeat(found.row[at], found.count[at])
-                whole = [w.gram_hashes(hashes, window, b).view(np.int64)[first] for b in w.BASES]
-                ids = [part.column(i).to_numpy(zero_copy_only=False)[row] for i in range(3)]
-                columns = [*ids, first - firsts[row], np.ones(len(first), dtype=np.int32), *whole]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _OCCURRENCES.replace(" bigint", "").replace(" int", "").split(", "))
-
-        single = rows.mapInArrow(windows, _OCCURRENCES)
+        many = _Filter(crowded)
+        single = _windows(rows, many, window, gram)
         again = kept(_repeated(single.select("key", "doc_id")), "window-keys")
-        told = known(again)
+        told = _Filter(again)
         filtered = kept(_filtered(single, told), "window-places")
         told.unpersist()
+        many.unpersist()
         # keys of the one kind are hashes of fewer words than those of the other, and digests tell them apart as well
-        contents = contents.unionByName(_contents(filtered).where("owner < last"))
+        chosen = kept(contents.join(small(crowded), "key", "left_anti").unionByName(_contents(filtered).where("owner < last")), "chosen")
         places = places.unionByName(filtered)
-        many.unpersist()
-    contents = kept(contents, "chosen")
-    bodies = kept(_cut_out(rows, contents, window), "passages")
-    matched = kept(_matched(bodies, window), "matched")
+    wanted = chosen.groupBy(F.col("owner").alias("doc_id"), "t1", "t2").agg(F.collect_list(F.struct("key", "digest", "first", "count")).alias("places"))
+    wanted = kept(wanted, "wanted")
+    owners = _Filter(wanted.select(F.col("t1").alias("key")))
+    matched = kept(_matched(_cut_out(rows, wanted, owners, window), chosen.stored_rows, window), "matched")
+    owners.unpersist()
     met = places.join(small(matched), ["key", "digest"])
     whole = F.array(F.struct(F.col("first").alias("from"), (F.col("first") + F.col("count") + window - 1).alias("to")))
     parts = F.transform(F.filter("runs", lambda r: r["id"] < F.col("doc_id")), lambda r: F.struct((F.col("first") + r["first"]).alias("from"), (F.col("first") + r["last"] + window).alias("to")))
-    spans = met.select("doc_id", "t1", "t2", F.explode(F.when(F.col("owner") < F.col("doc_id"), whole).otherwise(parts)).alias("span")).distinct()
-    out = save(spans.groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.collect_list("span")).alias("spans")), "substrings-spans")
+    spans = met.select("doc_id", "t1", "t2", F.explode(F.when(F.col("owner") < F.col("doc_id"), whole).otherwise(parts)).alias("span"))
+    # a set, so that repeated rows and passages add nothing; the size is bounded by the text's
+    out = save(spans.groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.collect_set("span")).alias("spans")), "substrings-spans")
     for df in scratch:
         drop(df)
     return out
 
 
-def _filtered(occurrences: DataFrame, told: Broadcast) -> DataFrame:
+def _windows(rows: DataFrame, many: _Filter, window: int, gram: int) -> DataFrame:
+    """The windows of the passages whose keys are crowded, each as a passage of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in w.text_slices(batches, 3):
+            texts = w.raw_texts(part.column(3))
+            words = w.words_in(texts)
+            hashes = w.word_hashes(texts, words)
+            found = passages_of(hashes, words.row, window, gram)
+            at = np.flatnonzero(many.passes(found.key))
+            count = found.count[at]
+            first = np.repeat(found.first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            firsts = np.searchsorted(words.row, np.arange(len(texts)))
+            row = np.repeat(found.row[at], count)
+            whole = [w.gram_hashes(hashes, window, b).view(np.int64)[first] for b in w.BASES]
+            ids = [part.column(i).to_numpy(zero_copy_only=False)[row] for i in range(3)]
+            columns = [*ids, first - firsts[row], np.ones(len(first), dtype=np.int32), *whole]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+
+    return rows.mapInArrow(run, _OCCURRENCES)
+
+
+def _filtered(occurrences: DataFrame, told: _Filter) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(told.value.repeated(batch.column(5).to_numpy(zero_copy_only=False))))
+            yield batch.filter(pa.array(told.passes(batch.column(5).to_numpy(zero_copy_only=False))))
 
     return occurrences.mapInArrow(run, _OCCURRENCES)
 
@@ -425,7 +438,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     t1, t2, doc, r1, r2, found = fresh(docs, "_t1", "_t2", "_doc", "_r1", "_r2", "_spans")
     text = F.col(f"`{text_col}`")
     addressed = docs.select(*(F.col(f"`{c}`") for c in names), F.xxhash64(F.lit(1), text).alias(t1), F.xxhash64(F.lit(2), text).alias(t2))
-    known = learn_keys(spans.select(F.col("t1").alias("key"), F.lit(1).alias("n")))
+    known = _Filter(spans.select(F.col("t1").alias("key")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in names)).schema) + ", n_words bigint, n_removed bigint, kept string"
     at = names.index(text_col)
 
@@ -445,12 +458,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.filter(pa.array(~known.value.repeated(batch.column(len(names)).to_numpy(zero_copy_only=False))))
+            rest = batch.filter(pa.array(~known.passes(batch.column(len(names)).to_numpy(zero_copy_only=False))))
             yield result(rest, [None] * rest.num_rows)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(known.value.repeated(batch.column(len(names)).to_numpy(zero_copy_only=False))))
+            yield batch.filter(pa.array(known.passes(batch.column(len(names)).to_numpy(zero_copy_only=False))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
