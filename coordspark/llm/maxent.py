@@ -259,14 +259,14 @@ def learn_vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
 
 
 def packed(block: int, salt: int, delta: np.ndarray, mass: np.ndarray) -> pa.RecordBatch:
-    """The weights of a block that were touched: their places, updates, and how much each counts in the average (to half precision)."""
+    """The weights of a block that were touched: their places, updates, and how much each counts in the average."""
     at = np.flatnonzero(mass)
-    data = [pa.array([x.tobytes()]) for x in (at.astype(np.uint16), delta[at].astype(np.float32), mass[at].astype(np.float16))]
+    data = [pa.array([x.tobytes()]) for x in (at.astype(np.uint16), delta[at].astype(np.float32), mass[at].astype(np.float32))]
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([salt], pa.int32()), *data], ["block", "salt", "at", "delta", "mass"])
 
 
 def unpacked(at: bytes, delta: bytes, mass: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(at, dtype=np.uint16), np.frombuffer(delta, dtype=np.float32), np.frombuffer(mass, dtype=np.float16).astype(np.float32)
+    return np.frombuffer(at, dtype=np.uint16), np.frombuffer(delta, dtype=np.float32), np.frombuffer(mass, dtype=np.float32)
 
 
 def train(docs: DataFrame, known: Broadcast[Vocabulary], rounds: int = ROUNDS) -> np.ndarray:
