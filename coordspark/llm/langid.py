@@ -2,14 +2,14 @@
 
 Features are hashed 1- to 3-grams of lower-cased characters (non-letters are one space), weighted by
 (1 + ln tf) * idf and normalised to length 1. Document frequencies cover all training documents. The weights are
-fitted by follow-the-regularised-leader with elastic-net penalties on a bounded sample of the training rows (about
-``FIT_ROWS`` of each language, chosen by a hash of the id, documented here as the rule allows); a fifth of it is held
-back and sets the temperature of the softmax. Every document is predicted from its whole text.
+fitted by follow-the-regularised-leader with elastic-net penalties on a bounded sample of the training rows (at most
+``FIT_ROWS`` different texts of each language, chosen by a hash of the text, documented here as the rule allows); a fifth
+of it is held back and sets the temperature of the softmax. Every document is predicted from its whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 1; without training rows everything is
 ``und``; null languages are not learned; every other language is, and more of them than the model has room for
-(``MODEL_CELLS``: 1,024) raise ``ValueError``; texts of any length are read whole; repeated rows are predicted alike; an
-empty table gives an empty result; extra columns are ignored.
+(``MODEL_CELLS``: 1,024) raise ``ValueError``; texts of any length are read whole; repeated rows are predicted alike, and
+learned from once; null and repeated doc_ids make no difference to what is learned; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coordspark.llm.common import bound_batches
@@ -153,24 +153,27 @@ def fit_temperature(scores: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model learned from the text and the non-null lang of all ``docs``."""
     spark = docs.sparkSession
-    known = docs.where("lang is not null").select(F.col("doc_id"), "lang", "text")
+    known = docs.where("lang is not null").select("lang", "text", F.xxhash64(F.lit(1), "text").alias("h"))
     df, total = document_frequencies(known)
-    rows = known.groupBy("lang").count().limit(MODEL_CELLS // BUCKETS + 1).collect()
+    rows = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).limit(MODEL_CELLS // BUCKETS + 1).collect()
     if len(rows) > MODEL_CELLS // BUCKETS:
         raise ValueError(f"more than {MODEL_CELLS // BUCKETS} languages: raise MODEL_CELLS or clean the column lang")
-    sizes = {r.lang: r["count"] for r in rows}
+    sizes = {r.lang: max(1, r.texts) for r in rows}
     langs = sorted(sizes)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, idf)
-    rates = spark.createDataFrame([(lang, k, min(1.0, fit_rows / sizes[lang])) for k, lang in enumerate(langs)], "lang string, y int, rate double")
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(1), "doc_id"), 11) / float(1 << 53)
-    sample = known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("y", "doc_id", "text")
+    # the draw is by text, so copies are drawn, and then counted, once; half as many more than wanted, of which the first stay
+    rates = spark.createDataFrame([(lang, k, min(1.0, (1.5 * fit_rows + 100) / sizes[lang])) for k, lang in enumerate(langs)], "lang string, y int, rate double")
+    draw = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    drawn = known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).groupBy("y", "h").agg(F.any_value("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    sample = drawn.withColumn("place", first).where(F.col("place") <= fit_rows).select("y", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y, at, x = [], [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if has_letter(text.as_py()):
                     a, b = weighted(text.as_py(), idf)
                     y.append(lang)
