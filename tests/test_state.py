@@ -3,6 +3,7 @@
 import base64
 import random
 import struct
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -154,7 +155,8 @@ def test_streamed_rate_limit(spark, tmp_path):
 
 def test_stream_assembly(spark, tmp_path):
     rows = [("m", "model-start", 0), ("m", "element-batch", 5), ("m", "element-batch", 2), ("m", "model-end", 0), ("n", "element-batch", 1), ("n", "error", 0)]
-    spark.createDataFrame(rows, "model_id string, kind string, n int").coalesce(1).write.parquet(f"{tmp_path}/x")
+    schema = "model_id string, ts timestamp, pos int, kind string, n int"
+    spark.createDataFrame([(m, datetime(2024, 1, 1), p, k, n) for p, (m, k, n) in enumerate(rows)], schema).coalesce(1).write.parquet(f"{tmp_path}/x")
     got = []
-    jobs.run_to_end(jobs.assembly_progress(spark.readStream.schema("model_id string, kind string, n int").parquet(f"{tmp_path}/x")), lambda df, _: got.extend(df.collect()), "update")
+    jobs.run_to_end(jobs.assembly_progress(spark.readStream.schema(schema).parquet(f"{tmp_path}/x")), lambda df, _: got.extend(df.collect()), "update")
     assert {(r.model_id, r.received, r.status) for r in got} == {("m", 7, "complete"), ("n", 1, "partial")}
