@@ -61,8 +61,14 @@ def in_scope(models_a: list[str] | None = None, models_b: list[str] | None = Non
     ok = (F.col("a_pos") < F.col("b_pos")) & ((a_in & b_in) | (a_in2 & b_in2))
     if exclude_self:
         ok = ok & (F.col("a_model_id") != F.col("b_model_id"))
+    return ok & allowed_types(excluded_pairs)
+
+
+def allowed_types(excluded_pairs: list[tuple[str, str]]) -> Column:
+    """Whether a pair's types are none of the excluded pairs, in either order; an element without a type is in none."""
+    a, b, ok = F.col("a_ifc_type"), F.col("b_ifc_type"), F.lit(True)
     for x, y in excluded_pairs:
-        ok = ok & ~((F.least("a_ifc_type", "b_ifc_type") == min(x, y)) & (F.greatest("a_ifc_type", "b_ifc_type") == max(x, y)))
+        ok = ok & ~F.coalesce(((a == x) & (b == y)) | ((a == y) & (b == x)), F.lit(False))
     return ok
 
 
@@ -133,6 +139,56 @@ def duplicate_geometry(elements: DataFrame, decimals: int = 0) -> DataFrame:
     return rounded.groupBy("ifc_type", *(f"{a}{i}" for a in AXES for i in (0, 1))).agg(F.count("*").alias("n"), F.min("express_id").alias("first_id"), F.max("express_id").alias("last_id")).where("n > 1")
 
 
+def _same_place(decimals: int) -> list[Column]:
+    return [F.col("ifc_type"), *(F.round(f"{a}{i}", decimals) for a in AXES for i in (0, 1))]
+
+
+def same_geometry(decimals: int = 0) -> Column:
+    """Whether the elements of a pair (a_*, b_*) have the same type, or none, and the same rounded box."""
+    out = F.col("a_ifc_type").eqNullSafe(F.col("b_ifc_type"))
+    for k in (f"{a}{i}" for a in AXES for i in (0, 1)):
+        out = out & F.round(f"a_{k}", decimals).eqNullSafe(F.round(f"b_{k}", decimals))
+    return out
+
+
+def duplicate_pairs(elements: DataFrame, decimals: int = 0, models_a: list[str] | None = None, models_b: list[str] | None = None, exclude_self: bool = True) -> DataFrame:
+    """Pairs a_*, b_* of elements with the same type and rounded box, each element with the first one (by pos) of its group that it may be paired with.
+
+    A group of n gives fewer than 2 n pairs, not all of them. With ``exclude_self`` the partner is of another model: the
+    group's first element, or else the first one of another model than that.
+    """
+    columns = elements.columns
+    row = F.struct(*columns)
+    keyed = elements.select(*(k.alias(f"_k{i}") for i, k in enumerate(_same_place(decimals))), row.alias("x"))
+    keys = [c for c in keyed.columns if c != "x"]
+    crowds = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    on = lambda left, right: [left[k].eqNullSafe(right[k]) for k in keys]
+    keyed = keyed.alias("e").join(crowds.alias("c"), on(keyed, crowds), "left_semi")
+    within = lambda models: keyed if models is None else keyed.where(F.col("x.model_id").isin(models))
+
+    def partners(side: DataFrame) -> DataFrame:
+        first = side.groupBy(*keys).agg(F.min_by("x", "x.pos").alias("p1"))
+        if not exclude_self:
+            return first.withColumn("p2", F.lit(None).cast(first.schema["p1"].dataType))
+        f = first.select(*(F.col(k).alias(f"f{k}") for k in keys), F.col("p1"))
+        others = side.join(f, reduce(lambda a, b: a & b, (side[k].eqNullSafe(F.col(f"f{k}")) for k in keys))).where("x.model_id != p1.model_id")
+        second = others.groupBy(*keys).agg(F.min_by("x", "x.pos").alias("p2")).select(*(F.col(k).alias(f"s{k}") for k in keys), "p2")
+        return first.join(second, reduce(lambda a, b: a & b, (first[k].eqNullSafe(F.col(f"s{k}")) for k in keys)), "left").select(*keys, "p1", "p2")
+
+    def pairs(of: DataFrame, with_side: DataFrame) -> DataFrame:
+        p = partners(with_side).select(*(F.col(k).alias(f"p{k}") for k in keys), "p1", "p2")
+        met = of.join(p, reduce(lambda a, b: a & b, (of[k].eqNullSafe(F.col(f"p{k}")) for k in keys)))
+        fits = (F.col("p1.model_id") != F.col("x.model_id")) if exclude_self else (F.col("p1.pos") != F.col("x.pos"))
+        return met.select("x", F.when(fits, F.col("p1")).otherwise(F.col("p2")).alias("y")).where("y is not null")
+
+    both = pairs(within(models_b), within(models_a))
+    if models_a != models_b:
+        both = both.unionByName(pairs(within(models_a), within(models_b)))
+    before = F.col("x.pos") < F.col("y.pos")
+    ordered = both.select(F.when(before, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(before, F.col("y")).otherwise(F.col("x")).alias("b")).dropDuplicates()
+    return ordered.select(*(F.col(f"a.{c}").alias(f"a_{c}") for c in columns), *(F.col(f"b.{c}").alias(f"b_{c}") for c in columns))
+
+
 def model_bounds(elements: DataFrame) -> DataFrame:
     """Per model: least and greatest corner, centre and size."""
     lows = [F.min(f"{a}0").alias(f"min_{a}") for a in AXES]

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coordspark.functions import geometry, text
 from coordspark.operators import cluster, curate, detect, merge, quality, review, spatial
 from coordspark.plans import sql as S
-from coordspark.sources import fixtures, formats
+from coordspark.sources import fixtures, formats, step, versions
+from coordspark.sources.scratch import new_path
 from coordspark.streaming import jobs
 
 FLAGSHIP = "clash_detection"
@@ -144,6 +146,14 @@ def clash_enrich(spark, d):
     return found.select("id", "title", "description", "self_clash", "discipline_a", "discipline_b", "elevation")
 
 
+@query(S.ALL_TYPES)
+def detect_all_types(spark, d):
+    """One run for hard, soft and duplicate pairs, with elements without a type and exclusions that must not drop them."""
+    e = fixtures.frame(spark, d, S.DOUBLED)
+    rules = detect.Rules(max_gap=50, duplicates=True, excluded_types=("IfcRoof",), excluded_type_pairs=(("IfcBeam", "IfcBeam"), ("IfcWall", "IfcSlab")))
+    return detect.run_detection(e, models(spark, d), rules).select("elem_a", "elem_b", "type", "title")
+
+
 @query(S.RELATED)
 def related_pair_exclusion(spark, d):
     e = elements(spark, d)
@@ -679,9 +689,90 @@ def query_metrics(spark, d):
     return out
 
 
+@query(S.STEP)
+def step_round_trip(spark, d):
+    """Elements with their sets, storeys and materials as STEP text and back; names hold what ends statements elsewhere."""
+    e = dq_elements(spark, d).where("ifc_type <> 'IfcBuildingStorey'")
+    path = new_path(spark, "step")
+    step.write_elements(e.withColumn("name", F.concat("name", F.lit("); it's \\ #1=IFCWALL('é',$);"))), path)
+    back = step.read_elements(spark, path, one_model=True)
+    wall = F.try_element_at("psets", F.lit("Pset_WallCommon"))
+    return back.select(
+        (F.col("express_id") / 1000).cast("bigint").alias("express_id"), "global_id", "ifc_type", "name", "description", "object_type", "storey", "material",
+        F.try_element_at(wall, F.lit("FireRating")).alias("fire_rating"), F.coalesce(F.size("psets"), F.lit(0)).cast("bigint").alias("sets"),
+        F.coalesce(F.aggregate(F.map_values("psets"), F.lit(0), lambda n, m: n + F.size(m)), F.lit(0)).cast("bigint").alias("properties"),
+    )
+
+
 # --- streams
 
 
+def _in_files(spark, d, files=4):
+    """The events in several files, in the order of their ids, so that a stream of them has as many batches."""
+    path, events = new_path(spark, "events"), spark.read.parquet(f"{d}/events.parquet")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    for k in range(files):  # one after the other: streams take files by their times
+        events.where((F.col("event_id") * files / (last + 1)).cast("int") == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _stream(spark, path, *columns):
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path).selectExpr(*columns)
+
+
+@query(S.ASSEMBLED)
+def stream_assembly(spark, d):
+    """What has come of each model of a message stream, over several batches."""
+    return jobs.assemble(_stream(spark, _in_files(spark, d), *S.MESSAGE_COLUMNS))
+
+
+@query(S.CHANGED_CONTENT)
+def stream_changed(spark, d):
+    """Rows whose content differs from what was sent before under the same key."""
+    found, path = jobs.changed_content(_stream(spark, _in_files(spark, d), *S.SENT_COLUMNS)), new_path(spark, "changed")
+    with jobs.rocksdb(spark):
+        jobs.run_to_end(found, lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}"))
+    return spark.read.parquet(path).drop("batch")
+
+
+@query(S.CDC)
+def stream_restart(spark, d):
+    """Change capture that loses its driver after a batch is written but before it counts, and goes on from its checkpoint."""
+    state = elements(spark, d).where("express_id % 97 <> 0").select("express_id", "name", "material")
+    source, path, checkpoint = _in_files(spark, d), new_path(spark, "state"), new_path(spark, "stream")
+    changes = lambda: _stream(spark, source, *S.CHANGE_COLUMNS)
+    table = versions.change_table(spark, path, "express_id bigint, name string, material string", ["name", "material"], "express_id")
+    table.start(state)
+
+    def lost():
+        raise RuntimeError("lost")
+
+    def broken(df, i):
+        table.append(df, "changes", i, finished=lost if i == 2 else None)
+        if i == 1:
+            table.append(df, "changes", i)  # a batch that comes twice
+
+    try:
+        jobs.run_to_end(changes(), broken, checkpoint=checkpoint)
+    except StreamingQueryException as e:
+        if "lost" not in str(e):
+            raise
+    return jobs.apply_change_stream(state, changes(), ["name", "material"], "express_id", path, checkpoint)
+
+
+@query(S.SYNCED)
+def sync_rounds(spark, d):
+    """Shared records pulled in three rounds from a high-water mark on, while the remote table grows."""
+    remote = fixtures.frame(spark, d, S.REMOTE)
+    table = versions.last_write_table(spark, new_path(spark, "shared"), "id bigint, value string, updated_at bigint", ["id"], order="updated_at")
+    until = {"at": 0}
+    loop = jobs.SyncLoop(table, lambda: remote.where(F.col("updated_at") <= until["at"]))
+    for at in (300, 300, 650, 1000):
+        until["at"] = at
+        loop.once()
+    return table.read()
+
+
 @query(S.REPLAY)
 def stream_lww(spark, d):
     log = jobs.table_stream(spark, d, "events").where("event_id % 3 <> 0")

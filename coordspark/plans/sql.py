@@ -302,3 +302,26 @@ METRICS = f"""WITH c AS ({X.CLASHES}), i AS ({ISSUES}) SELECT 'clash_count' AS m
 UNION ALL SELECT 'open_clashes', NULL, count(*) FROM c WHERE status = 'open' UNION ALL SELECT 'status_breakdown', status, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'type_breakdown', type, count(*) FROM c GROUP BY 2
 UNION ALL SELECT 'discipline_breakdown', side, count(*) FROM (SELECT unnest([discipline_a, discipline_b]) AS side FROM c) AS s WHERE side <> '' GROUP BY 2
 UNION ALL SELECT * FROM (SELECT 'worst_storey', {STOREY} AS s, count(*) AS k FROM c GROUP BY 2 ORDER BY k DESC, s LIMIT 1) AS w"""
+
+DOUBLED = f"""WITH e AS ({X.ELEMENTS}), o AS (SELECT express_id, model_id, pos, CASE WHEN express_id % 9 <> 0 THEN ifc_type END AS ifc_type, storey, name, material, global_id, x0, y0, z0, x1, y1, z1 FROM e)
+SELECT * FROM o UNION ALL SELECT express_id + 1000000, 'M' || CAST((express_id + 1) % 3 AS VARCHAR(9)), pos + 1000000, ifc_type, storey, name, material, global_id, x0, y0, z0, x1, y1, z1 FROM o WHERE express_id % 10 = 0
+UNION ALL SELECT express_id + 2000000, 'M' || CAST((express_id + 1) % 3 AS VARCHAR(9)), pos + 2000000, ifc_type, storey, name, material, global_id, x0, y0, z0, x1, y1, z1 FROM o WHERE express_id % 20 = 0"""
+_SAME = "a.ifc_type IS NOT DISTINCT FROM b.ifc_type AND " + " AND ".join(f"a.{k}{i} = b.{k}{i}" for k in "xyz" for i in (0, 1))
+_TYPES_OK = "NOT coalesce(least(a.ifc_type, b.ifc_type) = 'IfcBeam' AND greatest(a.ifc_type, b.ifc_type) = 'IfcBeam' AND a.ifc_type IS NOT NULL AND b.ifc_type IS NOT NULL OR a.ifc_type = 'IfcWall' AND b.ifc_type = 'IfcSlab' OR a.ifc_type = 'IfcSlab' AND b.ifc_type = 'IfcWall', false)"
+ALL_TYPES = f"""WITH e AS ({DOUBLED}), p AS (SELECT a.express_id AS elem_a, b.express_id AS elem_b, a.ifc_type AS ta, b.ifc_type AS tb, {_SAME} AS same, {overlap()} AS hard, a.express_id < 1000000 AS first
+  FROM e AS a JOIN e AS b ON a.pos < b.pos AND a.model_id <> b.model_id AND {overlap(50)} AND {_TYPES_OK})
+SELECT elem_a, elem_b, CASE WHEN same THEN 'duplicate' WHEN hard THEN 'hard' ELSE 'soft' END AS type, coalesce({_NICE('ta')}, 'Element') || CASE WHEN ta IS NOT DISTINCT FROM tb THEN ' vs ' ELSE ' × ' END || coalesce({_NICE('tb')}, 'Element') AS title FROM p WHERE NOT same OR first"""
+_ENDS = "); it''s \\ #1=IFCWALL(''é'',$);"
+STEP = f"""WITH e AS ({X.DQ_ELEMENTS}), p AS (SELECT express_id, count(v) AS properties, count(DISTINCT CASE WHEN v IS NOT NULL THEN pset END) AS sets, max(CASE WHEN pset = 'Pset_WallCommon' AND k = 'FireRating' THEN v END) AS fire_rating FROM ({X.ELEMENT_PROPS}) AS q GROUP BY 1)
+SELECT e.express_id, global_id, ifc_type, name || '{_ENDS}' AS name, description, object_type, nullif(storey, '') AS storey, material, fire_rating, coalesce(sets, 0) AS sets, coalesce(properties, 0) AS properties
+FROM e LEFT JOIN p ON p.express_id = e.express_id WHERE ifc_type <> 'IfcBuildingStorey'"""
+MESSAGE_COLUMNS = (
+    "user_id AS model_id", "timestamp_seconds(event_id) AS ts", "event_id AS pos", "CASE event_id % 20 WHEN 0 THEN 'model-start' WHEN 7 THEN 'model-end' WHEN 13 THEN 'error' ELSE 'element-batch' END AS kind", "event_id % 5 AS n",
+)
+ASSEMBLED = f"""WITH m AS (SELECT {', '.join(c for c in MESSAGE_COLUMNS if ' AS ts' not in c)} FROM events), s AS (SELECT model_id, max(pos) FILTER (WHERE kind = 'model-start') AS begun, arg_max(kind, pos) AS kind FROM m GROUP BY 1),
+r AS (SELECT m.model_id, CAST(coalesce(sum(n) FILTER (WHERE m.kind = 'element-batch' AND (begun IS NULL OR pos > begun)), 0) AS BIGINT) AS received, min(s.kind) AS kind FROM m JOIN s ON s.model_id = m.model_id GROUP BY 1)
+SELECT model_id, received, CASE kind WHEN 'model-end' THEN 'complete' WHEN 'error' THEN CASE WHEN received > 0 THEN 'partial' ELSE 'failed' END ELSE 'receiving' END AS status FROM r"""
+SENT_COLUMNS = ("user_id AS global_id", "timestamp_seconds(event_id) AS ts", "event_id AS pos", "CASE WHEN event_id % 17 <> 0 THEN event_type END AS hash")
+CHANGED_CONTENT = f"""WITH s AS (SELECT {', '.join(c for c in SENT_COLUMNS if ' AS ts' not in c)} FROM events) SELECT * FROM s QUALIFY hash IS DISTINCT FROM lag(hash) OVER (PARTITION BY global_id ORDER BY pos)"""
+REMOTE = "SELECT o_custkey AS id, o_orderpriority || CAST(o_orderkey AS VARCHAR(20)) AS value, o_orderkey % 1000 AS updated_at FROM orders WHERE o_orderkey % 7 < 3"
+SYNCED = f"WITH r AS ({REMOTE}) SELECT id, max(updated_at) AS updated_at, max(value) AS value FROM r AS q WHERE updated_at = (SELECT max(updated_at) FROM r WHERE r.id = q.id) GROUP BY id"
