@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ from coordspark.llm.similar import learn_keys
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
 #: Fingerprints that a task adds up before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 21
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -98,16 +99,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 class Tally:
-    """Counts of fingerprints, added up while there is room."""
+    """Counts of fingerprints, added up when many have gathered."""
 
     def __init__(self):
         self.parts, self.held = [], 0
 
     def add(self, prints: np.ndarray) -> None:
-        keys, counts = np.unique(prints, return_counts=True)
+        self.put(*np.unique(prints, return_counts=True))
+
+    def put(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
         self.held += len(keys)
-        if self.held > HELD:
+        if self.held > 2 * HELD:
             self.parts = [self.summed()]
 
     def full(self) -> bool:
@@ -125,45 +128,89 @@ class Tally:
         return out
 
 
-_COUNTS = "lang string, fp bigint, c bigint"
+_PACKED = "part int, lang string, n bigint, keys binary, counts binary"
+_PACKED_TYPES = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def short(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints for filters: 40 bits. Where two are alike both pass if their sum does; the last scan tells them apart."""
+    return (prints.view(np.uint64) >> np.uint64(24)).view(np.int64)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Ascending keys below 2^40: their differences, byte by byte, compressed."""
+    steps = np.diff(keys, prepend=0).astype("<u8")
+    planes = steps.view(np.uint8).reshape(-1, 8).T[:5]
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
 
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(5, -1)
+    steps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    steps[:, :5] = planes.T
+    return np.cumsum(steps.view("<u8").ravel()).astype(np.int64)
 
-def _counted(rows: DataFrame, prints: Callable[[Grams], np.ndarray], totals: bool) -> DataFrame:
-    """lang (null), fp, c of the fingerprints of all texts, and with ``totals`` lang, null, c: the words of each language."""
 
-    def told(langs: list, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        fps = pa.nulls(len(keys), pa.int64()) if langs else pa.array(keys, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(langs or [None] * len(keys), pa.string()), fps, pa.array(counts, pa.int64())], ["lang", "fp", "c"])
+def _counted(rows: DataFrame, prints: Callable[[Grams], np.ndarray], least: int, totals: bool) -> DataFrame:
+    """key, c of the (short) fingerprints that occur ``least`` times, and with ``totals`` lang, null, c: the words of each language.
+
+    A task adds up what it has seen and sends one packed row to each part of the fingerprints, a few bytes a fingerprint.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def told(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        part = keys % parts
+        order = np.argsort(part, kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        at = np.split(order, starts[1:]) if len(found) else []
+        columns = [found, [None] * len(found), [0] * len(found), [pack(keys[i]) for i in at], [zstandard.compress(counts[i].astype("<i8").tobytes(), 1) for i in at]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PACKED_TYPES, strict=True)], ["part", "lang", "n", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, sums = Tally(), {}
         for _, grams in _slices(batches):
-            tally.add(prints(grams))
+            tally.add(short(prints(grams)))
             for lang, n in zip(grams.langs, np.bincount(grams.words.row, minlength=len(grams.langs)).tolist(), strict=True):
                 sums[lang] = sums.get(lang, 0) + n
             if tally.full():
-                yield told([], *tally.taken())
-        yield told([], *tally.taken())
+                yield told(*tally.taken())
+        yield told(*tally.taken())
         if totals and sums:
-            yield told(list(sums), np.zeros(len(sums)), np.array(list(sums.values())))
+            nothing = [None] * len(sums)
+            parted = [xxhash.xxh32_intdigest(lang) % parts for lang in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((parted, list(sums), list(sums.values()), nothing, nothing), _PACKED_TYPES, strict=True)], ["part", "lang", "n", "keys", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, sums = {}, {}  # a partition may hold several parts
+        for batch in batches:
+            for part, lang, n, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lang is not None:
+                    sums[lang] = sums.get(lang, 0) + n
+                else:
+                    tally.setdefault(part, Tally()).put(unpack(keys), np.frombuffer(zstandard.decompress(counts), dtype="<i8"))
+        for own in tally.values():
+            keys, counts = own.summed()
+            kept = counts >= least
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(kept.sum()), pa.string()), pa.array(keys[kept]), pa.array(counts[kept])], ["lang", "fp", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.nulls(len(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["lang", "fp", "c"])
 
-    return rows.mapInArrow(run, _COUNTS).groupBy("lang", "fp").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(run, _PACKED).repartition(parts, "part").mapInArrow(merge, "lang string, fp bigint, c bigint")
 
 
-def _known(counts: DataFrame, least: int) -> Broadcast:
+def _known(counts: DataFrame) -> Broadcast:
     """What the tasks may know of the frequent fingerprints: a bitmap that holds them all."""
-    return learn_keys(counts.where((F.col("c") >= least) & F.col("fp").isNotNull()).select(F.col("fp").alias("key"), F.lit(1).alias("n")))
+    return learn_keys(counts.where(F.col("fp").isNotNull()).select(F.col("fp").alias("key"), F.lit(1).alias("n")))
 
 
 def _frequent_places(grams: Grams, singles: Broadcast, pairs: Broadcast, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, places, fingerprints) of the n-grams that may be frequent."""
     first = grams.prints(1)
-    at = np.flatnonzero(singles.value.repeated(first))
+    at = np.flatnonzero(singles.value.repeated(short(first)))
     yield 1, at, first[at]
     if most < 2:
         return
     second = grams.prints(2)
-    fine = pairs.value.repeated(second) & grams.within(2)
+    fine = pairs.value.repeated(short(second)) & grams.within(2)
     at = np.flatnonzero(fine)
     yield 2, at, second[at]
     run = fine
@@ -269,15 +316,15 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("th"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
-    ones = save(_counted(rows, lambda g: g.prints(1), True).where(F.col("fp").isNull() | (F.col("c") >= least)), "phrases-words")
-    singles = _known(ones, least)
+    ones = save(_counted(rows, lambda g: g.prints(1), least, True), "phrases-words")
+    singles = _known(ones)
 
     def pairs_of(grams: Grams) -> np.ndarray:
-        fine = singles.value.repeated(grams.prints(1))
+        fine = singles.value.repeated(short(grams.prints(1)))
         return grams.prints(2)[fine[:-1] & fine[1:] & grams.within(2)] if len(grams) > 1 else np.zeros(0, dtype=np.int64)
 
-    twos = save(_counted(rows, pairs_of, False).where(F.col("c") >= least), "phrases-pairs")
-    pairs = _known(twos, least)
+    twos = save(_counted(rows, pairs_of, least, False), "phrases-pairs")
+    pairs = _known(twos)
     frequent = save(_pointed(rows, singles, pairs, most).where(F.col("f") >= least), "phrases-prints")
     clashing = save(frequent.where("low != high").select("lang", "k", "fp"), "phrases-clashing")
     found = _texts_of(rows, frequent.where("low = high"))
@@ -287,7 +334,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
         for df in (found, again):
             drop(df)
         found = both
-    totals = save(ones.where("fp is null").select("lang", F.col("c").alias("n")), "phrases-totals")
+    totals = save(ones.where("fp is null").groupBy("lang").agg(F.sum("c").alias("n")), "phrases-totals")
     for known in (singles, pairs):
         known.unpersist()
     for df in (ones, twos, frequent, clashing):
