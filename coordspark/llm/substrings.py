@@ -276,24 +276,23 @@ def _scan(docs: DataFrame, window: int, gram: int, keep=None) -> DataFrame:
 
 
 def _repeated(occurrences: DataFrame) -> DataFrame:
-    """key, n of the keys that more than one document has."""
-    return occurrences.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
+    """The keys that more than one document has."""
+    return occurrences.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
 
 
 class _Filter:
-    """Two bitmaps that hold the keys of a table, so that hardly any other key passes."""
+    """A bitmap in which each key of a table has two places, so that hardly any other key passes."""
 
     def __init__(self, keys: DataFrame):
         turned = F.shiftleft("key", 32).bitwiseOR(F.shiftrightunsigned("key", 32))
-        self.maps = [learn_keys(keys.select(k.alias("key"), F.lit(1).alias("n"))) for k in (F.col("key"), turned)]
+        self.known = learn_keys(keys.select(F.explode(F.array(F.col("key"), turned)).alias("key"), F.lit(1).alias("n")))
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
         u = keys.view(np.uint64)
-        return self.maps[0].value.repeated(keys) & self.maps[1].value.repeated(((u << np.uint64(32)) | (u >> np.uint64(32))).view(np.int64))
+        return self.known.value.repeated(keys) & self.known.value.repeated(((u << np.uint64(32)) | (u >> np.uint64(32))).view(np.int64))
 
     def unpersist(self) -> None:
-        for m in self.maps:
-            m.unpersist()
+        self.known.unpersist()
 
 
 def _contents(occurrences: DataFrame) -> DataFrame:
@@ -366,10 +365,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         scratch.append(save(df, f"substrings-{name}"))
         return scratch[-1]
 
+    def gone(df: DataFrame) -> None:
+        """Nothing reads it any more."""
+        scratch[:] = [x for x in scratch if x is not df]
+        drop(df)
+
     repeated = kept(_repeated(_scan(rows, window, gram).select("key", "doc_id")), "keys")
     few = _Filter(repeated)
     occurrences = kept(_scan(rows, window, gram, lambda p: few.passes(p.key)), "places")
     few.unpersist()
+    gone(repeated)
     contents = kept(_contents(occurrences), "contents")
     crowded = kept(contents.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd), "crowded")
     chosen, places = contents, occurrences
@@ -384,12 +389,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         many.unpersist()
         # keys of the one kind are hashes of fewer words than those of the other, and digests tell them apart as well
         chosen = kept(contents.join(small(crowded), "key", "left_anti").unionByName(_contents(filtered).where("owner < last")), "chosen")
+        gone(again)
+        gone(contents)
         places = places.unionByName(filtered)
     wanted = chosen.groupBy(F.col("owner").alias("doc_id"), "t1", "t2").agg(F.collect_list(F.struct("key", "digest", "first", "count")).alias("places"))
     wanted = kept(wanted, "wanted")
     owners = _Filter(wanted.select(F.col("t1").alias("key")))
+    gone(chosen)
     matched = kept(_matched(_cut_out(rows, wanted, owners, window), chosen.stored_rows, window), "matched")
     owners.unpersist()
+    gone(wanted)
     met = places.join(small(matched), ["key", "digest"])
     whole = F.array(F.struct(F.col("first").alias("from"), (F.col("first") + F.col("count") + window - 1).alias("to")))
     parts = F.transform(F.filter("runs", lambda r: r["id"] < F.col("doc_id")), lambda r: F.struct((F.col("first") + r["first"]).alias("from"), (F.col("first") + r["last"] + window).alias("to")))
