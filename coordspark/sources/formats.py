@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import uuid
-import zipfile
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,13 +74,36 @@ def project_section(project: DataFrame, section: str) -> DataFrame:
 
 
 def write_project(parts: dict[str, DataFrame], path: str, saved_at: str, mark: str, version: int = 1) -> None:
-    """A project is one JSON document by format; each section's rows are gathered into it, snapshots left out."""
+    """A project: one JSON document with an array for each section, snapshots left out.
+
+    A document is one text by format, so one task writes it; rows are turned into JSON by all tasks, sorted by section (on
+    disk if need be) and streamed into it line by line. Nothing is gathered, and the writer's commit leaves a whole file or none.
+    """
     spark = next(iter(parts.values())).sparkSession
-    body = spark.range(1).select(F.lit(mark).alias("_cc"), F.lit(version).alias("_v"), F.lit(saved_at).alias("savedAt"))
-    for name, df in parts.items():
-        rows = df.drop("snapshot")
-        body = body.join(rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name)), how="inner")
-    body.select(F.to_json(F.struct(*body.columns)).alias("value")).write.mode("overwrite").text(path)
+    rows = spark.range(1).select(F.lit(-1).alias("section"), F.lit(None).cast("string").alias("value"))  # so that there is a row to begin with
+    for k, df in enumerate(parts.values()):
+        kept = df.drop("snapshot")
+        rows = rows.unionByName(kept.select(F.lit(k).alias("section"), F.to_json(F.struct(*kept.columns)).alias("value")))
+    head, names = json.dumps({"_cc": mark, "_v": version, "savedAt": saved_at})[:-1], list(parts)
+
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = -1, True
+        for batch in batches:
+            lines = []
+            for section, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if section < 0:
+                    lines.append(head)
+                    continue
+                while at < section:
+                    lines.append(("]" if at >= 0 else "") + f", {json.dumps(names[at + 1])}: [")
+                    at, first = at + 1, True
+                lines.append(value if first else "," + value)
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        rest = [("]" if k > 0 else "") + f", {json.dumps(names[k])}: [" for k in range(at + 1, len(names))]
+        yield pa.RecordBatch.from_arrays([pa.array([*rest, "]}"], pa.string())], ["value"])
+
+    rows.repartition(1).sortWithinPartitions("section").mapInArrow(document, "value string").write.mode("overwrite").text(path)
 
 
 def labels_jsonl(records: DataFrame) -> DataFrame:
@@ -176,52 +196,3 @@ def topic_xml(issues: DataFrame) -> DataFrame:
         F.lit("</Title><Priority>"), e("priority"), F.lit("</Priority><Description>"), e("description"), F.lit("</Description></Topic></Markup>"),
     )
     return issues.select("id", guid.alias("topic"), markup.alias("markup"))
-
-
-def write_topics(issues: DataFrame, out_dir: str, version: str = "2.1") -> DataFrame:
-    """One issue archive (zip) per partition below ``out_dir``: a folder per topic with markup.bcf. Returns path, topics; only archives in it are whole."""
-    info = f'<?xml version="1.0" encoding="UTF-8"?>\n<Version VersionId="{version}"/>'
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(out_dir)
-        store.create_dir(base, recursive=True)
-        name, n = f"{uuid.uuid4().hex}.bcfzip", 0
-        with store.open_output_stream(f"{base}/{name}") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("bcf.version", info)
-            for batch in batches:
-                for topic, markup in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    archive.writestr(f"{topic}/markup.bcf", markup)
-                    n += 1
-        yield pa.RecordBatch.from_pydict({"path": [f"{out_dir}/{name}"], "topics": [n]}, schema=pa.schema([("path", pa.string()), ("topics", pa.int64())]))
-
-    return topic_xml(issues).select("topic", "markup").mapInArrow(run, "path string, topics bigint")
-
-
-def read_topics(spark: SparkSession, path: str) -> DataFrame:
-    """topic, title, status, priority, description of issue archives."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                topics, markups = [], []
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    for name in archive.namelist():
-                        if name.endswith("/markup.bcf"):
-                            topics.append(name.split("/")[0])
-                            markups.append(archive.read(name).decode())
-                yield pa.RecordBatch.from_arrays([pa.array(topics, pa.string()), pa.array(markups, pa.string())], ["topic", "markup"])
-
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.bcfzip").load(path).select("content").mapInArrow(run, "topic string, markup string")
-    field = lambda p: F.nullif(F.xpath_string("markup", F.lit(p)), F.lit(""))
-    return rows.select("topic", field("//Topic/Title").alias("title"), field("//Topic/@TopicStatus").alias("status"), field("//Topic/Priority").alias("priority"), field("//Topic/Description").alias("description"))
-
-
-def read_step(spark: SparkSession, path: str) -> DataFrame:
-    """express_id, ifc_type, global_id, name of the entities of STEP text files, over any number of lines; attributes only, no geometry.
-
-    Files are split where an entity ends, at ``);``, so large ones are read in parallel.
-    """
-    entities = spark.read.text(path, lineSep=");")
-    pattern = r"(?:^|\n)\s*#(\d+)\s*=\s*(IFC\w+)\s*\(\s*'([^']*)'\s*,[^,]*,\s*(?:'((?:[^']|'')*)'|\$)"
-    got = lambda i: F.regexp_extract("value", pattern, i)
-    return entities.where(F.col("value").rlike(pattern)).select(got(1).cast("bigint").alias("express_id"), got(2).alias("ifc_type"), got(3).alias("global_id"), F.nullif(F.replace(got(4), F.lit("''"), F.lit("'")), F.lit("")).alias("name"))
