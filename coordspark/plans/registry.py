@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from coordspark.functions import geometry, text
 from coordspark.operators import cluster, curate, detect, merge, quality, review, spatial
+from coordspark.plans import commands
 from coordspark.plans import sql as S
-from coordspark.sources import fixtures, formats, step, versions
+from coordspark.sources import bcf, fixtures, formats, step, versions
 from coordspark.sources.scratch import new_path
 from coordspark.streaming import jobs
 
@@ -639,7 +640,7 @@ def wire_elements(spark, d):
 
 @query(S.UPDATED)
 def updated_record(spark, d):
-    return merge.update_one(elements(spark, d), "express_id", 7, storey="L9", name="seven").where("storey = 'L9' or express_id < 20").select("express_id", "name", "storey")
+    return merge.update_one(elements(spark, d), "express_id", 7, storey="L9", name="seven").select("express_id", "name", "storey")
 
 
 @query(S.COMMANDS_JSONL)
@@ -689,6 +690,73 @@ def query_metrics(spark, d):
     return out
 
 
+@query(S.BCF)
+def bcf_round_trip(spark, d):
+    """Issues with labels, ids, cameras and components as archives of both versions, read back and resolved to elements."""
+    n, out = F.col("id"), None
+    at = lambda k: F.struct((n % 50).cast("double").alias("x"), F.lit(float(k)).alias("y"), (-n % 7).cast("double").alias("z"))
+    rows = issues(spark, d).withColumns({
+        "labels": F.when(n % 3 == 0, F.array(F.lit("a & b"), F.concat(F.lit("<"), "status", F.lit(">")))), "revit_a": F.when(n % 2 == 0, n * 10), "revit_b": F.when(n % 4 == 0, n * 10 + 1),
+        "camera": F.when(n % 5 != 0, F.struct(at(1).alias("eye"), at(2).alias("direction"), at(3).alias("up"), (40 + n % 20).cast("double").alias("field_of_view"))),
+        "components": F.when(n % 7 != 0, F.array(F.concat(F.lit("G"), (n % 150).cast("string")), F.lit("unknown"), F.concat(F.lit("G"), (n % 90).cast("string")))), "assignee": F.when(n % 2 == 1, "A. B"),
+    })
+    for version in bcf.VERSIONS:
+        path = new_path(spark, "archives")
+        bcf.write_archives(rows.repartition(4), path, version)
+        found = bcf.resolve_components(bcf.read_archives(spark, path, 500), elements(spark, d).groupBy("global_id").agg(F.min("model_id").alias("model_id"), F.min("express_id").alias("express_id")))
+        out = found if out is None else out.unionByName(found)
+    return out.select(
+        "version", "title", "type", "status", "priority", "description", "assignee", F.array_join("labels", "|").alias("labels"), *(F.col(c).cast("string").alias(c) for c in ("revit_a", "revit_b")), F.col("camera.eye.x").alias("x"), F.col("camera.up.z").alias("z"), F.col("camera.field_of_view").alias("angle"),
+        F.array_join("components", "|").alias("components"), F.array_join(F.transform("elements", lambda e: e["express_id"].cast("string")), "|").alias("elements"),
+    )
+
+
+@query(S.PROJECT)
+def project_round_trip(spark, d):
+    """Clashes and issues as one project document, read back by section."""
+    path = new_path(spark, "project")
+    formats.write_project({"clashes": clashes(spark, d).select("id", "status", "elem_b_type"), "issues": issues(spark, d).select("id", "title").withColumn("snapshot", F.lit("x"))}, path, "2024-01-01", "mark")
+    project = formats.read_project(spark, path, "mark")
+    a = formats.project_section(project, "clashes").groupBy("status").agg(F.count("*").alias("n"), F.count("elem_b_type").alias("typed"), F.sum("id").alias("ids")).withColumn("section", F.lit("clashes"))
+    b = formats.project_section(project, "issues").groupBy(F.substring("title", 1, 7).alias("status")).agg(F.count("*").alias("n"), F.count("title").alias("typed"), F.sum("id").alias("ids")).withColumn("section", F.lit("issues"))
+    return a.unionByName(b)
+
+
+@query(S.FOCUS)
+def analysis_focus(spark, d):
+    """Every focus of an analysis, asked for in words: focus, value, n."""
+    state, out = {"clashes": clashes(spark, d)}, None
+    for said in ("analyze the worst area", "analyse by discipline", "give me a summary", "analyze patterns"):
+        plan = commands.parse(said)
+        found = plan.compile(state)
+        value = F.concat_ws(": ", *(F.col(c) for c in found.columns if c != "n"))
+        part = found.select(F.lit(plan.focus).alias("focus"), value.alias("value"), F.col("n").cast("bigint").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(S.COMMAND_PLANS)
+def command_plans(spark, d):
+    """Commands in words, run as plans on the fixture: the rows that they give, or, for changes, what they have changed."""
+    state = {"elements": elements(spark, d), "models": models(spark, d), "clashes": clashes(spark, d), "issues": issues(spark, d)}
+    state["projects"] = models(spark, d).select(F.col("model_id").alias("id"), "name")
+    rows = [
+        (said, commands.run(said, state))
+        for said in ("show closed clashes", "show critical", "reset all filters", "sort by priority", "group by floor", "how many clashes?", "how many open clashes?", "count by discipline", "make a report", "analyze patterns", "color by storey", "find hard clashes only", "export bcf 3.0")
+    ]
+    changed = commands.run("resolve all soft", state)
+    rows.append(("resolve all soft", changed["clashes"].where("status = 'resolved'")))
+    rows.append(("create project tower", commands.run("create project tower", state)["projects"]))
+    rows.append(("rename project to west wing", commands.run("rename project to west wing", state)["projects"].where("name = 'west wing'")))
+    ruled = commands.run("set the gap to 5 cm", commands.run("include duplicates", state))
+    rows.append(("set the gap to 5 cm", models(spark, d).where(F.lit(ruled["rules"].max_gap == 50 and ruled["rules"].duplicates))))
+    out = None
+    for said, found in rows:
+        part = found.agg(F.count(F.lit(1)).alias("n")).select(F.lit(said).alias("said"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(S.STEP)
 def step_round_trip(spark, d):
     """Elements with their sets, storeys and materials as STEP text and back; names hold what ends statements elsewhere."""

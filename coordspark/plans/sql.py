@@ -290,7 +290,7 @@ RECORD_TEXTS = """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'soft' ELSE 'h
 PLACED = f"""WITH t AS ({X.TRIANGLES}) SELECT express_id, tri_idx, {", ".join(f"2 * z{i} + express_id % 10 AS x{i}, 2 * y{i} + 5 AS y{i}, 0 - 2 * x{i} - express_id % 10 AS z{i}" for i in range(3))} FROM t"""
 WIRE = on_elements("""SELECT express_id, global_id, CASE WHEN express_id % 5 = 0 OR express_id % 7 = 0 THEN 'IfcBuildingElementProxy' ELSE ifc_type END AS ifc_type, name,
   CASE WHEN express_id % 3 <> 0 THEN material END AS object_type, storey, material || ', ' || model_id AS material, CASE WHEN express_id % 2 = 0 THEN 1 ELSE 0 END AS sets FROM e""")
-UPDATED = on_elements("SELECT express_id, CASE WHEN express_id = 7 THEN 'seven' ELSE name END AS name, CASE WHEN express_id = 7 THEN 'L9' ELSE storey END AS storey FROM e WHERE express_id < 20")
+UPDATED = on_elements("SELECT express_id, CASE WHEN express_id = 7 THEN 'seven' ELSE name END AS name, CASE WHEN express_id = 7 THEN 'L9' ELSE storey END AS storey FROM e")
 COMMANDS_JSONL = """SELECT '{"messages":[{"role":"system","content":"Answer."},{"role":"user","content":"' || p_name || '"}' || CASE WHEN p_partkey % 3 = 0 THEN ',{"role":"assistant","content":"' || p_brand || '"}' ELSE '' END
   || '],"matched":' || CASE WHEN p_partkey % 3 = 0 THEN 'true' ELSE 'false' END || ',"path":"' || CASE WHEN p_size % 2 = 0 THEN 'fast' ELSE 'smart' END || '"}' AS value FROM part"""
 IDS = on_elements("""SELECT DISTINCT 'R & D' AS title, 'On <' || ifc_type || '>' AS name, upper(ifc_type) AS entity, CASE ifc_type WHEN 'IfcWall' THEN 'property: Pset_IfcWall.FireRating'
@@ -325,3 +325,20 @@ SENT_COLUMNS = ("user_id AS global_id", "timestamp_seconds(event_id) AS ts", "ev
 CHANGED_CONTENT = f"""WITH s AS (SELECT {', '.join(c for c in SENT_COLUMNS if ' AS ts' not in c)} FROM events) SELECT * FROM s QUALIFY hash IS DISTINCT FROM lag(hash) OVER (PARTITION BY global_id ORDER BY pos)"""
 REMOTE = "SELECT o_custkey AS id, o_orderpriority || CAST(o_orderkey AS VARCHAR(20)) AS value, o_orderkey % 1000 AS updated_at FROM orders WHERE o_orderkey % 7 < 3"
 SYNCED = f"WITH r AS ({REMOTE}) SELECT id, max(updated_at) AS updated_at, max(value) AS value FROM r AS q WHERE updated_at = (SELECT max(updated_at) FROM r WHERE r.id = q.id) GROUP BY id"
+BCF = f"""WITH i AS ({ISSUES}), g AS (SELECT global_id, min(express_id) AS express_id FROM ({X.ELEMENTS}) AS e GROUP BY 1), c AS (SELECT *, id % 7 <> 0 AS listed, 'G' || CAST(id % 150 AS VARCHAR) AS g1, 'G' || CAST(id % 90 AS VARCHAR) AS g2 FROM i)
+SELECT v.version, title, 'Clash' AS type, status, priority, description, CASE WHEN id % 2 = 1 THEN 'A. B' END AS assignee, CASE WHEN id % 3 = 0 THEN 'a & b|<' || status || '>' ELSE '' END AS labels, CASE WHEN id % 2 = 0 THEN CAST(id * 10 AS VARCHAR) END AS revit_a, CASE WHEN id % 4 = 0 THEN CAST(id * 10 + 1 AS VARCHAR) END AS revit_b,
+  CASE WHEN id % 5 <> 0 THEN CAST(id % 50 AS DOUBLE) END AS x, CASE WHEN id % 5 <> 0 THEN CAST((0 - id) % 7 AS DOUBLE) END AS z, CASE WHEN id % 5 <> 0 THEN CAST(40 + id % 20 AS DOUBLE) END AS angle,
+  CASE WHEN NOT listed THEN '' WHEN g1 = g2 THEN g1 || '|unknown' ELSE g1 || '|unknown|' || g2 END AS components,
+  CASE WHEN NOT listed THEN '' ELSE concat_ws('|', CAST(a.express_id AS VARCHAR), CASE WHEN g1 <> g2 THEN CAST(b.express_id AS VARCHAR) END) END AS elements
+FROM c LEFT JOIN g AS a ON a.global_id = g1 LEFT JOIN g AS b ON b.global_id = g2, (SELECT unnest(['2.1', '3.0']) AS version) AS v"""
+PROJECT = f"""SELECT 'clashes' AS section, status, count(*) AS n, count(elem_b_type) AS typed, CAST(sum(id) AS BIGINT) AS ids FROM ({X.CLASHES}) AS c GROUP BY 2 UNION ALL SELECT 'issues', substr(title, 1, 7), count(*), count(title), CAST(sum(id) AS BIGINT) FROM ({ISSUES}) AS i GROUP BY 2"""
+_PAIR = "least(elem_a_type, coalesce(elem_b_type, '?')) || ' vs ' || greatest(elem_a_type, coalesce(elem_b_type, '?'))"
+FOCUS = on_clashes(f"""SELECT * FROM (SELECT 'worst_area' AS focus, {STOREY} AS value, count(*) AS n FROM c GROUP BY 2 ORDER BY n DESC, value LIMIT 1) AS w
+UNION ALL SELECT 'by_discipline', side, count(*) FROM (SELECT unnest([discipline_a, discipline_b]) AS side FROM c) AS s GROUP BY 2
+UNION ALL SELECT 'summary', 'status: ' || status, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'summary', 'type: ' || type, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'summary', 'storey: ' || {STOREY}, count(*) FROM c GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'patterns', {_PAIR} AS pair, count(*) AS k FROM c GROUP BY 2 ORDER BY k DESC, pair LIMIT 5) AS p""")
+COMMAND_PLANS = f"""WITH c AS ({X.CLASHES}), e AS ({X.ELEMENTS}), i AS ({ISSUES}) SELECT 'show closed clashes' AS said, count(*) AS n FROM c WHERE status = 'closed' UNION ALL SELECT 'show critical', count(*) FROM c WHERE priority = 'critical'
+UNION ALL SELECT 'reset all filters', count(*) FROM c UNION ALL SELECT 'sort by priority', count(*) FROM c UNION ALL SELECT 'group by floor', count(DISTINCT {STOREY}) FROM c UNION ALL SELECT 'how many clashes?', 1 UNION ALL SELECT 'how many open clashes?', 1
+UNION ALL SELECT 'count by discipline', count(DISTINCT s) FROM (SELECT unnest([discipline_a, discipline_b]) AS s FROM c) AS q UNION ALL SELECT 'make a report', 1 UNION ALL SELECT 'analyze patterns', least(5, count(DISTINCT {_PAIR})) FROM c
+UNION ALL SELECT 'color by storey', count(DISTINCT storey) FROM e UNION ALL SELECT 'find hard clashes only', count(*) FROM e AS a JOIN e AS b ON a.pos < b.pos AND a.model_id <> b.model_id AND {overlap()} UNION ALL SELECT 'export bcf 3.0', count(*) FROM i
+UNION ALL SELECT 'resolve all soft', count(*) FROM c WHERE status = 'resolved' OR id IN (SELECT id FROM c WHERE type = 'soft') UNION ALL SELECT 'create project tower', 4 UNION ALL SELECT 'rename project to west wing', 1 UNION ALL SELECT 'set the gap to 5 cm', 3"""

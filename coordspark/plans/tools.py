@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coordspark.operators import detect, merge, quality, review, spatial
-from coordspark.sources import formats
+from coordspark.sources import bcf
 
 State = dict[str, DataFrame]
 
@@ -208,22 +208,50 @@ def _rules(s, **request):
     return {**s, "rules": detect.Rules.from_request(request)}
 
 
-@tool("export_bcf")
-def _export(s):
-    """Issues if there are any, else clashes."""
+@tool("export_bcf", version="string", path="string")
+def _export(s, version="2.1", path=None):
+    """Issues if there are any, else clashes: their documents, written as archives where a path is given."""
     rows = s["issues"] if s["issues"].limit(1).count() else s["clashes"]
-    return formats.topic_xml(rows)
+    for name in ("title", "status", "priority", "description"):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast("string"))
+    if path is not None:
+        bcf.write_archives(rows, path, version)
+    return bcf.topic_documents(rows, version)
+
+
+@tool("import_bcf", changes=True, path="string")
+def _import(s, path):
+    """The topics of archives join the issues; an issue that is there already stays as it is."""
+    issues = s["issues"]
+    found = bcf.read_archives(issues.sparkSession, path).withColumnRenamed("topic", "id")
+    kept = [F.col(c).cast(issues.schema[c].dataType).alias(c) for c in issues.columns if c in found.columns]
+    own = issues.select(bcf.topic_id(F.col("id").cast("string")).alias("id")).unionByName(issues.select(F.col("id").cast("string")))
+    new = found.join(own, "id", "left_anti").select(*kept)
+    return _with(s, issues=issues.unionByName(new, allowMissingColumns=True))
+
+
+@tool("analyze_clashes", focus="string")
+def _analyse(s, focus="summary"):
+    return review.FOCUS[focus](s["clashes"])
+
+
+@tool("query_metric", metric="string")
+def _metric(s, metric="clash_count"):
+    return review.METRICS[metric](s["clashes"], s["issues"])
+
+
+@tool("generate_report")
+def _report(s):
+    return review.report(s["clashes"], s["issues"])
 
 
 @tool("send_nl_command", text="string")
 def _command(s, text):
-    intent = read_command(text)
-    name = INTENT_TOOLS.get(intent["intent"])
-    return call(s, name, **{k: v for k, v in intent.items() if k != "intent" and k in TOOLS[name].parameters}) if name else s["clashes"].limit(0)
+    """The rows, or the state, of the plan that a text is read as."""
+    from coordspark.plans import commands
 
+    return commands.run(text, s)
 
-# Which tool answers an intent of ``read_command``.
-INTENT_TOOLS = {"run_detection": "run_detection", "filter_status": "filter_clashes", "filter_priority": "filter_clashes", "group_by": "group_clashes", "sort_by": "sort_clashes", "export_bcf": "export_bcf", "query": "get_status"}
 
 _STATUS = r"\b(open|confirmed|denied|in[_ ]progress|resolved|closed|approved)\b"
 

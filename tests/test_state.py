@@ -1,6 +1,7 @@
 """Folds, formats, tools and functions on hand-written rows."""
 
 import base64
+import json
 import random
 import struct
 from datetime import datetime
@@ -71,15 +72,18 @@ def test_text(spark):
 
 def test_formats(spark, tmp_path):
     issues = spark.createDataFrame([("i1", 'A <b> & "c"', "open", "high", None), ("i2", "two", "closed", "low", "d")], "id string, title string, status string, priority string, description string")
-    formats.write_topics(issues, f"file://{tmp_path}/bcf").collect()
-    back = {(r.title, r.status, r.priority, r.description) for r in formats.read_topics(spark, f"{tmp_path}/bcf").collect()}
-    assert back == {('A <b> & "c"', "open", "high", None), ("two", "closed", "low", "d")}
 
     rules = formats.ids_rules(formats.ids_xml(formats.ids_specs(spark), "T & U", "2024-01-01")).collect()
     assert len(rules) == 23 and rules[0].title == "T & U" and {r.name for r in rules} >= {"GlobalId required", "IsExternal on walls"}
 
-    formats.write_project({"issues": issues.drop("description")}, f"{tmp_path}/p", "2024-01-01", "mark")
-    assert formats.project_section(formats.read_project(spark, f"{tmp_path}/p", "mark"), "issues").count() == 2
+    formats.write_project({"issues": issues.drop("description"), "none": issues.limit(0), "clashes": issues.select("id").withColumn("snapshot", F.lit("x"))}, f"{tmp_path}/p", "2024-01-01", "ma\"rk")
+    back = formats.read_project(spark, f"{tmp_path}/p", 'ma"rk')
+    assert {r.title for r in formats.project_section(back, "issues").collect()} == {'A <b> & "c"', "two"} and formats.project_section(back, "clashes").columns == ["id"]
+    (part,) = (tmp_path / "p").glob("part-*")
+    document = json.loads(part.read_text())
+    assert (document["_v"], document["savedAt"], document["none"], len(document["clashes"])) == (1, "2024-01-01", [], 2)
+    formats.write_project({"only": issues.limit(0)}, f"{tmp_path}/q", "", "m")
+    assert json.loads(next((tmp_path / "q").glob("part-*")).read_text())["only"] == []
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "x.json").write_text('{"_cc": "no"}')
     assert formats.read_project(spark, f"{tmp_path}/other", "mark").count() == 0
@@ -87,11 +91,6 @@ def test_formats(spark, tmp_path):
     mesh = spark.createDataFrame([(1, base64.b64encode(struct.pack("<9f", *range(9))).decode(), None), (2, None, None)], "id bigint, positions string, indices string")
     assert [r.asDict() for r in formats.decode_meshes(mesh).select("id", "x0", "z2").collect()] == [{"id": 1, "x0": 0.0, "z2": 8.0}]
 
-    (tmp_path / "m.ifc").write_text("#1=IFCWALL('g1',#2,'It''s',$);\n#2=IFCOWNERHISTORY(#3);\n")
-    assert [(r.express_id, r.ifc_type, r.name) for r in formats.read_step(spark, f"{tmp_path}/m.ifc").collect()] == [(1, "IFCWALL", "It's")]
-    (tmp_path / "n.ifc").write_text("ISO-10303-21;\nHEADER;\nFILE_SCHEMA(('IFC4'));\nENDSEC;\nDATA;\n#1=IFCWALL('g1',\n  #2,'A;\nB',$);\n#3 = IFCSLAB('g3',$,$,$);\nENDSEC;\n")
-    assert [(r.express_id, r.ifc_type, r.name) for r in formats.read_step(spark, f"{tmp_path}/n.ifc").collect()] == [(1, "IFCWALL", "A;\nB"), (3, "IFCSLAB", None)]
-
 
 def test_ids_rules_with_gaps(spark):
     """A specification without entity or base name shifts none after it; prefixes and empty elements are read."""
@@ -139,7 +138,7 @@ def test_tools(spark):
     assert [r.id for r in tools.call(state, "send_nl_command", text="show closed clashes").collect()] == [2]
     assert tools.read_command("run hard clashes only between structural and mep") == {"intent": "run_detection", "hard": True, "maxGap": 0.0, "duplicates": False, "modelA": "structural", "modelB": "mep"}
     assert tools.read_command("near misses within 75 mm, check pipes against beams")["maxGap"] == 75.0
-    assert len(tools.manifest()) == len(tools.TOOLS) == 31
+    assert len(tools.manifest()) == len(tools.TOOLS) == 35
 
 
 def test_streamed_rate_limit(spark, tmp_path):
