@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
@@ -12,7 +13,7 @@ from coordspark.functions import geometry, text
 from coordspark.operators import cluster, curate, detect, merge, quality, review, spatial
 from coordspark.plans import commands
 from coordspark.plans import sql as S
-from coordspark.sources import bcf, fixtures, formats, step, versions
+from coordspark.sources import bcf, fixtures, formats, relational, step, versions
 from coordspark.sources.scratch import new_path
 from coordspark.streaming import jobs
 
@@ -772,6 +773,22 @@ def step_round_trip(spark, d):
     )
 
 
+@query(S.RELATIONAL)
+def relational_push(spark, d):
+    """Projects and issues kept in a database: first rows, a push with conflicts, a project deleted with its issues, read back in parts."""
+    url = spark.conf.get("coordspark.jdbc.url", f"jdbc:derby:memory:{uuid.uuid4().hex};create=true")
+    store = relational.Store(spark, url)
+    store.create()
+    store.push(models(spark, d).select(F.col("model_id").alias("id"), "name"), "projects")
+    project = F.concat(F.lit("M"), (F.col("id") % 3).cast("string")).alias("project_id")
+    store.push(fixtures.frame(spark, d, S.SERVER).select(project, "id", "data", F.lit("first").alias("updated_by"), F.timestamp_seconds("updated_at").alias("updated_at")), "issues")
+    sent = fixtures.frame(spark, d, S.CLIENT).select(project, "id", "data", F.lit("second").alias("updated_by"), F.timestamp_seconds("now").alias("updated_at"), F.timestamp_seconds("seen_at").alias("seen_at"))
+    conflicts = store.push(sent, "issues", "updated_at").select("id", F.lit(True).alias("conflict"))
+    store.delete(models(spark, d).where("name = 'Structure'").select(F.col("model_id").alias("id")), "projects")
+    stored = store.read("issues", "id", 5000)
+    return stored.join(conflicts, "id", "left").select("project_id", "id", "data", "updated_by", F.unix_seconds("updated_at").alias("updated_at"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
+
+
 # --- streams
 
 

@@ -211,6 +211,8 @@ CLIENT = "SELECT o_orderkey AS id, o_orderstatus AS data, CASE WHEN o_orderkey %
 _UPSERT = f"WITH s AS ({SERVER}), c AS ({CLIENT}), j AS (SELECT coalesce(s.id, c.id) AS id, s.data AS sd, c.data AS cd, s.updated_at AS st, c.now AS ct, c.id IS NOT NULL AS sent, coalesce(c.id IS NOT NULL AND s.updated_at > c.seen_at, false) AS clash FROM s FULL JOIN c ON s.id = c.id) "
 UPSERT_STATE = _UPSERT + "SELECT id, CASE WHEN sent AND NOT clash THEN cd ELSE sd END AS data, CASE WHEN sent AND NOT clash THEN ct ELSE st END AS updated_at FROM j"
 UPSERT_CONFLICTS = _UPSERT + "SELECT id FROM j WHERE clash"
+RELATIONAL = _UPSERT + """SELECT 'M' || CAST(id % 3 AS VARCHAR) AS project_id, id, CASE WHEN sent AND NOT clash THEN cd ELSE sd END AS data, CASE WHEN sent AND NOT clash THEN 'second' ELSE 'first' END AS updated_by,
+  CASE WHEN sent AND NOT clash THEN ct ELSE st END AS updated_at, clash AS conflict FROM j WHERE id % 3 <> 1"""
 DELTA = on_elements("""SELECT global_id, express_id, CASE WHEN express_id % 10 = 0 THEN name || ' v2' ELSE name END AS name FROM e WHERE express_id % 10 = 0
   OR (global_id IN (SELECT global_id FROM e WHERE express_id % 4 <> 0) AND global_id NOT IN (SELECT global_id FROM e WHERE express_id % 10 = 0))""")
 CHANGE_COLUMNS = (
