@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from coordspark.functions import geometry, text
 from coordspark.operators import cluster, curate, detect, merge, quality, review, spatial
 from coordspark.plans import commands
 from coordspark.plans import sql as S
-from coordspark.sources import bcf, fixtures, formats, relational, step, versions
+from coordspark.sources import bcf, fixtures, formats, glb, relational, step, versions
 from coordspark.sources.scratch import new_path
 from coordspark.streaming import jobs
 
@@ -628,6 +629,29 @@ def placed_triangles(spark, d):
     return formats.place_triangles(t.drop("express_id", "model_id"), t.select("express_id", "geometry_id", matrix.alias("matrix"))).drop("geometry_id")
 
 
+@query(S.PLACED)
+def scene_triangles(spark, d):
+    """The same triangles from binary scene files: written as meshes with a matrix each, read back by nodes and byte ranges."""
+    import numpy as np
+
+    def pack(batches):
+        for b in batches:
+            corners = b.select(glb.CORNERS).to_pandas().to_numpy().astype("<f4")
+            # corners in another order, put right by the indices
+            points = np.roll(corners.reshape(-1, 3, 3), 1, axis=1)
+            order = np.array([1, 2, 0], dtype="<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("express_id"), b.column("matrix"), pa.array([p.tobytes() for p in points], pa.binary()), pa.array([order] * len(points), pa.binary())], ["express_id", "matrix", "positions", "indices"])
+
+    shift = (F.col("express_id") % 10).cast("double")
+    matrix = F.array(*(F.lit(float(v)) for v in (0, 0, -2, 0, 0, 2, 0, 0, 2, 0, 0, 0)), shift, F.lit(5.0), -shift, F.lit(1.0))
+    t = triangles(spark, d).select(F.col("express_id").cast("bigint"), matrix.alias("matrix"), *glb.CORNERS)
+    path = new_path(spark, "scenes")
+    packed = t.mapInArrow(pack, "express_id bigint, matrix array<double>, positions binary, indices binary")
+    glb.write_meshes(packed.select("express_id", F.concat(F.lit("E"), "express_id").alias("name"), F.lit(None).cast("string").alias("geometry_id"), "positions", "indices", "matrix"), path)
+    back = glb.read_placed(spark, path)
+    return back.select(F.get_json_object("extras", "$.expressId").cast("bigint").alias("express_id"), F.col("tri_idx").cast("int").alias("tri_idx"), *glb.CORNERS)
+
+
 @query(S.WIRE)
 def wire_elements(spark, d):
     e = elements(spark, d)
