@@ -12,7 +12,8 @@ stratum needs about ``labels_needed`` good labels.
 
 Defined results: a null text has no words and fails the base rules; a stratum with few labels gets no cutoffs and
 keeps its documents (base rules apart); a null language is the stratum ``und``; a document with several labels is
-good if all are good; null labels are ignored; repeated rows are judged alike; an empty table gives an empty result;
+good if all are good; null labels are ignored; repeated rows are judged alike, and a labelled document counts once in the
+holdout of a stratum, whatever its number of rows; an empty table gives an empty result;
 extra columns are ignored; texts of any length are counted whole.
 """
 
@@ -145,9 +146,9 @@ def certified_cutoffs(signals: DataFrame, labels: DataFrame, risk: float = RISK,
     # a value's level is the number of cutoffs that it is above
     level = {name: sum(((F.col(name) > c).cast("int") for c in cutoffs[1:]), (F.col(name) > cutoffs[0]).cast("int")) for name, (_, cutoffs) in grid.items()}
     places = max(len(c) for _, c in grid.values())
-    held = save(
-        signals.join(marks, "doc_id").select("stratum", "good", (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(DESIGN)) == 0).alias("design"), *(x.alias(name) for name, x in level.items())), "quality-held"
-    )
+    # a labelled document counts once in a stratum, however many rows it has: as rejected where any of them is
+    labelled = signals.join(marks, "doc_id").groupBy("doc_id", "stratum", "good").agg(*(F.max(x).alias(name) for name, x in level.items()))
+    held = save(labelled.select("stratum", "good", (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(DESIGN)) == 0).alias("design"), *grid), "quality-held")
     good, bad = F.count_if(F.col("good") == 1), F.count_if(F.col("good") == 0)
     # design: the balance of each cutoff
     rows = held.where("design").select("stratum", "good", F.inline(F.array(*(F.struct(F.lit(name).alias("signal"), F.col(name).alias("level")) for name in grid))))
@@ -174,10 +175,13 @@ def certified_cutoffs(signals: DataFrame, labels: DataFrame, risk: float = RISK,
     return found
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, carried: tuple[str, ...] = ()) -> DataFrame:
-    """The ``carried`` columns, doc_id, the counts, base_failed and kept for every document."""
-    signals = save(counts(docs, *carried).withColumns({name: F.expr(expr).cast("double") for name, (expr, _) in SIGNALS.items()}), "quality-signals")
-    limits = certified_cutoffs(signals, labels, risk, delta)
+def signalled(docs: DataFrame, *carried: str) -> DataFrame:
+    """The counts of each document, its signals and the ``carried`` columns."""
+    return counts(docs, *carried).withColumns({name: F.expr(expr).cast("double") for name, (expr, _) in SIGNALS.items()})
+
+
+def verdicts(signals: DataFrame, limits: DataFrame, *carried: str) -> DataFrame:
+    """The ``carried`` columns, doc_id, the counts, base_failed and kept, by the cutoffs of each stratum."""
     joined = signals.join(small(limits).select("stratum", *(F.col(name).alias(f"{name}_max") for name in SIGNALS)), "stratum", "left")
     above = F.lit(False)
     for name in SIGNALS:
@@ -186,7 +190,19 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     return joined.select(*carried, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~above).alias("kept"))
 
 
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The ``carried`` columns, doc_id, the counts, base_failed and kept for every document."""
+    signals = save(signalled(docs, *carried), "quality-signals")
+    return verdicts(signals, certified_cutoffs(signals, labels, risk, delta), *carried)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The documents that are kept, with all their columns. Each row goes by its own text, whatever its doc_id."""
+    """The documents that are kept, with all their columns. Each row goes by its own text, whatever its doc_id.
+
+    The cutoffs are learned from stored counts without texts; the rows are then counted again as they pass, so that no copy of the corpus is stored.
+    """
+    signals = save(signalled(docs), "quality-signals")
+    limits = certified_cutoffs(signals, labels, risk, delta)
+    drop(signals)
     rows = docs.select("doc_id", "lang", "text", F.struct("*").alias("_row"))
-    return judge(rows, labels, risk, delta, ("_row",)).where("kept").select("_row.*")
+    return verdicts(signalled(rows, "_row"), limits, "_row").where("kept").select("_row.*")
