@@ -1,5 +1,6 @@
 """Line dedup, LM scoring, quality rules, the Jaccard join and the pipeline on edge cases and against brute force."""
 
+import hashlib
 import math
 import pickle
 import random
@@ -456,3 +457,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids[3] == ids[2] - {23}
     assert ids[4] == ids[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
+
+
+def test_pipeline_keeps_one_of_equal_rows(spark, tmp_path):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(n))
+    a, b, c, d = (prose(80) for _ in range(4))
+    schema = DOCS + ", n_removed string, _row int, _gone int"
+    rows = [(None, a), (None, a), (None, a), (3, b), (3, b), (None, b), (5, c), (6, d), (None, None), (7, None), (None, "")]
+    full = [(i, t, None if i == 6 else "en", "s", len(t or ""), "x", 1, 2) for i, t in rows]
+    for name, data, kind in (("documents", full, schema), ("labels", [], "doc_id bigint, quality int, toxic int"), ("benchmark", [], "item_id bigint, text string")):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    once = corpus_pipeline.one_of_copies(docs)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    assert once.columns == docs.columns
+    assert sorted(map(key, once.collect())) == sorted([(True, 0, a), (False, 3, b), (False, 5, c), (False, 6, d), (True, 0, ""), (True, 0, ""), (False, 7, "")])
+    left = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.decoded_sha256 for r in left) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in (a, b, c, d))
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    for name, kind in (("documents", DOCS), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_labelled_document_counts_once(spark):
+    """Thirty rows of one good document are one label: too few for a cutoff."""
+    grid = {"symbols": ("n_symbols", (0.5,)), "marks": ("n_marks", (0.5,))}
+    kind = "doc_id bigint, stratum string, symbols double, marks double"
+    signals = spark.createDataFrame([(n // 30, "en", 0.0 if n < 900 else 1.0, 0.0) for n in range(1200)], kind)
+    labels = [(n, int(n < 30)) for n in range(40)]
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    assert quality.certified_cutoffs(signals, marks, weight=0.5, grid=grid).count() == 0
+    many = spark.createDataFrame([(n, "en", 0.0 if n < 900 else 1.0, 0.0) for n in range(1200)], kind)
+    apart = spark.createDataFrame([(n, int(n < 900)) for n in range(1200)], "doc_id bigint, quality int")
+    assert quality.certified_cutoffs(many, apart, weight=0.5, grid=grid).count() == 1
