@@ -180,10 +180,11 @@ def change_table(spark: SparkSession, path: str, schema: str, fields: list[str],
 
 
 def last_write_table(spark: SparkSession, path: str, schema: str, keys: list[str], value: str = "value", order: str = "pos") -> VersionedTable:
-    """A table of last writes: per key the value with the greatest ``order``, whatever batch it came with; of equal ones the later batch's."""
+    """A table of last writes: per key the value with the greatest ``order``, whatever batch it came with; of equal ones the later batch's, within a batch the greatest value."""
 
     def reduce(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
+        place = F.when(F.col(order).isNotNull(), F.struct(order, value))
+        return rows.groupBy(*keys).agg(F.max_by(value, place).alias(value), F.max(order).alias(order))
 
     def fold(base: DataFrame, deltas: DataFrame) -> DataFrame:
         both = base.withColumn("_seq", F.lit(-1)).unionByName(deltas)
