@@ -30,3 +30,8 @@ def test_sync_rounds_of_equal_times(spark, tmp_path):
     """Records of one customer that change at the same time: the greatest value stays, whatever the order of the rows."""
     orders = "SELECT o_orderkey * 1000 AS o_orderkey, o_custkey % 20 AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders_given ORDER BY hash(o_orderkey)"
     same(spark, "sync_rounds", *folder(tmp_path, orders=orders))
+
+
+def test_model_lookup_with_keys_beyond_a_million(spark, tmp_path):
+    part = "SELECT * FROM part_given UNION ALL SELECT * REPLACE (p_partkey + 1000000 AS p_partkey) FROM part_given"
+    same(spark, "model_lookup", *folder(tmp_path, part=part))
