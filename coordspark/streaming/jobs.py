@@ -97,7 +97,7 @@ def _forget_at(state: GroupState, last: pd.Timestamp, idle_ms: int) -> None:
     state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
 
 
-def assembly_progress(messages: DataFrame, idle_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
+def assembly_progress(messages: DataFrame, idle_ms: int | None = 3_600_000, late: str = "10 minutes") -> DataFrame:
     """model_id, received, status, pos of a model stream (model_id, ts, pos, kind, n): a row per batch and model, in update mode; start it under ``rocksdb``.
 
     Elements themselves are written as they come; the end mark, or an error, settles them: complete, partial (an error after
@@ -126,16 +126,18 @@ def assembly_progress(messages: DataFrame, idle_ms: int = 3_600_000, late: str =
                 elif kind == "error":
                     status = "partial" if received else "failed"
             state.update((received, status, last))
-            _forget_at(state, rows.ts.max(), idle_ms)
+            if idle_ms is not None:
+                _forget_at(state, rows.ts.max(), idle_ms)
         yield pd.DataFrame({"model_id": [key[0]], "received": [received], "status": [status], "pos": [last]})
 
     kind = messages.schema["model_id"].dataType.simpleString()
-    rows = messages.select("model_id", "ts", "pos", "kind", "n").withWatermark("ts", late)
-    return rows.groupBy("model_id").applyInPandasWithState(step, f"model_id {kind}, received bigint, status string, pos bigint", "received bigint, status string, pos bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    rows = messages.select("model_id", "ts", "pos", "kind", "n")
+    rows, timeout = (rows, GroupStateTimeout.NoTimeout) if idle_ms is None else (rows.withWatermark("ts", late), GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("model_id").applyInPandasWithState(step, f"model_id {kind}, received bigint, status string, pos bigint", "received bigint, status string, pos bigint", "update", timeout)
 
 
-def assemble(messages: DataFrame, path: str | None = None, checkpoint: str | None = None, idle_ms: int = 3_600_000) -> DataFrame:
-    """model_id, received, status of all models of a stream that has been read to its end."""
+def assemble(messages: DataFrame, path: str | None = None, checkpoint: str | None = None, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """model_id, received, status of all models of a stream that has been read to its end; ``idle_ms`` as in ``assembly_progress``."""
     spark = messages.sparkSession
     kind = messages.schema["model_id"].dataType.simpleString()
     table = last_write_table(spark, path or new_path(spark, "models"), f"model_id {kind}, value struct<received:bigint,status:string>, pos bigint", ["model_id"])

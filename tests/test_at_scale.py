@@ -32,6 +32,13 @@ def test_sync_rounds_of_equal_times(spark, tmp_path):
     same(spark, "sync_rounds", *folder(tmp_path, orders=orders))
 
 
+def test_stream_assembly_waits_for_silent_models(spark, tmp_path):
+    """Models that are silent for hours of the stream's time, and then go on."""
+    events = "SELECT k * 20000 + event_id AS event_id, ts, event_id % 40 + 40 * (k % 2) AS user_id, event_type, value, props FROM events_given, range(4) AS r(k)"
+    got = same(spark, "stream_assembly", *folder(tmp_path, events=events))
+    assert (got.status == "receiving").any()
+
+
 def test_model_lookup_with_keys_beyond_a_million(spark, tmp_path):
     part = "SELECT * FROM part_given UNION ALL SELECT * REPLACE (p_partkey + 1000000 AS p_partkey) FROM part_given"
     same(spark, "model_lookup", *folder(tmp_path, part=part))
