@@ -1,9 +1,14 @@
 """Queries and operators where tables are larger, or lie otherwise, than the test data."""
 
+import math
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import rows
 
+from coordspark.operators import spatial
 from coordspark.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -42,3 +47,19 @@ def test_stream_assembly_waits_for_silent_models(spark, tmp_path):
 def test_model_lookup_with_keys_beyond_a_million(spark, tmp_path):
     part = "SELECT * FROM part_given UNION ALL SELECT * REPLACE (p_partkey + 1000000 AS p_partkey) FROM part_given"
     same(spark, "model_lookup", *folder(tmp_path, part=part))
+
+
+def broadcast_joins(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_min_distance_of_small_and_large_meshes(spark):
+    rng = random.Random(5)
+    points = lambda sizes: [(p, *(float(rng.randrange(500)) for _ in range(3))) for p, n in enumerate(sizes) for _ in range(n)]
+    a, b = points([3, 90, 5]), points([4, 100, 0])
+    schema = "pair bigint, x double, y double, z double"
+    got = spatial.min_distance(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 40)
+    assert broadcast_joins(got) == 0
+    least = {p: min((math.dist(u[1:], v[1:]) for u in a for v in b if u[0] == p == v[0]), default=math.inf) for p in range(3)}
+    assert {r.pair: pytest.approx(r.distance) for r in got.collect()} == {p: d for p, d in least.items() if d <= 40}
