@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import rows
 
+from coordspark.functions import text
 from coordspark.operators import spatial
 from coordspark.plans import registry
 
@@ -63,3 +64,27 @@ def test_min_distance_of_small_and_large_meshes(spark):
     assert broadcast_joins(got) == 0
     least = {p: min((math.dist(u[1:], v[1:]) for u in a for v in b if u[0] == p == v[0]), default=math.inf) for p in range(3)}
     assert {r.pair: pytest.approx(r.distance) for r in got.collect()} == {p: d for p, d in least.items() if d <= 40}
+
+
+def test_box_join_compares_few_pairs_that_do_not_meet(spark):
+    """Crowded boxes of several levels: each pair comes once, and the keys leave few others to be compared."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        low = [rng.randrange(-8000, 8000) for _ in range(3)]
+        size = [rng.choice([0, 900, 2500, 5000]) for _ in range(3)]
+        rows.append((i, *low, *(p + s for p, s in zip(low, size, strict=True))))
+    df = spark.createDataFrame(rows, "id int, x0 int, y0 int, z0 int, x1 int, y1 int, z1 int")
+    meet = lambda a, b: all(a[k] - 20 <= b[k + 3] and a[k + 3] + 20 >= b[k] for k in (1, 2, 3))
+    want = sorted((a[0], b[0]) for a in rows for b in rows if meet(a, b))
+    assert sorted((r.a_id, r.b_id) for r in spatial.box_join(df, df, 20).select("a_id", "b_id").collect()) == want
+    a, b = (spatial._cells(df, 20, 3000, [0, 1], side) for side in "ab")
+    assert a.join(b, [f"_k{i}" for i in range(4)]).count() < 8 * len(want)  # under the keys alone
+    upside = df.withColumns({"x0": F.col("x1"), "x1": F.col("x0")})  # boxes that are inside out meet what holds both their sides, and fail no task
+    turned = [(i, d, y, z, x, v, w) for i, x, y, z, d, v, w in rows]
+    assert sorted((r.a_id, r.b_id) for r in spatial.box_join(upside, df, 20).select("a_id", "b_id").collect()) == sorted((a[0], b[0]) for a in turned for b in rows if meet(a, b))
+
+
+def test_descriptions_of_missing_values(spark):
+    df = spark.createDataFrame([("IfcWall", None, "M", None, "n", None)], "ta string, na string, ma string, tb string, nb string, mb string")
+    assert df.select(text.clash_description("ta", "na", "ma", "tb", "nb", "mb")).first()[0] == "IfcWall: null (M) vs null: n (null)"
