@@ -4,16 +4,18 @@ Writing: ``topic_documents`` makes the XML of each topic in column expressions;
 archive under a name that readers pass over, and gives the archives their names only when all tasks have succeeded. A task
 that fails, or is run twice, leaves nothing that is read.
 
-Reading: the archives' directories are listed first, then their members are dealt out, so a large archive is read by many
-tasks, each through a seekable stream; no archive is held whole. The XML is parsed with schemas, and components are
+Reading: each archive's directory is read once, then its members are dealt out by their places, so a large archive is read by
+many tasks, each through a seekable stream; no archive is held whole. The XML is parsed with schemas, and components are
 resolved to elements by joins on their global ids.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,8 @@ from coordspark.functions.text import xml_escape
 VERSIONS = ("2.1", "3.0")
 #: Topics of an archive that one task reads.
 TOPICS_A_TASK = 2000
+#: Topics of a written archive: its directory is held in memory until it is closed.
+TOPICS_AN_ARCHIVE = 50_000
 # The labels that carry the ids of a clash's two elements in the authoring tool.
 REVIT_LABELS = {"revit_a": "cc:revitA:", "revit_b": "cc:revitB:"}
 
@@ -98,8 +102,7 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str
-    topics: int
+    names: list[str]
 
 
 class ArchiveWriter(DataSourceWriter):
@@ -107,42 +110,44 @@ class ArchiveWriter(DataSourceWriter):
         self.path, self.version, self.overwrite = path.rstrip("/"), version, overwrite
 
     def write(self, iterator: Iterator) -> Written:
-        """One archive a task, streamed; its name begins with a dot until it is committed."""
+        """Archives of a task, streamed, each of up to ``TOPICS_AN_ARCHIVE`` topics; their names begin with a dot until they are committed."""
         store, base = _store(self.path)
         store.create_dir(base, recursive=True)
-        name, n = f"{uuid.uuid4().hex}.bcfzip", 0
-        with store.open_output_stream(f"{base}/.{name}") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive:
-            detail = "" if self.version == "3.0" else f"<DetailedVersion>{self.version}</DetailedVersion>"
-            archive.writestr("bcf.version", f'<?xml version="1.0" encoding="UTF-8"?>\n<Version VersionId="{self.version}">{detail}</Version>')
-            if self.version == "3.0":
-                archive.writestr("extensions.xml", '<?xml version="1.0" encoding="UTF-8"?>\n<Extensions/>')
-            for row in iterator:
-                archive.writestr(f"{row.topic}/markup.bcf", row.markup)
-                if row.viewpoint is not None:
-                    archive.writestr(f"{row.topic}/viewpoint.bcfv", row.viewpoint)
-                n += 1
-        return Written(name, n)
+        names, rows = [], iter(iterator)
+        row = next(rows, None)
+        while row is not None:
+            names.append(f"{uuid.uuid4().hex}.bcfzip")
+            n = 0
+            with store.open_output_stream(f"{base}/.{names[-1]}") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive:
+                detail = "" if self.version == "3.0" else f"<DetailedVersion>{self.version}</DetailedVersion>"
+                archive.writestr("bcf.version", f'<?xml version="1.0" encoding="UTF-8"?>\n<Version VersionId="{self.version}">{detail}</Version>')
+                if self.version == "3.0":
+                    archive.writestr("extensions.xml", '<?xml version="1.0" encoding="UTF-8"?>\n<Extensions/>')
+                while row is not None and n < TOPICS_AN_ARCHIVE:
+                    archive.writestr(f"{row.topic}/markup.bcf", row.markup)
+                    if row.viewpoint is not None:
+                        archive.writestr(f"{row.topic}/viewpoint.bcfv", row.viewpoint)
+                    n, row = n + 1, next(rows, None)
+        return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, base = _store(self.path)
         store.create_dir(base, recursive=True)
-        kept = [m for m in messages if m is not None]
+        kept = [name for m in messages if m is not None for name in m.names]
         if self.overwrite:
+            new = set(kept)
             for f in store.get_file_info(fs.FileSelector(base)):
-                if f.base_name.endswith(".bcfzip") and f.base_name[1:] not in {m.name for m in kept}:
+                if f.base_name.endswith(".bcfzip") and f.base_name[1:] not in new:
                     store.delete_file(f.path)
-        for m in kept:
-            if m.topics:
-                store.move(f"{base}/.{m.name}", f"{base}/{m.name}")
-            else:
-                store.delete_file(f"{base}/.{m.name}")
+        for name in kept:
+            store.move(f"{base}/.{name}", f"{base}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         """What successful tasks have written goes; what failed ones left has names that are never read, and the next overwrite clears it."""
         store, base = _store(self.path)
-        for m in messages:
-            if m is not None and store.get_file_info(f"{base}/.{m.name}").type != fs.FileType.NotFound:
-                store.delete_file(f"{base}/.{m.name}")
+        for name in (n for m in messages if m is not None for n in m.names):
+            if store.get_file_info(f"{base}/.{name}").type != fs.FileType.NotFound:
+                store.delete_file(f"{base}/.{name}")
 
 
 class ArchiveSource(DataSource):
@@ -160,7 +165,7 @@ class ArchiveSource(DataSource):
 
 
 def write_archives(issues: DataFrame, path: str, version: str = "2.1", mode: str = "append") -> None:
-    """Write issues (see ``topic_documents``) to archives below ``path``, one a task."""
+    """Write issues (see ``topic_documents``) to archives below ``path``, of up to ``TOPICS_AN_ARCHIVE`` topics."""
     issues.sparkSession.dataSource.register(ArchiveSource)
     topic_documents(issues, version).write.format("issue-archive").option("path", path).option("version", version).mode(mode).save()
 
@@ -184,38 +189,57 @@ def members(spark: SparkSession, path: str, topics_a_task: int = TOPICS_A_TASK)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!.]*.bcf*").load(path).select("path")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """archive, version and runs of topics' names, from the directory at the archive's end."""
+        """archive, version and runs of topics with the places of their members, from the directory at the archive's end."""
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 store, name = _store(uri)
+                topics: dict[str, list[tuple]] = {}
                 with store.open_input_file(name) as f, zipfile.ZipFile(f) as archive:
-                    inside = archive.namelist()
-                    found = re.search(r'VersionId="([^"]*)"', archive.read("bcf.version").decode()) if "bcf.version" in inside else None
-                topics = sorted({n.rsplit("/", 1)[0] for n in inside if n.endswith("/markup.bcf")})
-                runs = [topics[i : i + topics_a_task] for i in range(0, len(topics), topics_a_task)]
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(runs), pa.string()), pa.array([found[1] if found else None] * len(runs), pa.string()), pa.array(runs, pa.list_(pa.string()))], ["archive", "version", "topics"])
+                    inside = archive.infolist()
+                    found = re.search(r'VersionId="([^"]*)"', archive.read("bcf.version").decode()) if "bcf.version" in archive.NameToInfo else None
+                for i in inside:
+                    if i.filename.endswith(("/markup.bcf", ".bcfv")) and "/" in i.filename:
+                        topic, file = i.filename.rsplit("/", 1)
+                        topics.setdefault(topic, []).append((file, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC, i.flag_bits))
+                names = sorted(t for t, files in topics.items() if any(x[0] == "markup.bcf" for x in files))
+                for k in range(0, len(names), topics_a_task):
+                    run = [(t, sorted(topics[t])) for t in names[k : k + topics_a_task]]
+                    yield pa.RecordBatch.from_arrays([pa.array([uri], pa.string()), pa.array([found[1] if found else None], pa.string()), pa.array([[{"topic": t, "files": [dict(zip(_MEMBER, x, strict=True)) for x in files]} for t, files in run]], _RUN)], ["archive", "version", "topics"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, version, topics in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, name = _store(uri)
                 out = []
-                with store.open_input_file(name) as f, zipfile.ZipFile(f) as archive:
-                    views: dict[str, list[str]] = {}
-                    for n in archive.namelist():
-                        if n.endswith(".bcfv"):
-                            views.setdefault(n.rsplit("/", 1)[0], []).append(n)
+                with store.open_input_file(name) as f:
                     for t in topics:
-                        shown = {n.rsplit("/", 1)[1]: archive.read(n).decode("utf-8-sig") for n in sorted(views.get(t, ()))}
-                        out.append((uri, t, version, archive.read(f"{t}/markup.bcf").decode("utf-8-sig"), list(shown.items())))
+                        texts = {m["file"]: _member(f, f"{uri}: {t['topic']}/{m['file']}", m).decode("utf-8-sig") for m in t["files"]}
+                        out.append((uri, t["topic"], version, texts.pop("markup.bcf"), list(texts.items())))
                 types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["archive", "topic", "version", "markup", "viewpoints"])
 
-    runs = files.repartition("path").mapInArrow(listed, "archive string, version string, topics array<string>")
-    dealt = runs.repartition(F.xxhash64("archive", "topics"))
+    member = "struct<file:string,at:bigint,packed:bigint,size:bigint,method:int,crc:bigint,flags:int>"
+    runs = files.repartition("path").mapInArrow(listed, f"archive string, version string, topics array<struct<topic:string,files:array<{member}>>>")
+    dealt = runs.repartition(F.xxhash64("archive", F.col("topics")[0]["topic"]))
     return dealt.mapInArrow(read, "archive string, topic string, version string, markup string, viewpoints map<string,string>")
 
 
+_MEMBER = ("file", "at", "packed", "size", "method", "crc", "flags")
+_RUN = pa.list_(pa.struct([("topic", pa.string()), ("files", pa.list_(pa.struct(list(zip(_MEMBER, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)))))]))
+
+
+def _member(f, name: str, m: dict) -> bytes:
+    """A member by its place in the directory: its own header, then its bytes, checked."""
+    head = f.read_at(30, m["at"])
+    if len(head) < 30 or head[:4] != b"PK\x03\x04" or m["flags"] & 1 or m["method"] not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise zipfile.BadZipFile(f"{name}: broken, encrypted or packed in an unknown way")
+    raw = f.read_at(m["packed"], m["at"] + 30 + sum(struct.unpack("<2H", head[26:30])))
+    out = zlib.decompress(raw, -zlib.MAX_WBITS) if m["method"] == zipfile.ZIP_DEFLATED else raw
+    if len(out) != m["size"] or zlib.crc32(out) != m["crc"]:
+        raise zipfile.BadZipFile(f"{name}: bytes that do not match the directory")
+    return out
+
+
 def read_archives(spark: SparkSession, path: str, topics_a_task: int = TOPICS_A_TASK) -> DataFrame:
     """topic, version, title, type, status, priority, description, assignee, author, created_at, labels, revit_a, revit_b, components, camera of archives of either version.
 

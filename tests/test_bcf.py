@@ -66,3 +66,22 @@ def test_archives_of_other_programs(spark, tmp_path):
     elements = spark.createDataFrame([("G2", "M", 5), ("G3", "M", 6)], "global_id string, model_id string, express_id bigint")
     (found,) = bcf.resolve_components(bcf.read_archives(spark, f"file://{tmp_path}/in"), elements).collect()
     assert [tuple(e) for e in found.elements] == [("M", 5)]
+
+
+def test_a_directory_is_read_once_and_archives_are_bounded(spark, tmp_path, monkeypatch):
+    """Runs of topics are read by the places of their members, without the archive's directory; a task writes several archives."""
+    issues = spark.createDataFrame([(f"i{k}", f"t{k}") for k in range(50)], "id string, title string").withColumns({c: F.lit("x") for c in ("status", "priority", "description")}).withColumn("components", F.array(F.lit("G1")))
+    monkeypatch.setattr(bcf, "TOPICS_AN_ARCHIVE", 20)
+    writer, rows = bcf.ArchiveWriter(f"file://{tmp_path}/out", "3.0", False), bcf.topic_documents(issues, "3.0").collect()
+    writer.commit([writer.write(iter(rows)), writer.write(iter([]))])
+    files = sorted((tmp_path / "out").iterdir())
+    assert sorted(sum(n.endswith("markup.bcf") for n in zipfile.ZipFile(p).namelist()) for p in files) == [10, 20, 20]
+    found = bcf.read_archives(spark, f"file://{tmp_path}/out", topics_a_task=3).select("title", "components").collect()
+    assert sorted(r.title for r in found) == sorted(f"t{k}" for k in range(50)) and all(r.components == ["G1"] for r in found)
+    with zipfile.ZipFile(files[0]) as z:
+        at = next(i for i in z.infolist() if i.filename.endswith("markup.bcf")).header_offset
+    broken = bytearray(files[0].read_bytes())
+    broken[at + 80] ^= 0xFF
+    files[0].write_bytes(bytes(broken))
+    with pytest.raises(Exception, match="BadZipFile|zlib|Error"):
+        bcf.read_archives(spark, f"file://{tmp_path}/out").collect()
