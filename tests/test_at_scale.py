@@ -2,15 +2,20 @@
 
 import math
 import random
+from collections import namedtuple
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_queries import rows
 
 from coordspark.functions import text
+from coordspark.functions.geometry import triangle_segments
 from coordspark.operators import spatial
 from coordspark.plans import registry
+from coordspark.sources import formats, glb
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -88,3 +93,14 @@ def test_box_join_compares_few_pairs_that_do_not_meet(spark):
 def test_descriptions_of_missing_values(spark):
     df = spark.createDataFrame([("IfcWall", None, "M", None, "n", None)], "ta string, na string, ma string, tb string, nb string, mb string")
     assert df.select(text.clash_description("ta", "na", "ma", "tb", "nb", "mb")).first()[0] == "IfcWall: null (M) vs null: n (null)"
+
+
+def test_triangles_are_tested_in_batches(spark):
+    """The exact test is no expression that is interpreted for each pair; missing corners do not cross."""
+    corners = [f"{side}_{a}{i}" for side in "ab" for i in range(3) for a in "xyz"]
+    crossing = (0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 1.0, 2.0, 0.0, 0.5, 0.5, -1.0, 1.5, 0.5, -1.0, 1.0, 0.5, 1.0)
+    rows = [(i, *crossing) for i in range(300)] + [(-1, None, *crossing[1:]), (-2, *(0.0,) * 9, *crossing[9:])]
+    found = triangle_segments(spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{c} double" for c in corners)))
+    assert sorted((r.id, r.seg_len, r.mid_x, r.mid_y, r.mid_z) for r in found.collect()) == [(i, 0.5, 1.0, 0.5, 0.0) for i in range(300)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
