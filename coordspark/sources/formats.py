@@ -22,27 +22,47 @@ CLASH_HEADER = (
 )
 
 
+#: Triangles that decoded meshes are given on in, at least, where there are as many.
+TRIANGLES_A_BATCH = 20_000
+
+
 def loadable(elements: DataFrame) -> DataFrame:
     """Openings are dropped; spaces and the like keep their row but lose their meshes."""
     kept = elements.where(~F.coalesce(F.col("ifc_type").isin(EXCLUDED_TYPES), F.lit(False)))
     return kept.withColumn("meshes", F.when(F.col("ifc_type").isin(MESHLESS_TYPES), F.array().cast(kept.schema["meshes"].dataType)).otherwise(F.col("meshes")))
 
 
-def decode_meshes(df: DataFrame) -> DataFrame:
-    """id, positions (base64 f32) and indices (base64 u32) to triangles: id, tri_idx and corners x0 .. z2, in Arrow batches."""
-    corner = [f"{a}{i}" for i in range(3) for a in "xyz"]
-    schema = "id bigint, tri_idx int, " + ", ".join(f"{c} float" for c in corner)
+_CORNERS = [f"{a}{i}" for i in range(3) for a in "xyz"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, pos, idx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                points = np.frombuffer(pos or b"", dtype="<f4").reshape(-1, 3)
-                at = np.frombuffer(idx, dtype="<u4") if idx is not None else np.arange(len(points))
-                tris = points[at[: len(at) // 3 * 3]].reshape(-1, 9)
-                if len(tris):
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(tris), pa.int64()), pa.array(range(len(tris)), pa.int32()), *(pa.array(tris[:, k].copy()) for k in range(9))], ["id", "tri_idx", *corner])
-
-    return df.select("id", F.unbase64("positions"), F.unbase64("indices")).mapInArrow(run, schema)
+
+def _together(found: list[tuple]) -> pa.RecordBatch:
+    keys, meshes = zip(*found, strict=True)
+    counts = [len(m) for m in meshes]
+    tris, places = np.concatenate(meshes), np.concatenate([np.arange(n, dtype="<i4") for n in counts])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()).take(pa.array(np.repeat(np.arange(len(keys)), counts))), pa.array(places), *(pa.array(tris[:, k].copy()) for k in range(9))], ["id", "tri_idx", *_CORNERS])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, n = [], 0
+        for key, pos, idx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            points = np.frombuffer(pos or b"", dtype="<f4").reshape(-1, 3)
+            at = np.frombuffer(idx, dtype="<u4") if idx is not None else np.arange(len(points))
+            tris = points[at[: len(at) // 3 * 3]].reshape(-1, 9)
+            if len(tris):
+                found.append((key, tris))
+                n += len(tris)
+            if n >= TRIANGLES_A_BATCH:
+                yield _together(found)
+                found, n = [], 0
+        if found:
+            yield _together(found)
+
+
+def decode_meshes(df: DataFrame) -> DataFrame:
+    """id, positions (base64 f32) and indices (base64 u32) to triangles: id, tri_idx and corners x0 .. z2, in Arrow batches of many meshes."""
+    schema = "id bigint, tri_idx int, " + ", ".join(f"{c} float" for c in _CORNERS)
+    return df.select("id", F.unbase64("positions"), F.unbase64("indices")).mapInArrow(_decoded, schema)
 
 
 def place_triangles(triangles: DataFrame, transforms: DataFrame) -> DataFrame:

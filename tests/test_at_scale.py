@@ -104,3 +104,13 @@ def test_triangles_are_tested_in_batches(spark):
     assert sorted((r.id, r.seg_len, r.mid_x, r.mid_y, r.mid_z) for r in found.collect()) == [(i, 0.5, 1.0, 0.5, 0.0) for i in range(300)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "lambda" not in plan
+
+
+def test_small_meshes_share_a_batch(monkeypatch):
+    """Meshes of one triangle each are given on together; a large one ends the batch."""
+    points = [np.arange(9 * k, dtype="<f4").tobytes() for k in (1, 1, 0, 5, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3, 4, 5], pa.int64()), pa.array(points, pa.binary()), pa.array([None] * 5, pa.binary())], ["id", "positions", "indices"])
+    (whole,) = formats._decoded(iter([batch]))
+    assert list(zip(whole["id"].to_pylist(), whole["tri_idx"].to_pylist(), whole["z2"].to_pylist(), strict=True)) == [(1, 0, 8.0), (None, 0, 8.0), *((4, k, 9.0 * k + 8) for k in range(5)), (5, 0, 8.0)]
+    monkeypatch.setattr(formats, "TRIANGLES_A_BATCH", 3)
+    assert [b.num_rows for b in formats._decoded(iter([batch]))] == [7, 1]
