@@ -39,8 +39,8 @@ TRIANGLES, STRIP, FAN = 4, 5, 6
 
 #: Triangles of a piece that one task reads at a time.
 PIECE = 100_000
-#: Bytes of buffers in a written file.
-FILE_BYTES = 512 << 20
+#: Bytes of buffers and number of nodes in a written file: its scene description is held in memory, in writing and in reading.
+FILE_BYTES, FILE_NODES = 512 << 20, 20_000
 
 CORNERS = [f"{a}{i}" for i in range(3) for a in "xyz"]
 
@@ -285,7 +285,7 @@ class MeshWriter(DataSourceWriter):
         self.path = path.rstrip("/")
 
     def write(self, iterator: Iterator) -> Written:
-        """Files of a task, of about ``FILE_BYTES`` each; their names begin with a dot until they are committed."""
+        """Files of a task, of about ``FILE_BYTES`` or up to ``FILE_NODES`` nodes each; their names begin with a dot until they are committed."""
         store, base = _store(self.path)
         store.create_dir(base, recursive=True)
         names, rows = [], iter(iterator)
@@ -294,7 +294,7 @@ class MeshWriter(DataSourceWriter):
             scene: dict = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": []}], "nodes": [], "meshes": [], "accessors": [], "bufferViews": []}
             meshes: dict[str, int] = {}
             with tempfile.TemporaryFile() as buffer:  # this task's own, gone with it
-                while row is not None and buffer.tell() < FILE_BYTES:
+                while row is not None and buffer.tell() < FILE_BYTES and len(scene["nodes"]) < FILE_NODES:
                     self._add(scene, meshes, buffer, row)
                     row = next(rows, None)
                 names.append(f"{uuid.uuid4().hex}.glb")

@@ -114,3 +114,13 @@ def test_small_meshes_share_a_batch(monkeypatch):
     assert list(zip(whole["id"].to_pylist(), whole["tri_idx"].to_pylist(), whole["z2"].to_pylist(), strict=True)) == [(1, 0, 8.0), (None, 0, 8.0), *((4, k, 9.0 * k + 8) for k in range(5)), (5, 0, 8.0)]
     monkeypatch.setattr(formats, "TRIANGLES_A_BATCH", 3)
     assert [b.num_rows for b in formats._decoded(iter([batch]))] == [7, 1]
+
+
+def test_scene_files_are_bounded_by_nodes(spark, tmp_path, monkeypatch):
+    """A task's meshes go to files of a bounded number of nodes, however small they are."""
+    monkeypatch.setattr(glb, "FILE_NODES", 20)
+    row, box = namedtuple("row", "express_id name geometry_id positions indices matrix"), np.arange(9, dtype="<f4").tobytes()
+    writer = glb.MeshWriter(str(tmp_path / "out"))
+    writer.commit([writer.write(iter([row(i, f"E{i}", None, box, None, None) for i in range(50)]))])
+    assert len(list((tmp_path / "out").glob("*.glb"))) == 3
+    assert sorted(r.name for r in glb.read_placed(spark, str(tmp_path / "out")).collect()) == sorted(f"E{i}" for i in range(50))
