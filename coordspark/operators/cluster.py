@@ -10,7 +10,7 @@ from coordspark.operators.components import components
 
 
 def near_pairs(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """a, b: ids of points (id, keys, x, y, z) with equal keys within ``radius``, each pair once.
+    """a, b: ties (ids) that link the points (id, keys, x, y, z) with equal keys as all pairs within ``radius`` do, each once.
 
     Points are dealt to grid cells of the radius and their neighbours ahead, so the join is an equi-join on key and cell.
     Points in one cell are tied to the cell's smallest id if they are within reach of it, and compared one by one only
@@ -20,16 +20,18 @@ def near_pairs(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     size = radius / 3**0.5
     cells = points.select("id", *keys, *AXES, *(F.floor(F.col(k) / size).alias(f"c{k}") for k in AXES))
     crowd = cells.groupBy(*keys, "cx", "cy", "cz").agg(F.min("id").alias("hub"))
+    cells = cells.join(crowd, [*keys, "cx", "cy", "cz"])
     # all points of a cell are within the radius of each other: one tie each
-    inner = cells.join(crowd, [*keys, "cx", "cy", "cz"]).where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    # between two cells one close pair is enough to tie them
+    inner = cells.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    # between two cells one close pair is enough to tie them, by their hubs: two numbers, which each task adds up without sorting
     steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
-    ahead = cells.select("*", F.explode(F.array(*steps)).alias("s")).select("id", *keys, *AXES, *(F.col(f"c{a}").alias(f"o{a}") for a in AXES), *((F.col(f"c{a}") + F.col(f"s.{s}")).alias(f"c{a}") for a, s in zip(AXES, "ijk", strict=True)))
-    other = cells.select(F.col("id").alias("b"), *keys, "cx", "cy", "cz", *(F.col(k).alias(f"b{k}") for k in AXES))
+    # equal points are compared once
+    places = cells.select("hub", *keys, *AXES, "cx", "cy", "cz").distinct()
+    ahead = places.select("*", F.explode(F.array(*steps)).alias("s")).select(F.col("hub").alias("a"), *keys, *AXES, *((F.col(f"c{a}") + F.col(f"s.{s}")).alias(f"c{a}") for a, s in zip(AXES, "ijk", strict=True)))
+    other = places.select(F.col("hub").alias("b"), *keys, "cx", "cy", "cz", *(F.col(k).alias(f"b{k}") for k in AXES))
     d2 = sum(((F.col(k) - F.col(f"b{k}")) ** 2 for k in AXES[1:]), (F.col("x") - F.col("bx")) ** 2)
-    cross = ahead.join(other, [*keys, "cx", "cy", "cz"]).where(d2 <= radius * radius)
-    tied = cross.groupBy(*keys, "ox", "oy", "oz", "cx", "cy", "cz").agg(F.min(F.struct(F.col("id").alias("a"), "b")).alias("t"))
-    return inner.unionByName(tied.select("t.a", "t.b"))
+    tied = ahead.join(other, [*keys, "cx", "cy", "cz"]).where(d2 <= radius * radius).select("a", "b").distinct()
+    return inner.unionByName(tied)
 
 
 def clusters(points: DataFrame, radius: float = 500, keys: list[str] = ("type_pair", "storey")) -> DataFrame:

@@ -13,7 +13,7 @@ from test_queries import rows
 
 from coordspark.functions import text
 from coordspark.functions.geometry import triangle_segments
-from coordspark.operators import spatial
+from coordspark.operators import cluster, spatial
 from coordspark.plans import registry
 from coordspark.sources import formats, glb
 
@@ -124,3 +124,13 @@ def test_scene_files_are_bounded_by_nodes(spark, tmp_path, monkeypatch):
     writer.commit([writer.write(iter([row(i, f"E{i}", None, box, None, None) for i in range(50)]))])
     assert len(list((tmp_path / "out").glob("*.glb"))) == 3
     assert sorted(r.name for r in glb.read_placed(spark, str(tmp_path / "out")).collect()) == sorted(f"E{i}" for i in range(50))
+
+
+def test_close_points_are_tied_without_sorting_their_pairs(spark):
+    """Ties between cells are hubs, found by a hash aggregate, and points that repeat are compared once."""
+    points = spark.createDataFrame([(i, "t", float(i % 40 // 8 * 5), float(i % 8), 0.0) for i in range(400)], "id bigint, pair string, x double, y double, z double")
+    ties = cluster.near_pairs(points, 9, ["pair"])
+    found = ties.collect()
+    assert len(found) == len(set(found)) < 400 + 62 * 40
+    assert "SortAggregate" not in ties._jdf.queryExecution().executedPlan().toString()
+    assert {r.cluster for r in cluster.clusters(points, 9, ["pair"]).collect()} == {0}
