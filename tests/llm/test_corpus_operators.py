@@ -429,6 +429,16 @@ def test_rows_are_kept_by_their_own_text(spark):
 # --- pipeline
 
 
+def test_filter_of_kept_rows_stays_above_the_counts(spark):
+    """The counts are worked out once a row: no filter repeats their expressions, which would split the text again for each word."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "en"), (2, "a b c " * 30, "en"), (3, "few", "en")], "doc_id bigint, text string, lang string")
+    kept = quality.keep_good(docs, spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if x.strip(" :+-").startswith("Filter")]
+    assert filters and not any("trim(" in x for x in filters)
+    assert [r.doc_id for r in kept.collect()] == [1]
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(11)
     prose = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
