@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from coordspark.sources.scratch import drop, save, save_counted, small
 
 MAX_ROUNDS = 50
+#: What a round's joins may broadcast, in rows and stored bytes: little, as each round sends two tables by way of the driver.
+ROUND_ROWS, ROUND_BYTES = 50_000, 1 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,11 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large-star: neighbours above a node are tied to the smallest one around it
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
-        large = both.join(small(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = both.join(small(least, ROUND_ROWS, ROUND_BYTES), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         # small-star: a node and its smaller neighbours are tied to the smallest of them
         low = save(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         ties = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
-        following, reached = save_counted(large.join(small(low), "u").select(F.inline(ties)).where("u != v").distinct(), "edges")
+        following, reached = save_counted(large.join(small(low, ROUND_ROWS, ROUND_BYTES), "u").select(F.inline(ties)).where("u != v").distinct(), "edges")
         for used in (now, least, low):
             drop(used)
         now = following
