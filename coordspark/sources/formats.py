@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import codecs
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coordspark.functions import text
 from coordspark.operators.quality import COMMON_PSET
+from coordspark.sources.scratch import new_path
 
 # Types that are dropped or lose their meshes at load, and the header of exported labels.
 EXCLUDED_TYPES = ["IfcOpeningElement"]
@@ -82,15 +86,139 @@ def normalise_wire(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of a project document that are read at a time.
+DOCUMENT_CHUNK = 1 << 20
+_BLANKS = re.compile(r"[ \t\n\r]*")
+#: Lines of one flat object each, as ``write_project`` makes them. A line break is never inside a JSON text, so the braces are the object's.
+_FLAT_LINES = re.compile(r"(?:,\{[^{}\[\]\n]*\}\n)+")
+
+
+def _document_parts(read: Callable[[int], str]) -> Iterator[tuple[str, bool, list[str]]]:
+    """name, whether it is an array, and texts of the members of a JSON object: some of an array's at a time, so that no more than the longest is held.
+
+    ``read`` gives the next characters, none at the end. Raises ValueError where the text is no JSON object.
+    """
+    decode, text, at, ended = json.JSONDecoder().raw_decode, "", 0, False
+
+    def more() -> None:
+        nonlocal text, at, ended
+        got = read(max(DOCUMENT_CHUNK, len(text) - at))
+        text, at, ended = text[at:] + got, 0, not got
+
+    def ahead() -> str:
+        nonlocal at
+        while (at := _BLANKS.match(text, at).end()) == len(text):
+            if ended:
+                raise ValueError("the document ends early")
+            more()
+        return text[at]
+
+    def take(*allowed: str) -> str:
+        nonlocal at
+        if (c := ahead()) not in allowed:
+            raise ValueError(f"{c!r} instead of one of {allowed}")
+        at += 1
+        return c
+
+    def value() -> str:
+        nonlocal at
+        ahead()
+        while True:
+            try:
+                end = decode(text, at)[1]
+                if end < len(text) or ended:  # a number may go on
+                    found, at = text[at:end], end
+                    return found
+            except json.JSONDecodeError:
+                if ended:
+                    raise
+            more()
+
+    take("{")
+    if ahead() == "}":
+        return
+    while True:
+        name = json.loads(value())
+        take(":")
+        if ahead() != "[":
+            yield name, False, [value()]
+        else:
+            take("[")
+            if ahead() == "]":
+                take("]")
+            else:
+                while True:
+                    yield name, True, [value()]
+                    ahead()
+                    if lines := _FLAT_LINES.match(text, at):
+                        at = lines.end()
+                        yield name, True, [x[1:] for x in lines[0][:-1].split("\n")]
+                    if take(",", "]") == "]":
+                        break
+        if take(",", "}") == "}":
+            return
+
+
+def _parts_of(uri: str) -> Iterator[tuple[str, bool, list[str]]]:
+    store, path = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+    decoder = codecs.getincrementaldecoder("utf-8-sig")()
+    with store.open_input_file(path) as f:
+
+        def read(n: int) -> str:
+            while raw := f.read(n):
+                if got := decoder.decode(raw):
+                    return got
+            return decoder.decode(b"", True)
+
+        yield from _document_parts(read)
+
+
+def _is_marked(uri: str, mark: str) -> bool:
+    try:
+        return next((json.loads(texts[0]) == mark for name, _, texts in _parts_of(uri) if name == "_cc"), False)
+    except ValueError:
+        return False
+
+
 def read_project(spark: SparkSession, path: str, mark: str) -> DataFrame:
-    """Project files (one JSON document each, with ``mark`` as _cc); others are ignored."""
-    df = spark.read.json(path, multiLine=True)
-    return df.where(F.col("_cc") == mark) if "_cc" in df.columns else df.limit(0)
+    """section and value (JSON) of each row of the arrays of project files (one JSON document each, with ``mark`` as _cc); others are ignored.
+
+    A document is one text by format: one task reads it, some characters at a time, and stores its rows for all tasks.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                if not _is_marked(uri, mark):
+                    continue
+                rows, n = [], 0
+                for name, many, texts in _parts_of(uri):
+                    if many:
+                        rows.append((name, texts))
+                        n += sum(map(len, texts))
+                    if n >= DOCUMENT_CHUNK:
+                        yield _section_rows(rows)
+                        rows, n = [], 0
+                if rows:
+                    yield _section_rows(rows)
+
+    schema, stored = "section string, value string", new_path(spark, "project-rows")
+    files.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(sections, schema).write.parquet(stored)
+    return spark.read.schema(schema).parquet(stored)
+
+
+def _section_rows(rows: list[tuple[str, list[str]]]) -> pa.RecordBatch:
+    names = [name for name, texts in rows for _ in texts]
+    # line breaks are blanks in JSON
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([re.sub(r"[\r\n]", " ", x) for _, texts in rows for x in texts], pa.string())], ["section", "value"])
 
 
 def project_section(project: DataFrame, section: str) -> DataFrame:
-    """One array of a project file as rows."""
-    return project.select(F.explode(section).alias("r")).select("r.*")
+    """One array of the project files as rows; the fields are those of all of them."""
+    path = new_path(project.sparkSession, "section")
+    project.where(F.col("section") == section).select("value").write.option("compression", "gzip").text(path)
+    return project.sparkSession.read.json(path)
 
 
 def write_project(parts: dict[str, DataFrame], path: str, saved_at: str, mark: str, version: int = 1) -> None:
