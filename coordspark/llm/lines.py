@@ -39,7 +39,7 @@ EDIT_CHARS = 32
 GREEDY_ROWS = 4096
 SEEN, FLUSH = 300_000, 100_000
 
-_WORD = r"[^\x20\x09-\x0D]"
+_SPACE = " \t\n\x0b\x0c\r"
 _ALL = (1 << 64) - 1
 _SECOND = 11  # what the second half of a line's hash starts from
 
@@ -255,8 +255,10 @@ def _text_id() -> Column:
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """place (doc_id, text_id, pos), line, node and rest (128 bits of hashes) of every line with a word."""
-    rows = docs.select("doc_id", _text_id().alias("text_id"), F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
-    return rows.where(F.col("line").rlike(_WORD)).select(F.struct("doc_id", "text_id", "pos").alias("place"), "line", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(_SECOND), "line").alias("rest"))
+    # the digest is made below the generator, once a text and not once a line; a line has a word unless white space is all of it
+    texts = docs.select("doc_id", _text_id().alias("text_id"), F.split(F.col("text"), "\n").alias("lines"))
+    rows = texts.select("doc_id", "text_id", F.posexplode("lines").alias("pos", "line"))
+    return rows.where(F.ltrim("line", F.lit(_SPACE)) != "").select(F.struct("doc_id", "text_id", "pos").alias("place"), "line", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(_SECOND), "line").alias("rest"))
 
 
 _MEMBER = "component bigint, salt int, side int, node bigint, rest bigint, line string"

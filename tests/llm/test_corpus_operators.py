@@ -226,6 +226,15 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, rows):
     assert lines.dedup_lines(frame(spark, [])).collect() == []
 
 
+def test_text_is_digested_once_and_not_once_a_line(spark):
+    texts = ["one\n \t\x0b\x0c\r\n\u00a0\ntwo", None, ""]
+    found = lines._occurrences(frame(spark, texts))
+    plan = found.select("place", "node", "rest")._jdf.queryExecution().optimizedPlan().toString()  # from the top down
+    assert plan.count("sha2(") == 1 and plan.index("Generate") < plan.index("sha2(")
+    assert sorted((r.place.doc_id, r.place.pos, r.line) for r in found.collect()) == [(0, 0, "one"), (0, 2, "\u00a0"), (0, 3, "two")]
+    assert {r.place.text_id.hex() for r in found.collect()} == {hashlib.sha256(texts[0].encode()).hexdigest()[:32]}
+
+
 def test_numbered_headings_and_long_lines(spark):
     texts = [f"Chapter {i:02d}: of the things that one should know" for i in range(60)] + ["y" * 300_000, "y" * 299_999 + "z", "ab\nab", "ab"]
     gone = expected_removals(texts[:60]) | {(61, 0), (62, 1), (63, 0)}
