@@ -2,12 +2,13 @@
 
 Texts are lower-cased (A-Z) and cut into pieces at punctuation and line ends, pieces into words. Polynomials over prefix
 sums hash every n-gram of a batch of texts in numpy (``words``). Tasks add up equal fingerprints, the shuffle adds up the
-tasks' sums. Three scans, each of all texts:
+tasks' sums. Four scans, each of all texts:
 
 1. words;
 2. pairs whose words are both frequent enough;
-3. longer phrases all of whose pairs are frequent enough, and once more the frequent words and pairs, each with its count,
-   a second fingerprint and a pointer to one occurrence (the digest of a text, and the bytes in it).
+3. longer phrases all of whose pairs are frequent enough;
+4. all that is frequent enough once more, each with its count, a second fingerprint and a pointer to one occurrence (the
+   digest of a text, and the bytes in it): these rows are wide, so only frequent ones are sent.
 
 A phrase is no more frequent than what it holds, so this drops only phrases below the least count. Between scans the
 frequent fingerprints are told to the tasks as a bitmap of bounded size, which may let others pass, but loses none. Of
@@ -202,8 +203,8 @@ def _known(counts: DataFrame) -> Broadcast:
     return learn_keys(counts.where(F.col("fp").isNotNull()).select(F.col("fp").alias("key"), F.lit(1).alias("n")))
 
 
-def _frequent_places(grams: Grams, singles: Broadcast, pairs: Broadcast, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, places, fingerprints) of the n-grams that may be frequent."""
+def _frequent_places(grams: Grams, singles: Broadcast, pairs: Broadcast, longer: Broadcast | None, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, places, fingerprints) of the n-grams that may be frequent; without ``longer``, of three words and more those whose pairs all may be."""
     first = grams.prints(1)
     at = np.flatnonzero(singles.value.repeated(short(first)))
     yield 1, at, first[at]
@@ -217,10 +218,14 @@ def _frequent_places(grams: Grams, singles: Broadcast, pairs: Broadcast, most: i
     for k in range(3, most + 1):
         run = run[: len(run) - 1] & fine[k - 2 :] if len(run) else run
         at = np.flatnonzero(run)
-        yield k, at, grams.prints(k)[at]
+        prints = grams.prints(k)[at]
+        if longer is not None:
+            kept = longer.value.repeated(short(prints))
+            at, prints = at[kept], prints[kept]
+        yield k, at, prints
 
 
-def _pointed(rows: DataFrame, singles: Broadcast, pairs: Broadcast, most: int) -> DataFrame:
+def _pointed(rows: DataFrame, singles: Broadcast, pairs: Broadcast, longer: Broadcast | None, most: int) -> DataFrame:
     """lang, k, fp with count, the extremes of the second fingerprint, and a pointer: th, place (start << 31 | length, in bytes)."""
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -228,7 +233,7 @@ def _pointed(rows: DataFrame, singles: Broadcast, pairs: Broadcast, most: int) -
         for part, grams in _slices(batches):
             th = part.column(0).to_numpy(zero_copy_only=False)
             langs = np.array(grams.langs, dtype=object)
-            for k, at, prints in _frequent_places(grams, singles, pairs, most):
+            for k, at, prints in _frequent_places(grams, singles, pairs, longer, most):
                 if not len(at):
                     continue
                 check = grams.prints(k, 1)[at]
@@ -289,14 +294,14 @@ def _texts_of(rows: DataFrame, frequent: DataFrame) -> DataFrame:
     return out
 
 
-def _recounted(rows: DataFrame, clashing: DataFrame, singles: Broadcast, pairs: Broadcast, most: int, least: int) -> DataFrame:
+def _recounted(rows: DataFrame, clashing: DataFrame, singles: Broadcast, pairs: Broadcast, longer: Broadcast | None, most: int, least: int) -> DataFrame:
     """lang, k, phrase, f of the phrases behind fingerprints that different phrases share, counted by their text."""
     known = learn_keys(clashing.select(F.col("fp").alias("key"), F.lit(1).alias("n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, grams in _slices(batches):
             counts: dict[tuple, int] = {}
-            for k, at, prints in _frequent_places(grams, singles, pairs, most):
+            for k, at, prints in _frequent_places(grams, singles, pairs, longer, most):
                 hit = known.value.repeated(prints)
                 for i, fp in zip(at[hit].tolist(), prints[hit].tolist(), strict=True):
                     key = grams.langs[grams.words.row[i]], k, fp, grams.phrase(i, k)
@@ -325,20 +330,30 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
 
     twos = save(_counted(rows, pairs_of, least, False), "phrases-pairs")
     pairs = _known(twos)
-    frequent = save(_pointed(rows, singles, pairs, most).where(F.col("f") >= least), "phrases-prints")
+
+    def longer_of(grams: Grams) -> np.ndarray:
+        return np.concatenate([np.zeros(0, dtype=np.int64), *(prints for k, _, prints in _frequent_places(grams, singles, pairs, None, most) if k > 2)])
+
+    more, longer = None, None
+    if most > 2:
+        more = save(_counted(rows, longer_of, least, False), "phrases-longer")
+        longer = _known(more)
+    frequent = save(_pointed(rows, singles, pairs, longer, most).where(F.col("f") >= least), "phrases-prints")
     clashing = save(frequent.where("low != high").select("lang", "k", "fp"), "phrases-clashing")
     found = _texts_of(rows, frequent.where("low = high"))
     if clashing.stored_rows:
-        again = _recounted(rows, clashing, singles, pairs, most, least)
+        again = _recounted(rows, clashing, singles, pairs, longer, most, least)
         both = save(found.unionByName(again), "phrases-found")
         for df in (found, again):
             drop(df)
         found = both
     totals = save(ones.where("fp is null").groupBy("lang").agg(F.sum("c").alias("n")), "phrases-totals")
-    for known in (singles, pairs):
-        known.unpersist()
-    for df in (ones, twos, frequent, clashing):
-        drop(df)
+    for known in (singles, pairs, longer):
+        if known is not None:
+            known.unpersist()
+    for df in (ones, twos, more, frequent, clashing):
+        if df is not None:
+            drop(df)
     return found, totals
 
 

@@ -199,6 +199,24 @@ def test_collocations_of_nothing(spark):
     assert [tuple(r) for r in phrases.collocations(few, least=1).collect()] == [("en", 1, "a b", 1, 1, 1, 2, 2000)]
 
 
+def test_only_frequent_phrases_are_pointed_to(spark, monkeypatch):
+    """A longer phrase whose pairs are frequent, but which is not, sends no wide row."""
+    texts = ["a b"] * 4 + ["b c"] * 4 + ["a b c", *["x y z"] * 5]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    pointed, seen = phrases._pointed, []
+
+    def spied(*args):
+        out = pointed(*args)
+        seen.extend((r.k, r.f) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(phrases, "_pointed", spied)
+    found, _ = phrases.frequent_phrases(docs, least=5)
+    assert sorted(seen) == [(1, 5)] * 5 + [(1, 9)] + [(2, 5)] * 4 + [(3, 5)]
+    assert sorted((r.phrase, r.f) for r in found.collect() if r.k > 1) == [("a b", 5), ("b c", 5), ("x y", 5), ("x y z", 5), ("y z", 5)]
+
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, n, l, r = 3 * 10**14 + 1, 7 * 10**15 + 3, 10**13 + 7, 9 * 10**14 + 1  # noqa: E741
     row = spark.createDataFrame([(a, n, l, r)], "a bigint, n bigint, l bigint, r bigint").select(phrases.score_of("a", "n", "l", "r").alias("s")).first()
