@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,14 +155,21 @@ def changed_content(sent: DataFrame, idle_ms: int = 86_400_000, late: str = "10
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("pos")
-        before = [state.get[0] if state.exists else None, *rows.hash.iloc[:-1]]
+        # in numpy: what pandas does beside for each key costs more than the rows of most keys
+        parts = list(batches)
+        pos, hashes = (np.concatenate([p[c].to_numpy(t) for p in parts]) for c, t in (("pos", np.int64), ("hash", object)))
+        order = np.argsort(pos, kind="stable")
         none = lambda h: h is None or h != h
-        changed = [h != b and not (none(h) and none(b)) for h, b in zip(rows.hash, before, strict=True)]
-        last = rows.hash.iloc[-1]
-        state.update((None if none(last) else last,))
-        _forget_at(state, rows.ts.max(), idle_ms)
-        yield rows[changed][["global_id", "pos", "hash"]]
+        last, changed = state.get[0] if state.exists else None, []
+        for i in order.tolist():
+            h = None if none(hashes[i]) else hashes[i]
+            if h != last:
+                changed.append(i)
+            last = h
+        state.update((last,))
+        _forget_at(state, max(p.ts.max() for p in parts), idle_ms)
+        if changed:
+            yield pd.DataFrame({"global_id": [key[0]] * len(changed), "pos": pos[changed], "hash": hashes[changed]})
 
     kind = sent.schema["global_id"].dataType.simpleString()
     rows = sent.where("global_id is not null").select("global_id", "ts", "pos", "hash").withWatermark("ts", late)

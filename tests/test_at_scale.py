@@ -182,3 +182,13 @@ def test_project_sections_of_other_layouts(spark, tmp_path):
     (tmp_path / "other.json").write_text('{"_cc": "no", "clashes": [{"id": 9}]}')
     found = formats.project_section(formats.read_project(spark, str(tmp_path), "m"), "clashes")
     assert sorted((r.id, r.s and r.s.x) for r in found.collect()) == [(0, "\u00e9"), (1, "\u00e9"), (5, None), (5, None)]
+
+
+def test_streams_read_several_files_a_batch(spark, tmp_path, monkeypatch):
+    """Ranges of the events in several files each are still taken range by range, in order."""
+    events = "SELECT * REPLACE (event_id * 8 + k AS event_id, user_id + 1000 * (k % 2) AS user_id) FROM events_given, range(8) AS r(k)"
+    d, con = folder(tmp_path, events=events)
+    monkeypatch.setattr(registry, "_in_files", lambda spark, d, make=registry._in_files: make(spark, d, 700))
+    path = registry._in_files(spark, d)
+    assert len(spark.read.parquet(path).inputFiles()) > 4
+    same(spark, "stream_changed", d, con)
