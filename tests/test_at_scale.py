@@ -91,6 +91,13 @@ def test_box_join_compares_few_pairs_that_do_not_meet(spark):
     assert sorted((r.a_id, r.b_id) for r in spatial.box_join(upside, df, 20).select("a_id", "b_id").collect()) == sorted((a[0], b[0]) for a in turned for b in rows if meet(a, b))
 
 
+def test_boxes_of_many_cells_are_not_broadcast(spark):
+    """A plan takes a side for as large as it was before its boxes became many rows; it is shuffled all the same."""
+    boxes = spark.range(300).selectExpr("id", "id * 70 % 9000 AS x0", "id * 110 % 3000 AS y0", "id * 130 % 9000 AS z0")
+    boxes = boxes.withColumns({f"{k}1": F.col(f"{k}0") + 2500 for k in "xyz"})
+    assert broadcast_joins(spatial.box_join(boxes, boxes, 50)) == 0
+
+
 def test_descriptions_of_missing_values(spark):
     df = spark.createDataFrame([("IfcWall", None, "M", None, "n", None)], "ta string, na string, ma string, tb string, nb string, mb string")
     assert df.select(text.clash_description("ta", "na", "ma", "tb", "nb", "mb")).first()[0] == "IfcWall: null (M) vs null: n (null)"
