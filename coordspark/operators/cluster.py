@@ -30,7 +30,8 @@ def near_pairs(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     ahead = places.select("*", F.explode(F.array(*steps)).alias("s")).select(F.col("hub").alias("a"), *keys, *AXES, *((F.col(f"c{a}") + F.col(f"s.{s}")).alias(f"c{a}") for a, s in zip(AXES, "ijk", strict=True)))
     other = places.select(F.col("hub").alias("b"), *keys, "cx", "cy", "cz", *(F.col(k).alias(f"b{k}") for k in AXES))
     d2 = sum(((F.col(k) - F.col(f"b{k}")) ** 2 for k in AXES[1:]), (F.col("x") - F.col("bx")) ** 2)
-    tied = ahead.join(other, [*keys, "cx", "cy", "cz"]).where(d2 <= radius * radius).select("a", "b").distinct()
+    # a plan's sizes are those before a place becomes a row for each neighbour: by them, the larger side would be broadcast
+    tied = ahead.hint("merge").join(other, [*keys, "cx", "cy", "cz"]).where(d2 <= radius * radius).select("a", "b").distinct()
     return inner.unionByName(tied)
 
 
