@@ -268,7 +268,8 @@ def read_placed(spark: SparkSession, path: str) -> DataFrame:
     """file, node, name, extras, geometry_id, tri_idx and world corners x0 .. z2 of every triangle that the files show."""
     nodes = read_nodes(spark, path)
     key = nodes.select(F.struct("file", "node", "name", "extras").alias("express_id"), "geometry_id", "matrix")
-    placed = place_triangles(read_triangles(nodes), key)
+    # a plan's sizes are those before a file becomes nodes and a piece triangles: by them, either side would be broadcast
+    placed = place_triangles(read_triangles(nodes).hint("merge"), key)
     return placed.select("express_id.*", "geometry_id", "tri_idx", *CORNERS)
 
 
