@@ -114,6 +114,21 @@ def test_triangles_are_tested_in_batches(spark):
     assert "MapInArrow" in plan and "lambda" not in plan
 
 
+def test_few_triangle_pairs_reach_the_exact_test(spark, monkeypatch):
+    """Pairs that do not lie astride each other's planes are left out by the join, and no crossing is lost by that."""
+    rng = random.Random(3)
+    corners = [f"{a}{i}" for i in range(3) for a in "xyz"]
+    rows = [(i, *(float(rng.randrange(12)) for _ in corners)) for i in range(150)] + [(150, None, *(3.0,) * 8), (151, *(5.0,) * 9)]
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{c} double" for c in corners))
+    a, b = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)) for side in "ab")
+    want = sorted((r.a_id, r.b_id, r.seg_len, r.mid_x) for r in triangle_segments(a.crossJoin(b).where("a_id < b_id")).collect())
+    tested = []
+    monkeypatch.setattr(spatial, "triangle_segments", lambda pairs: tested.append(pairs.count()) or triangle_segments(pairs))
+    found = spatial.triangle_contacts(df, df, 5, F.col("a_id") < F.col("b_id"))
+    assert sorted((r.a_id, r.b_id, r.seg_len, r.mid_x) for r in found.collect()) == want
+    assert len(want) > 1000 and tested[0] < 2 * len(want)
+
+
 def test_small_meshes_share_a_batch(monkeypatch):
     """Meshes of one triangle each are given on together; a large one ends the batch."""
     points = [np.arange(9 * k, dtype="<f4").tobytes() for k in (1, 1, 0, 5, 1)]
