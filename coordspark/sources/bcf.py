@@ -18,6 +18,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,12 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from coordspark.functions.text import xml_escape
+from coordspark.sources.scratch import save
 
 VERSIONS = ("2.1", "3.0")
 #: Topics of an archive that one task reads.
 TOPICS_A_TASK = 2000
 #: Topics of a written archive: its directory is held in memory until it is closed.
 TOPICS_AN_ARCHIVE = 50_000
+#: Bytes that are gathered before they are written: members are small.
+WRITE_BYTES = 1 << 20
 # The labels that carry the ids of a clash's two elements in the authoring tool.
 REVIT_LABELS = {"revit_a": "cc:revitA:", "revit_b": "cc:revitB:"}
 
@@ -118,7 +122,7 @@ class ArchiveWriter(DataSourceWriter):
         while row is not None:
             names.append(f"{uuid.uuid4().hex}.bcfzip")
             n = 0
-            with store.open_output_stream(f"{base}/.{names[-1]}") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive:
+            with store.open_output_stream(f"{base}/.{names[-1]}", buffer_size=WRITE_BYTES) as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as archive:
                 detail = "" if self.version == "3.0" else f"<DetailedVersion>{self.version}</DetailedVersion>"
                 archive.writestr("bcf.version", f'<?xml version="1.0" encoding="UTF-8"?>\n<Version VersionId="{self.version}">{detail}</Version>')
                 if self.version == "3.0":
@@ -203,39 +207,42 @@ def members(spark: SparkSession, path: str, topics_a_task: int = TOPICS_A_TASK)
                         topics.setdefault(topic, []).append((file, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC, i.flag_bits))
                 names = sorted(t for t, files in topics.items() if any(x[0] == "markup.bcf" for x in files))
                 for k in range(0, len(names), topics_a_task):
-                    run = [(t, sorted(topics[t])) for t in names[k : k + topics_a_task]]
-                    yield pa.RecordBatch.from_arrays([pa.array([uri], pa.string()), pa.array([found[1] if found else None], pa.string()), pa.array([[{"topic": t, "files": [dict(zip(_MEMBER, x, strict=True)) for x in files]} for t, files in run]], _RUN)], ["archive", "version", "topics"])
+                    run = names[k : k + topics_a_task]
+                    # flat columns: nested rows would cost more than the members themselves
+                    places = list(zip(*(x for t in run for x in sorted(topics[t])), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([uri], pa.string()), pa.array([found[1] if found else None], pa.string()), pa.array([run], pa.list_(pa.string())), *(pa.array([column], pa.list_(kind)) for column, kind in zip(([len(topics[t]) for t in run], *places), (pa.int32(), *_MEMBER.values()), strict=True))], _RUN)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, version, topics in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for uri, version, topics, counts, *places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, name = _store(uri)
-                out = []
+                out, members = [], zip(*places, strict=True)
                 with store.open_input_file(name) as f:
-                    for t in topics:
-                        texts = {m["file"]: _member(f, f"{uri}: {t['topic']}/{m['file']}", m).decode("utf-8-sig") for m in t["files"]}
-                        out.append((uri, t["topic"], version, texts.pop("markup.bcf"), list(texts.items())))
+                    for topic, n in zip(topics, counts, strict=True):
+                        texts = {file: _member(f, f"{uri}: {topic}/{file}", *place).decode("utf-8-sig") for file, *place in islice(members, n)}
+                        out.append((uri, topic, version, texts.pop("markup.bcf"), list(texts.items())))
                 types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["archive", "topic", "version", "markup", "viewpoints"])
 
-    member = "struct<file:string,at:bigint,packed:bigint,size:bigint,method:int,crc:bigint,flags:int>"
-    runs = files.repartition("path").mapInArrow(listed, f"archive string, version string, topics array<struct<topic:string,files:array<{member}>>>")
-    dealt = runs.repartition(F.xxhash64("archive", F.col("topics")[0]["topic"]))
+    kinds = ", ".join(f"{c} array<{'string' if kind == pa.string() else 'int' if kind == pa.int32() else 'bigint'}>" for c, kind in _MEMBER.items())
+    runs = files.repartition("path").mapInArrow(listed, f"archive string, version string, topics array<string>, files array<int>, {kinds}")
+    dealt = runs.repartition(F.xxhash64("archive", F.col("topics")[0]))
     return dealt.mapInArrow(read, "archive string, topic string, version string, markup string, viewpoints map<string,string>")
 
 
-_MEMBER = ("file", "at", "packed", "size", "method", "crc", "flags")
-_RUN = pa.list_(pa.struct([("topic", pa.string()), ("files", pa.list_(pa.struct(list(zip(_MEMBER, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)))))]))
+#: Where a member lies: what ``_member`` takes, after its file name. A run of topics has a list of each, with as many places a topic as it has files.
+_MEMBER = {"file": pa.string(), "at": pa.int64(), "packed": pa.int64(), "size": pa.int64(), "method": pa.int32(), "crc": pa.int64(), "flags": pa.int32()}
+_RUN = ["archive", "version", "topics", "files", *_MEMBER]
 
 
-def _member(f, name: str, m: dict) -> bytes:
+def _member(f, name: str, at: int, packed: int, size: int, method: int, crc: int, flags: int) -> bytes:
     """A member by its place in the directory: its own header, then its bytes, checked."""
-    head = f.read_at(30, m["at"])
-    if len(head) < 30 or head[:4] != b"PK\x03\x04" or m["flags"] & 1 or m["method"] not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+    head = f.read_at(30, at)
+    if len(head) < 30 or head[:4] != b"PK\x03\x04" or flags & 1 or method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
         raise zipfile.BadZipFile(f"{name}: broken, encrypted or packed in an unknown way")
-    raw = f.read_at(m["packed"], m["at"] + 30 + sum(struct.unpack("<2H", head[26:30])))
-    out = zlib.decompress(raw, -zlib.MAX_WBITS) if m["method"] == zipfile.ZIP_DEFLATED else raw
-    if len(out) != m["size"] or zlib.crc32(out) != m["crc"]:
+    raw = f.read_at(packed, at + 30 + sum(struct.unpack("<2H", head[26:30])))
+    out = zlib.decompress(raw, -zlib.MAX_WBITS) if method == zipfile.ZIP_DEFLATED else raw
+    if len(out) != size or zlib.crc32(out) != crc:
         raise zipfile.BadZipFile(f"{name}: bytes that do not match the directory")
     return out
 
@@ -271,9 +278,11 @@ def read_archives(spark: SparkSession, path: str, topics_a_task: int = TOPICS_A_
 
 def resolve_components(topics: DataFrame, elements: DataFrame) -> DataFrame:
     """topics with elements: model_id and express_id of the elements that the components' global ids stand for, in their order; unknown ones are left out."""
-    parts = topics.select("topic", F.posexplode("components").alias("pos", "global_id"))
+    topics = save(topics, "topics")  # read from the archives once, for the join and for its parts
+    # a plan's sizes are those before a topic becomes a row for each component: by them, either join would broadcast what grows
+    parts = topics.select("topic", F.posexplode("components").alias("pos", "global_id")).hint("merge")
     found = parts.join(elements.select("global_id", "model_id", "express_id"), "global_id")
     listed = found.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("pos", "model_id", "express_id"))).alias("x"))
     members_of = F.transform("x", lambda e: F.struct(e["model_id"].alias("model_id"), e["express_id"].alias("express_id")))
     empty = F.array().cast("array<struct<model_id:string,express_id:bigint>>")
-    return topics.join(listed.select("topic", members_of.alias("elements")), "topic", "left").withColumn("elements", F.coalesce("elements", empty))
+    return topics.hint("merge").join(listed.select("topic", members_of.alias("elements")), "topic", "left").withColumn("elements", F.coalesce("elements", empty))

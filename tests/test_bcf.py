@@ -85,3 +85,11 @@ def test_a_directory_is_read_once_and_archives_are_bounded(spark, tmp_path, monk
     files[0].write_bytes(bytes(broken))
     with pytest.raises(Exception, match="BadZipFile|zlib|Error"):
         bcf.read_archives(spark, f"file://{tmp_path}/out").collect()
+
+
+def test_archives_are_read_once_for_their_components(spark, tmp_path):
+    """What is resolved lies stored: the archives are not read for the topics and again for their parts."""
+    bcf.write_archives(spark.createDataFrame([FULL, BARE], ISSUES), f"file://{tmp_path}/out")
+    found = bcf.resolve_components(bcf.read_archives(spark, f"file://{tmp_path}/out"), spark.createDataFrame([("G2", "M", 5)], "global_id string, model_id string, express_id bigint"))
+    assert {r.title: [tuple(e) for e in r.elements] for r in found.collect()} == {FULL[1]: [("M", 5)], None: []}
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
